@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.common import table
+from weft.llm.media_query import media_digests
 from weft.llm.ngram_join import ngram_jaccard_join
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as rows of 192 grey samples in a TIFF file, read back page by page."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked where 100 * intersection >= 90 * union."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
 }
 
