@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm.common import table
 from weft.llm.media_query import media_digests
+from weft.llm.mixing import mix_sources
 from weft.llm.ngram_join import ngram_jaccard_join
+from weft.llm.sharding import shard_by_bytes
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +23,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near equal bytes; equal texts stay together."""
+    return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 5, 2, 1 in turn and share the sum of all words."""
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op7_minimax_shards": op7_minimax_shards,
+    "op9_budget_mix": op9_budget_mix,
 }
 
 ORACLE: dict[str, str] = {}
