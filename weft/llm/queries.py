@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.chat import conversation_digests, format_conversations
-from weft.llm.common import table
+from weft.llm.common import crc_of_id, table
 from weft.llm.media_query import media_digests
 from weft.llm.mixing import mix_sources
 from weft.llm.ngram_join import ngram_jaccard_join
+from weft.llm.quality import fit_quality
 from weft.llm.sharding import shard_by_bytes
+from weft.llm.toxicity import fit_toxicity, score_texts
 from weft.llm.url_filters import URL, filter_urls, host_of
 
 
@@ -26,6 +28,22 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+#: A score from here on predicts label 1.
+THRESHOLD = 0.3
+
+
+def _scores(docs: DataFrame, model, folds: int, fold: int) -> DataFrame:
+    scored = score_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return scored.select("doc_id", (crc_of_id() % folds == fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; learned from labels outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_of_id() % 4 != 2)
+    return _scores(docs, model, 4, 2)
+
+
 #: A conversation that every run adds: texts made of control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -37,6 +55,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns.unionByName(added)))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; learned from labels outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
+    return _scores(docs, model, 5, 0)
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of near equal bytes; equal texts stay together."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
@@ -73,7 +98,9 @@ def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_toxicity": op3_toxicity,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_url_filters": op8_url_filters,
     "op9_budget_mix": op9_budget_mix,
