@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from weft.llm.chat import conversation_digests, format_conversations
 from weft.llm.common import crc_of_id, table
+from weft.llm.embedding_dedup import embedding_near_duplicates
 from weft.llm.media_query import media_digests
 from weft.llm.mixing import mix_sources
 from weft.llm.ngram_join import ngram_jaccard_join
 from weft.llm.quality import fit_quality
+from weft.llm.sentencepiece import decode_ids, encode_texts
 from weft.llm.sharding import shard_by_bytes
 from weft.llm.toxicity import fit_toxicity, score_texts
 from weft.llm.url_filters import URL, filter_urls, host_of
@@ -44,6 +46,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(docs, model, 4, 2)
 
 
+#: The vocabulary of the encoding query, a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the text read back from them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    back = decode_ids(encode_texts(docs, PIECES), PIECES)
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    ids = F.array_join("token_ids", " ")
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("restored"))
+
+
 #: A conversation that every run adds: texts made of control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -95,15 +110,22 @@ def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.98 or more."""
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_minimax_shards": op7_minimax_shards,
     "op8_url_filters": op8_url_filters,
     "op9_budget_mix": op9_budget_mix,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 _URL_PATTERN = URL.replace("'", "''")
