@@ -9,8 +9,8 @@ and a document's set falls into one segment for each fragment.
 2. Documents with equal sets become one class at once, by a 128-bit print.
 3. Sets that meet the threshold share a shingle among the first
    ``n - ceil(t * n) + 1`` of the order. Documents that share such a shingle
-   are candidates. First each is held against one hub of its bucket, which is
-   linear in the bucket; groups of near copies fall together there. Then every
+   are candidates. First each is held against a hub of its bucket, which
+   is linear in the bucket; dense groups of copies fall together there. Then every
    pair that shares a bucket and isn't connected yet is taken, without
    exception, so that no link between components is lost.
 4. Overlaps of candidates are counted fragment by fragment, each apart from
@@ -42,6 +42,8 @@ FILTER_BITS = 25
 FRAGMENTS = 8
 #: Words of 64 bits in the parity print of a set.
 PARITY = 8
+#: Rounds in which members of a bucket are held against one of them.
+HUBS = 1
 #: Bytes of text for which sets are held at once.
 SLICE_BYTES = 4 << 20
 
@@ -251,15 +253,23 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     prints = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2", "n"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
     prints = scratch.put(prints.select("doc_id", "n", "head", *(f"s{k}" for k in range(PARITY))))
     entries = prints.select("doc_id", "n", F.posexplode("head").alias("i", "shingle"))
-    hubs = entries.groupBy("shingle").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", "shingle").alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("nh"), F.col("i").alias("ih"))).alias("m")).filter("size > 1")
-    buckets = scratch.put(entries.join(hubs.select("shingle", "m.hub", "m.nh", "m.ih"), "shingle"))
-    held = buckets.selectExpr("doc_id a", "n na", "i ia", "hub b", "nh nb", "ih ib").filter("a <> b").filter(_may_meet(num, den, True))
-    first = scratch.put(_screened(held.selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), prints, num, den))
-    found = _links(first, docs, words, num, den, shared, cuts, scratch)
-
-    joined = scratch.put(components(found, scratch))
-    rest = scratch.put(_screened(_open_pairs(buckets, joined, num, den), prints, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    shared_by = entries.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1").select("shingle")
+    buckets = scratch.put(entries.join(shared_by, "shingle"))
+    done: list[DataFrame] = []
+    edges, members = None, buckets.withColumn("root", F.col("doc_id"))
+    for salt in range(HUBS):
+        pairs = _screened(_hub_pairs(members, salt, num, den), prints, num, den)
+        for earlier in done:
+            pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
+        done.append(scratch.put(pairs))
+        found = _links(done[-1], docs, words, num, den, shared, cuts, scratch)
+        joined = scratch.put(components(found if edges is None else edges.unionAll(found), scratch))
+        edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        members = scratch.put(_open_members(buckets, joined))
+    rest = _open_pairs(members, prints, num, den)
+    for earlier in done:
+        rest = rest.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
+    rest = scratch.put(rest)
     if not rest.isEmpty():
         edges = edges.unionAll(_links(rest, docs, words, num, den, shared, cuts, scratch))
     copies = known.join(classes, ["f1", "f2", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -274,17 +284,33 @@ def _screened(pairs: DataFrame, prints: DataFrame, num: int, den: int) -> DataFr
     return both.filter(_different(num, den)).selectExpr("p.a a", "p.b b", "a.n na", "b.n nb").filter(_may_meet(num, den))
 
 
-def _open_pairs(buckets: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
-    """Every pair that shares a bucket, may meet the threshold, and isn't connected yet.
+def _hub_pairs(members: DataFrame, salt: int, num: int, den: int) -> DataFrame:
+    """Each member of a bucket with the bucket's hub, a member by hash, if they aren't connected."""
+    hub = F.min(F.struct(F.xxhash64(F.lit(salt), "doc_id", "shingle").alias("h"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("root").alias("rb")))
+    hubs = members.groupBy("shingle").agg(hub.alias("m")).select("shingle", "m.b", "m.nb", "m.ib", "m.rb")
+    held = members.join(hubs, "shingle").selectExpr("doc_id a", "n na", "i ia", "root ra", "b", "nb", "ib", "rb")
+    return held.filter(f"ra <> rb AND {_may_meet(num, den, True)}").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
 
-    In each bucket the members outside its largest component are held against
-    all the others; within a component no pair is made.
-    """
-    labelled = buckets.select("shingle", "doc_id", "n", "i").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+def _open_members(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """The entries of buckets that hold more than one component, each with its root and the bucket's largest component."""
+    labelled = buckets.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     tally = labelled.groupBy("shingle", "root").agg(F.count("*").alias("members"))
     main = tally.groupBy("shingle").agg(F.count("*").alias("roots"), F.max(F.struct("members", "root")).alias("top")).filter("roots > 1").select("shingle", F.col("top.root").alias("main"))
-    members = labelled.join(main, "shingle")
-    x = members.filter("root <> main").selectExpr("shingle", "doc_id a", "n na", "i ia", "root ra")
-    y = members.selectExpr("shingle sb", "doc_id b", "n nb", "i ib", "root rb", "main")
-    met = x.join(y, F.expr(f"shingle = sb AND ra <> rb AND (rb = main OR a < b) AND {_may_meet(num, den, True)}"))
-    return met.selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    return labelled.join(main, "shingle").select("shingle", "doc_id", "n", "i", "root", "main")
+
+
+def _open_pairs(members: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, na, nb`` of every pair that shares a bucket, may meet the threshold, and isn't connected yet.
+
+    In each bucket the members outside its largest component are held against
+    all the others; within a component no pair is made. Places, sizes and
+    parity prints are part of the join's condition.
+    """
+    signed = members.join(prints.select("doc_id", *(f"s{k}" for k in range(PARITY))), "doc_id")
+    x, y = signed.filter("root <> main").alias("a"), signed.alias("b")
+    sides = _may_meet(num, den, True)
+    for name, column in (("na", "a.n"), ("nb", "b.n"), ("ia", "a.i"), ("ib", "b.i")):
+        sides = sides.replace(name, column)
+    met = x.join(y, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {sides} AND {_different(num, den)}"))
+    return met.selectExpr("least(a.doc_id, b.doc_id) a", "greatest(a.doc_id, b.doc_id) b", "if(a.doc_id < b.doc_id, a.n, b.n) na", "if(a.doc_id < b.doc_id, b.n, a.n) nb").distinct()
