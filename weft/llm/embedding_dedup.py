@@ -28,21 +28,39 @@ from weft.llm.components import components
 SAMPLE = 20_000
 ROUNDS = 40
 BITS, TABLES = 64, 6
+#: Bits in which a pair at the threshold is expected to differ at most.
+FLIPS = 4.2
 #: Vectors that one comparison holds at once; larger buckets are compared block by block.
 BLOCK = 1024
 
 
-def learn_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def bits_worth(variances: np.ndarray, threshold: float, most: int = BITS) -> int:
+    """How many of the leading axes to take: as many as leave pairs at the threshold few expected bit flips.
+
+    Such a pair is ``sqrt(2 - 2 t)`` apart, over all axes alike. Where the
+    vectors spread little, bits would tell noise apart; then codes are short,
+    buckets large and comparisons many, but links aren't lost.
+    """
+    d = len(variances)
+    step = np.sqrt(max(2 - 2 * threshold, 0.0) / d)
+    spread = np.sqrt(np.cumsum(np.maximum(variances, 0)) / np.arange(1, d + 1))
+    flip = np.minimum(0.5, step / np.maximum(np.pi * spread, 1e-12))
+    fits = np.flatnonzero(np.arange(1, d + 1) * flip <= FLIPS)
+    return min(most, int(fits.max()) + 1 if len(fits) else 1)
+
+
+def learn_rotation(sample: np.ndarray, threshold: float = 0.98, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """``mean, projection``: the signs of ``(unit vector - mean) @ projection`` are the code."""
     d = sample.shape[1]
-    bits = min(bits, d)
     if len(sample) < 2:
-        return np.zeros(d), np.eye(d)[:, :bits]
+        return np.zeros(d), np.eye(d)[:, : min(bits, d)]
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = x.mean(axis=0)
     x = x - mean
-    values, axes = np.linalg.eigh(x.T @ x)
-    axes = axes[:, np.argsort(-values, kind="stable")[:bits]]
+    values, axes = np.linalg.eigh(x.T @ x / len(x))
+    order = np.argsort(-values, kind="stable")
+    bits = bits_worth(values[order], threshold, min(bits, d))
+    axes = axes[:, order[:bits]]
     z = x @ axes
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
     for _ in range(rounds):
@@ -144,7 +162,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, table
     padded = np.zeros((len(taken), width))
     for i, v in enumerate(taken):
         padded[i, : len(v)] = v
-    model = spark.sparkContext.broadcast(learn_rotation(padded))
+    model = spark.sparkContext.broadcast(learn_rotation(padded, threshold))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection = model.value

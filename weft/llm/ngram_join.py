@@ -250,8 +250,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
 
     known = sets.filter("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.put(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-    prints = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "f1", "f2", "n"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    one = ["doc_id", "f1", "f2"]
+    prints = known.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), one, "left_semi").dropDuplicates(one)
     prints = scratch.put(prints.select("doc_id", "n", "head", *(f"s{k}" for k in range(PARITY))))
+    slim = scratch.put(sets.select("doc_id", "n", "f1", "f2"))
+    scratch.drop(sets)
+    sets, known = slim, slim.filter("n > 0 AND doc_id IS NOT NULL")
     entries = prints.select("doc_id", "n", F.posexplode("head").alias("i", "shingle"))
     shared_by = entries.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1").select("shingle")
     buckets = scratch.put(entries.join(shared_by, "shingle"))
