@@ -20,8 +20,10 @@ from weft.llm.common import Scratch, slices
 from weft.llm.textcounts import DIGITS, LETTERS, LOWER, SPACES, UPPER, Hasher, letter_values, pieces, spans
 from weft.llm.toxicity import labelled_sample
 
-TRIPLES, SHAPES, REPEATS = 2048, 510, 2
-TERMS = TRIPLES + SHAPES + REPEATS
+TRIPLES, SHAPES, REPEATS = 2048, 506, 2
+#: Shares of words that repeat the word one or two places before, each a term from there on.
+RATES = (0.02, 0.1, 0.3)
+TERMS = TRIPLES + SHAPES + REPEATS * len(RATES)
 #: Labelled rows in the broadcast at most, their dimensions, and how many of them vote.
 SAMPLE, DIMENSIONS, NEIGHBOURS = 8_000, 64, 11
 SHARPNESS = 8
@@ -39,6 +41,7 @@ _WORD_VALUES = letter_values(np.where(SPACES, 0, LOWER).astype(np.uint8))
 def term_counts(column: pa.Array) -> np.ndarray:
     """Damped counts of the hashed terms, one row for each text."""
     out = np.zeros((len(column), TERMS), dtype=np.float32)
+    words, again = np.zeros(len(column)), np.zeros((len(column), REPEATS))
     for data, offsets, first in pieces(column):
         rows = len(offsets) - 1
         if not len(data):
@@ -61,10 +64,23 @@ def term_counts(column: pa.Array) -> np.ndarray:
         at = row * SHAPES + (shape % np.uint64(SHAPES)).astype(np.int64)
         out[first : first + rows, TRIPLES : TRIPLES + SHAPES] += np.bincount(at, minlength=rows * SHAPES).reshape(rows, SHAPES)
         word = Hasher(data, _WORD_VALUES)(starts, ends)
+        words[first : first + rows] += np.bincount(row, minlength=rows)
         for k in range(REPEATS):
-            again = (word[k + 1 :] == word[: -k - 1]) & (row[k + 1 :] == row[: -k - 1])
-            out[first : first + rows, TRIPLES + SHAPES + k] += np.bincount(row[k + 1 :][again], minlength=rows)
-    return np.log1p(out)
+            same = (word[k + 1 :] == word[: -k - 1]) & (row[k + 1 :] == row[: -k - 1])
+            again[first : first + rows, k] += np.bincount(row[k + 1 :][same], minlength=rows)
+    out = np.log1p(out)
+    for k in range(REPEATS):
+        for j, rate in enumerate(RATES):
+            out[:, TRIPLES + SHAPES + k * len(RATES) + j] = again[:, k] > rate * np.maximum(words, 20)
+    return out
+
+
+def weighed(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Counts by rarity; letter sequences and the form of words are half of each row."""
+    x = counts * rarity
+    for part in (x[:, :TRIPLES], x[:, TRIPLES:]):
+        part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 @dataclass
@@ -76,8 +92,7 @@ class QualityModel:
     even: float
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        x = counts * self.rarity
-        x = x @ self.directions
+        x = weighed(counts, self.rarity) @ self.directions
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -126,9 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
     for i, value in enumerate(got.column("x")):
         x[i] = np.frombuffer(value.as_buffer(), dtype=np.float16)
     rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    weighed = x * rarity
-    norms = np.maximum(np.linalg.norm(weighed, axis=1, keepdims=True), 1e-12)
-    directions = leading_directions(weighed / norms, DIMENSIONS)
+    directions = leading_directions(weighed(x, rarity), DIMENSIONS)
     model = QualityModel(rarity, directions, np.zeros((0, 0), dtype=np.float32), np.zeros(0), float(y.mean()))
     model.vectors, model.labels = model.project(x), y
     return model
