@@ -28,7 +28,7 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 1.0, ridge: float = 1.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 0.4, ridge: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss over quantile bins; deterministic."""
     n, p = x.shape
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5

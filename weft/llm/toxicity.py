@@ -2,9 +2,11 @@
 
 Features are densities of lexicon words, how near they stand to words for the
 second person, capitals, punctuation and obfuscation. The lexicon is a short
-fixed list and what a third of the labelled sample shows: words and word
-beginnings that toxic documents hold far more often than others. Trees are fit
-on the second third, the calibration on the last.
+fixed list and what the labelled sample shows: words and word beginnings that
+toxic documents hold far more often than others. The sample is dealt into
+folds. Its own features rest on what the other folds show, and the calibration
+on margins of trees that were fit to the other folds, so that all of it serves
+for all three and nothing is judged by what it taught.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 #: Labelled rows that the classifier is fit on at most, those of least hash.
 SAMPLE = 12_000
 #: Words and beginnings that are learned at most, and how far they must stand out, in standard deviations.
-LEARNED, STANDS_OUT = 4096, 7.0
+LEARNED, STANDS_OUT = 4096, 5.9
+FOLDS = 3
 #: Bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6)
 NEAR = 5
@@ -171,51 +174,70 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     kept = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(limit)
     # the bound of the sample bounds what is broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
-    return scratch.put(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", F.pmod("h", F.lit(3)).cast("int").alias("turn")))
+    return scratch.put(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("turn")))
 
 
-def _learn_lexicon(sample: DataFrame) -> Lexicon:
+def _learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """What the whole sample shows, then what it shows without each of its folds."""
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            hashes, toxic = [], []
-            y = batch.column(1).to_numpy()
+            hashes, rows = [], []
             for data, offsets, first in pieces(batch.column(0)):
                 starts, ends, row = spans(data, offsets, _SPLITS)
                 for h in _kinds(Hasher(data, _VALUES), starts, ends):
                     one = np.unique(np.stack([row.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), dtype=np.uint64)
                     one = one[:, one[1] != 0]
                     hashes.append(one[1].astype(np.int64))
-                    toxic.append(y[first + one[0].astype(np.int64)])
+                    rows.append(first + one[0].astype(np.int64))
             if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(toxic))], names=["h", "y"])
-
-    total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    if not bad or bad == total:
-        return lexicon({0: 0.0})
-    rate = bad / total
-    seen = sample.select("text", "y").mapInArrow(words, "h long, y double").groupBy("h").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-    apart = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    weight = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (total - bad + 1))
-    rows = seen.withColumn("apart", apart).filter(F.col("apart") >= STANDS_OUT).select("h", weight.alias("w"), "apart").orderBy(F.desc("apart"), "h").limit(LEARNED).collect()
-    return lexicon({0: 0.0} | {int(np.int64(r["h"]).astype(np.uint64)): float(r["w"]) for r in rows if r["w"] > 0})
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(1).take(at), batch.column(2).take(at)], names=["h", "y", "turn"])
+
+    per = {r["turn"]: (r["n"], r["t"]) for r in sample.groupBy("turn").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()}
+    folds = [F.sum((F.col("turn") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)] + [F.sum(F.when(F.col("turn") == f, F.col("y")).otherwise(0.0)).alias(f"t{f}") for f in range(FOLDS)]
+    seen = sample.select("text", "y", "turn").mapInArrow(words, "h long, y double, turn int").groupBy("h").agg(*folds).persist()
+    out = []
+    for left_out in (None, *range(FOLDS)):
+        used = [f for f in range(FOLDS) if f != left_out]
+        total, bad = (sum(per.get(f, (0, 0.0))[k] for f in used) for k in (0, 1))
+        if not bad or bad == total:
+            out.append(lexicon({0: 0.0}))
+            continue
+        rate = bad / total
+        n, t = (sum((F.col(f"{k}{f}") for f in used), F.lit(0.0)) for k in "nt")
+        counted = seen.select("h", n.alias("n"), t.alias("t")).filter("n > 0")
+        apart = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+        weight = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (total - bad + 1))
+        rows = counted.withColumn("apart", apart).filter(F.col("apart") >= STANDS_OUT).select("h", weight.alias("w"), "apart").orderBy(F.desc("apart"), "h").limit(LEARNED).collect()
+        out.append(lexicon({0: 0.0} | {int(np.int64(r["h"]).astype(np.uint64)): float(r["w"]) for r in rows if r["w"] > 0}))
+    seen.unpersist()
+    return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", limit: int = SAMPLE) -> ToxicityModel:
     """Fit on at most ``limit`` labelled rows for which ``train`` holds; without any, all scores are even."""
     scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, train, limit, scratch)
-    learned = _learn_lexicon(sample.filter("turn = 0"))
+    lexicons = _learn_lexicons(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            x = features(batch.column(0), learned)
+            turn = batch.column(2).to_numpy()
+            x = np.zeros((batch.num_rows, FEATURES))
+            for f in range(FOLDS):
+                own = np.flatnonzero(turn == f)
+                if len(own):
+                    x[own] = features(batch.column(0).take(pa.array(own)), lexicons[1 + f])
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64())), batch.column(1), batch.column(2), batch.column(3)], names=["x", "y", "turn", "doc_id"])
 
-    got = sample.filter("turn <> 0").select("text", "y", "turn", "doc_id").mapInArrow(rows, "x array<double>, y double, turn int, doc_id long").orderBy("doc_id").collect()
+    got = sample.select("text", "y", "turn", "doc_id").mapInArrow(rows, "x array<double>, y double, turn int, doc_id long").orderBy("doc_id").collect()
     scratch.drop(sample)
     x, y, turn = np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["y"] for r in got]), np.array([r["turn"] for r in got])
-    trees = fit_trees(x[turn == 1], y[turn == 1])
-    return ToxicityModel(learned, trees, fit_isotonic(trees.margin(x[turn == 2]), y[turn == 2]))
+    margin = np.zeros(len(y))
+    for f in range(FOLDS):
+        margin[turn == f] = fit_trees(x[turn != f], y[turn != f]).margin(x[turn == f])
+    return ToxicityModel(lexicons[0], fit_trees(x, y), fit_isotonic(margin, y))
 
 
 def score_texts(docs: DataFrame, model, name: str = "score") -> DataFrame:
