@@ -19,6 +19,12 @@ def triple_id(i: Column, j: Column, k: Column, p: int) -> Column:
     return ((s[0] + 1) * p * p + s[1] * p + s[2]).cast("long")
 
 
+def flat_index(i: Column, j: Column, p: int) -> Column:
+    """The place of i <= j among all such pairs, row by row."""
+    i, j = i.cast("long"), j.cast("long")
+    return (i * p - F.floor(i * (i - 1) / 2) + j - i).cast("long")
+
+
 def order_of(effect: Column, p: int) -> Column:
     return F.when(effect < p, 1).when(effect < p * p, 2).otherwise(3)
 

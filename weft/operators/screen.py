@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from weft.operators.encode import rows_of
 
 
+#: Parts into which columns are dealt where all pairs of them are listed.
+PARTS = 64
+
+
 def with_response(x: DataFrame, y: DataFrame, value: str = "y") -> DataFrame:
     """``row_id, cols, vals, y`` for rows that have both."""
     return rows_of(x).join(y.select("row_id", F.col(value).alias("y")), "row_id")
@@ -117,8 +121,10 @@ def contingency(x: DataFrame, n: int) -> DataFrame:
 def enumerate_pairs(columns: DataFrame, distance: int | None = None) -> DataFrame:
     """``i, j`` of all pairs of ``columns(col_id)`` at most ``distance`` apart; a range join on blocks as wide as the distance."""
     if distance is None:
-        near = columns.select(F.col("col_id").alias("i"), F.lit(0).alias("block")).join(columns.select(F.col("col_id").alias("j"), F.lit(0).alias("block")), "block")
-        return near.filter("i < j").select("i", "j")
+        # every column meets each of the parts that the others are dealt into
+        left = columns.select(F.col("col_id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        right = columns.select(F.col("col_id").alias("j"), F.pmod("col_id", F.lit(PARTS)).alias("part"))
+        return left.join(right, "part").filter("i < j").select("i", "j")
     width = max(distance, 1)
     left = columns.select(F.col("col_id").alias("i"), F.explode(F.array(F.floor(F.col("col_id") / width), F.floor(F.col("col_id") / width) + 1)).alias("block"))
     right = columns.select(F.col("col_id").alias("j"), F.floor(F.col("col_id") / width).alias("block"))

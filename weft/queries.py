@@ -6,10 +6,9 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.functions.ids import decode, pair_id, triple_id
+from weft.functions.ids import decode, flat_index, pair_id, triple_id
 from weft.functions.scalar import default_lambda_min, soft_threshold
 from weft.operators import dedupe, encode, prune, report, screen, solve
 from weft.plans.calibration import distances
@@ -156,7 +155,7 @@ def enumerate_pairs_band(spark, sf_dir):
 def flat_index_lookup(spark, sf_dir):
     b = _brands(spark, sf_dir)
     pairs = screen.enumerate_pairs(b).unionAll(b.select(F.col("col_id").alias("i"), F.col("col_id").alias("j")))
-    return pairs.select((F.row_number().over(W.orderBy("i", "j")) - 1).cast("long").alias("flat"), "i", "j")
+    return pairs.select(flat_index(F.col("i"), F.col("j"), BRANDS).alias("flat"), "i", "j")
 
 
 @query(f"WITH {_BASKET} SELECT a.r row_id, a.c i, b.c j FROM x a JOIN x b ON a.r = b.r AND a.c <= b.c")
@@ -211,7 +210,7 @@ _TOP_MAINS = "m AS (SELECT c FROM (SELECT c, row_number() OVER (ORDER BY sum(y)
 
 
 def _top_mains(x, y):
-    return screen.main_screen(x, y).withColumn("k", F.row_number().over(W.orderBy(F.desc("s"), "i"))).filter("k <= 8").select(F.col("i").alias("col_id"))
+    return screen.main_screen(x, y).orderBy(F.desc("s"), "i").limit(8).select(F.col("i").alias("col_id"))
 
 
 @query(f"WITH {_BASKET}, {_TOP_MAINS}, p AS ({_PAIRS.format('')}) SELECT * FROM p WHERE j IN (SELECT c FROM m)")
@@ -316,8 +315,9 @@ def soft_threshold_prices(spark, sf_dir):
 @query(f"WITH {_BASKET} SELECT round(avg(y), 3) intercept, round(sqrt(sum((y - m)::double * (y - m))) / 1e6, 4) norm FROM (SELECT y, avg(y) OVER () m FROM y)")
 def intercept_and_norm(spark, sf_dir):
     y = tables.basket(spark, sf_dir)[1]
-    centred = y.join(F.broadcast(y.agg(F.avg("y").alias("m"))))
-    return centred.agg(F.round(F.avg("y"), 3).alias("intercept"), F.round(F.sqrt(F.sum((F.col("y") - F.col("m")) * (F.col("y") - F.col("m")))) / 1e6, 4).alias("norm"))
+    mean = y.agg(F.avg("y")).first()[0]
+    rest = F.col("y") - F.lit(mean)
+    return y.agg(F.round(F.avg("y"), 3).alias("intercept"), F.round(F.sqrt(F.sum(rest * rest)) / 1e6, 4).alias("norm"))
 
 
 #: A threshold on the scale of the basket's sums, in cents.

@@ -43,8 +43,8 @@ def read_y_csv(spark: SparkSession, path: str, center: bool = False) -> DataFram
 
 
 def center_y(y: DataFrame) -> DataFrame:
-    mean = y.agg(F.avg("y").alias("mean"))
-    return y.join(F.broadcast(mean)).select("row_id", (F.col("y") - F.col("mean")).alias("y"))
+    mean = y.agg(F.avg("y")).first()[0]
+    return y.select("row_id", (F.col("y") - F.lit(mean)).alias("y"))
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
