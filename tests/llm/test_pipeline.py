@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
     before = [(r["doc_id"], r["text"]) for r in kept[2].collect() if r["doc_id"] is not None]
     roots = plain_components(before, p.WORDS, p.NUM, p.DEN)
     assert ids[3] == sorted(d for d, r in roots.items() if d == r)
-    times = {r["doc_id"]: r["taken"] // r["size"] for r in queries.mix_sources(kept[3]).collect() if r["taken"]}
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in queries.mix_sources(kept[3]).collect() if r["taken"] and r["doc_id"] is not None}
     assert ids[4] == sorted(d for d, n in times.items() for _ in range(n))
     assert ids[5] == ids[4] and kept[5].filter("size(token_ids) <> n_tokens OR n_tokens = 0").count() == 0
 

@@ -41,8 +41,7 @@ def test_against_replayed_lists(spark):
     rows = [(i, rng.choice(urls), at(rng.randrange(-20, 500)) if rng.random() < 0.95 else None, "old") for i in range(300)]
     rows += [rows[0], (None, urls[0], at(5), "old")]
     got = filter_urls(spark.createDataFrame(rows, "id long, url string, fetched_at timestamp, verdict string"), spark.createDataFrame(entries, "list string, key string, action string, at timestamp")).collect()
-    utc = lambda t: t
-    assert sorted((r["id"] or -1, r["verdict"]) for r in got) == sorted((i if i is not None else -1, plain(u, utc(t), entries)) for i, u, t, _ in rows)
+    assert sorted((-1 if r["id"] is None else r["id"], r["verdict"]) for r in got) == sorted((-1 if i is None else i, plain(u, t, entries)) for i, u, t, _ in rows)
 
 
 def test_empty_tables(spark):
