@@ -86,7 +86,7 @@ def test_neighbours_match_brute_force():
     docs, labels = corpus(3, 120)
     column = pa.array([t for _, t in docs])
     x = term_counts(column)
-    directions = leading_directions(x, 16)
+    directions = leading_directions(lambda: iter([x[:50], x[50:]]), x.shape[1], 16)
     model = QualityModel(np.ones(x.shape[1], dtype=np.float32), directions, np.zeros((0, 0)), np.zeros(0), 0.5)
     model.vectors, model.labels = model.project(x[:80]), rng.integers(0, 2, 80).astype(float)
     got = model.score(column)

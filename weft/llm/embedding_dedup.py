@@ -142,7 +142,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding, label)``.
 
-    Rows link when labels are equal and not null, vectors have one length, and
+    Rows link when labels, whole numbers, are equal and not null, vectors have one length, and
     their cosine in double precision is at least ``threshold``. Vectors that are
     null, empty or zero, or hold a null or non-finite component, link with
     nothing, as do rows without vec_id. Copies are compared once and counted as

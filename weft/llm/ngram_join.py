@@ -45,7 +45,7 @@ PARITY = 8
 #: Rounds in which members of a bucket are held against one of them.
 HUBS = 1
 #: Bytes of text for which sets are held at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def sum_blocks(parts: DataFrame, kind: str) -> DataFrame:

@@ -9,7 +9,7 @@ vote with weights that grow with similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ TRIPLES, SHAPES, REPEATS = 2048, 506, 2
 RATES = (0.02, 0.1, 0.3)
 TERMS = TRIPLES + SHAPES + REPEATS * len(RATES)
 #: Labelled rows in the broadcast at most, their dimensions, and how many of them vote.
-SAMPLE, DIMENSIONS, NEIGHBOURS = 8_000, 64, 11
+SAMPLE, DIMENSIONS, NEIGHBOURS = 4_000, 64, 11
 SHARPNESS = 8
 BLOCK = 256
 
@@ -108,12 +108,11 @@ class QualityModel:
         return out
 
 
-def leading_directions(x: np.ndarray, dimensions: int, rounds: int = 4, seed: int = 0) -> np.ndarray:
-    """The leading right singular vectors, by power iteration of a random block."""
-    k = min(dimensions, *x.shape)
-    q = np.linalg.qr(x.T @ np.random.default_rng(seed).standard_normal((len(x), k)).astype(x.dtype))[0]
+def leading_directions(blocks: Callable[[], Iterator[np.ndarray]], width: int, dimensions: int, rounds: int = 5, seed: int = 0) -> np.ndarray:
+    """The leading right singular vectors of the rows of all blocks, by power iteration of a random block; no copy of the whole is made."""
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, dimensions)).astype(np.float32))[0]
     for _ in range(rounds):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
+        q = np.linalg.qr(sum((x.T @ (x @ q) for x in blocks()), np.zeros_like(q)))[0]
     return q
 
 
@@ -121,7 +120,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
     """Fit on at most ``limit`` labelled rows for which ``train`` holds; without any, all scores are even.
 
     The counts of the sample are made where its texts are; the driver gets them
-    as sparse rows, bounded by the sample, and broadcasts ``limit`` vectors.
+    in half precision, bounded by the sample, and broadcasts ``limit`` vectors.
     """
     scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, train, limit, scratch)
@@ -137,11 +136,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
     if not len(y):
         empty = np.zeros((0, DIMENSIONS), dtype=np.float32)
         return QualityModel(np.ones(TERMS, dtype=np.float32), np.zeros((TERMS, DIMENSIONS), dtype=np.float32), empty, np.zeros(0), 0.5)
-    x = np.empty((len(y), TERMS), dtype=np.float32)
+    # half-precision counts stay; whatever is made of them is made a block of rows at a time
+    x = np.empty((len(y), TERMS), dtype=np.float16)
     for i, value in enumerate(got.column("x")):
         x[i] = np.frombuffer(value.as_buffer(), dtype=np.float16)
-    rarity = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    directions = leading_directions(weighed(x, rarity), DIMENSIONS)
+    del got
+    seen = sum(((x[k : k + BLOCK] > 0).sum(axis=0) for k in range(0, len(x), BLOCK)), np.zeros(TERMS, dtype=np.int64))
+    rarity = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+    parts = [slice(k, k + BLOCK) for k in range(0, len(x), BLOCK)]
+    directions = leading_directions(lambda: (weighed(x[p].astype(np.float32), rarity) for p in parts), TERMS, DIMENSIONS)
     model = QualityModel(rarity, directions, np.zeros((0, 0), dtype=np.float32), np.zeros(0), float(y.mean()))
-    model.vectors, model.labels = model.project(x), y
+    model.vectors, model.labels = np.concatenate([model.project(x[p].astype(np.float32)) for p in parts]), y
     return model

@@ -10,7 +10,7 @@ import pyarrow as pa
 from weft.llm.shingles import mix, text_bytes
 
 #: Bytes of text that are looked at together; a longer text is taken in parts, cut at white space.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 _P = 0xD6E8FEB86659FD93
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
