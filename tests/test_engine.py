@@ -89,7 +89,7 @@ def test_screens_per_step_and_ahead_agree(spark):
     lines = ["".join(map(str, r)) for r in (rng.random((60, 8)) < 0.4).astype(int)]
     y = response(spark, [3.0 * (line[0] == "1") - 4.0 * (line[2] == "1" and line[5] == "1") + e for line, e in zip(lines, rng.normal(0, 0.1, 60), strict=True)])
     x = matrix(spark, lines)
-    options = {"depth": 2, "lambda_min": 2.0, "halt_error_diff": 1.0001, "lambda_max": 5.0}
+    options = {"depth": 2, "lambda_min": 1.0, "halt_error_diff": 1.0001, "lambda_max": 2.5}
     one, two = effects(fit(x, y, 8, FitConfig(**options))), effects(fit(x, y, 8, FitConfig(**options, ahead=0)))
     assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], abs_tol=1e-8) for k in one)
     assert {(0,), (2, 5)} <= one.keys()
