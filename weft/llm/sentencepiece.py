@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches and pairs that a worker remembers at most, and how long a remembered stretch may be.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 #: New characters between two looks for a common boundary in a long stretch.
 LOOK = 256
 #: Added to the least score for a character that no piece has.
@@ -100,8 +101,14 @@ class PieceModel:
         self.byte_ids = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
         self.longest = max(map(len, self.ids), default=1)
         self.least = min((s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL), default=0.0)
-        meets = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.stretches = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if meets else ".+", re.DOTALL)
+        # paths meet between two characters that stand side by side in no piece, above all around one that only stands alone
+        long = [p for p in self.ids if len(p) > 1]
+        self.touching = {p[k : k + 2] for p in long for k in range(len(p) - 1)}
+        joined = "".join(map(re.escape, sorted({c for p in long for c in p} - {SPACE})))
+        if any(SPACE in p.lstrip(SPACE) for p in long):
+            self.stretches = re.compile(".+", re.DOTALL)
+        else:
+            self.stretches = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{SPACE}{joined}]" if joined else ".", re.DOTALL)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._runs: dict[int, list[int]] = {}
@@ -109,6 +116,10 @@ class PieceModel:
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
         #: Pieces that merging their characters gives; others never occur.
         self.usable = {p for p in self.ids if self.kind == UNIGRAM or self._reached(p)}
+        #: Every beginning of such a piece, and whether it is one; single characters always are.
+        self.starts = {p[:k]: False for p in self.usable for k in range(1, len(p))}
+        self.starts.update(dict.fromkeys(self.usable, True))
+        self.starts.update({c: True for c in self.starts if len(c) == 1})
         self.raw = [self._bytes_of(i) for i in range(len(self.pieces))]
         self._memo = _Memo(self)
 
@@ -239,31 +250,58 @@ class PieceModel:
         return self._space_run(spaces - 1) + ids
 
     def _search_short(self, text: str) -> list[int]:
-        """The same search where all of the stretch lies in the window: nothing is committed before its end."""
-        usable, pairs, beside, longest = self.usable, self._pairs, self.beside, self.longest
-        last: list[str | None] = [""]
-        for end in range(1, len(text) + 1):
-            found = None
-            for begin in range(max(0, end - longest), end):
-                piece = text[begin:end]
-                if piece in usable or end - begin == 1:
-                    before = last[begin]
-                    if before is None:
-                        continue
-                    if before:
-                        fits = pairs.get((before, piece))
-                        if fits is None:
-                            fits = beside(before, piece)
-                        if not fits:
-                            continue
-                    found = piece
+        """The same search where all of the stretch lies in the window: nothing is committed before its end.
+
+        Only one path survives to each position, so that paths are followed one
+        at a time, longest pieces first, and one that can't go on is given up
+        together with the position it came to.
+        """
+        starts, pairs, beside, n = self.starts, self._pairs, self.beside, len(text)
+        path: list[str] = []
+        open_ends: list[list[int]] = []
+        at, seen = 0, {0}
+        while True:
+            ends, end = [], at + 1
+            while end <= n:
+                usable = starts.get(text[at:end])
+                if usable is None:
                     break
-            last.append(found)
-        pieces, at = [], len(text)
-        while at:
-            pieces.append(last[at])
-            at -= len(last[at])
-        return [i for piece in reversed(pieces) for i in self._spell(piece)]
+                if usable:
+                    ends.append(end)
+                end += 1
+            if not ends:
+                ends.append(at + 1)  # a character that no piece has
+            while True:
+                while not ends:
+                    ends = open_ends.pop()
+                    at -= len(path.pop())
+                end = ends.pop()
+                if end in seen:
+                    continue
+                piece = text[at:end]
+                if path:
+                    before = path[-1]
+                    fits = pairs.get((before, piece))
+                    if fits is None:
+                        fits = beside(before, piece)
+                    if not fits:
+                        continue
+                break
+            path.append(piece)
+            if end == n:
+                break
+            seen.add(end)
+            open_ends.append(ends)
+            at = end
+        ids = self.ids
+        out: list[int] = []
+        for piece in path:
+            i = ids.get(piece)
+            if i is None:
+                out += self._spell(piece)
+            else:
+                out.append(i)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -288,7 +326,13 @@ class _Memo(dict):
     def __missing__(self, stretch: str) -> bytes:
         found = self.older.get(stretch)
         if found is None:
-            found = np.array(self.model.search(stretch), dtype=np.int32).tobytes()
+            touching = self.model.touching
+            cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in touching]
+            if cuts:
+                ends = [*cuts, len(stretch)]
+                found = b"".join([self[stretch[a:b]] for a, b in zip([0, *cuts], ends, strict=True)])
+            else:
+                found = array("i", self.model.search(stretch)).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED // 2:
                 self.older = dict(self)
