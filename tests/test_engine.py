@@ -9,6 +9,7 @@ from weft.functions import ids, scalar
 from weft.operators import dedupe, encode, prune, report, screen, solve
 from weft.plans import calibration
 from weft.plans.path import FitConfig, FitState, fit
+from weft.queries import QUERIES
 from weft.sources import checkpoint, tables, text
 from weft.streaming import running_sums
 
@@ -77,6 +78,25 @@ def test_equal_effects(spark):
     assert mains == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 0}
 
 
+def test_equal_effects_of_the_hourly_matrix(spark, tmp_path):
+    """Hours of one quarter of the day are columns of their own; the long row's triples are all there."""
+    times = [(u, kind, h) for u in range(4) for kind in range(5) for h in range(24) if (u + 1) * (kind * 24 + h) % 7 < 2 and (u == 0 or h % 4)]
+    rows = [(n, u, f"t{kind}", f"2024-01-0{1 + n % 9} {h:02d}:30:00", 1.5) for n, (u, kind, h) in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    cols: dict[int, set[int]] = {}
+    for u, kind, h in times:
+        cols.setdefault(kind * 24 + h, set()).add(u)
+    by: dict[tuple, list] = {}
+    for k in (1, 2, 3):
+        for c in itertools.combinations(sorted(cols), k):
+            users = tuple(sorted(set.intersection(*(cols[j] for j in c))))
+            if users:
+                by.setdefault(users, []).append((k, ids.effect_number(c, 120)))
+    want = {(e, k, min(v)[1], len(v)) for v in by.values() for k, e in v}
+    got = QUERIES["duplicate_pairs_triples_hours"](spark, str(tmp_path))
+    assert {(r["id"], r["ord"], r["rep"], r["members"]) for r in got.collect()} == want and len(want) > 1350
+
+
 def test_three_way_fit(spark):
     config = FitConfig(depth=3, lambda_min=0.01, lambda_max=100, max_lambdas=100, halt_error_diff=1.00001, max_nz_beta=7, use_intercept=False, check_duplicates=True)
     got = effects(fit(matrix(spark, SMALL), response(spark, TRUE_Y), 6, config))

@@ -18,6 +18,7 @@ from weft.sources.checkpoint import latest
 
 BRANDS = 25
 EVENT_COLUMNS = 20
+HOUR_COLUMNS = 120
 BAND = 5
 
 _BASKET = """
@@ -30,6 +31,9 @@ _EVENTS = """
 k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 kind FROM (SELECT DISTINCT event_type FROM events)),
 x AS (SELECT DISTINCT user_id r, cast(kind * 4 + floor(hour(ts) / 6) AS int) c FROM events JOIN k USING (event_type)),
 y AS (SELECT user_id r, sum(cast(round(value * 100) AS bigint))::bigint y FROM events GROUP BY 1)"""
+_HOURS = """
+k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 kind FROM (SELECT DISTINCT event_type FROM events)),
+x AS (SELECT DISTINCT user_id r, cast(kind * 24 + hour(ts) AS int) c FROM events JOIN k USING (event_type))"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -271,10 +275,15 @@ def fingerprint_mains(spark, sf_dir):
     return dedupe.classes(dedupe.prints(x.unionAll(planted), BRANDS + 1)).withColumn("ord", F.col("ord").cast("int"))
 
 
-_EVENT_PRINTS = f"""f AS (
+def _prints_sql(p: int) -> str:
+    return f"""f AS (
 SELECT c::bigint id, 1 ord, sha256(string_agg(r::varchar, ',' ORDER BY r)) f FROM x GROUP BY c
-UNION ALL SELECT (a.c + 1::bigint) * {EVENT_COLUMNS} + b.c, 2, sha256(string_agg(a.r::varchar, ',' ORDER BY a.r)) FROM x a JOIN x b ON a.r = b.r AND a.c < b.c GROUP BY a.c, b.c
-UNION ALL SELECT (a.c + 1::bigint) * {EVENT_COLUMNS**2} + b.c * {EVENT_COLUMNS} + d.c, 3, sha256(string_agg(a.r::varchar, ',' ORDER BY a.r)) FROM x a JOIN x b ON a.r = b.r AND a.c < b.c JOIN x d ON d.r = a.r AND b.c < d.c GROUP BY a.c, b.c, d.c)"""
+UNION ALL SELECT (a.c + 1::bigint) * {p} + b.c, 2, sha256(string_agg(a.r::varchar, ',' ORDER BY a.r)) FROM x a JOIN x b ON a.r = b.r AND a.c < b.c GROUP BY a.c, b.c
+UNION ALL SELECT (a.c + 1::bigint) * {p**2} + b.c * {p} + d.c, 3, sha256(string_agg(a.r::varchar, ',' ORDER BY a.r)) FROM x a JOIN x b ON a.r = b.r AND a.c < b.c JOIN x d ON d.r = a.r AND b.c < d.c GROUP BY a.c, b.c, d.c)"""
+
+
+_EVENT_PRINTS = _prints_sql(EVENT_COLUMNS)
+_HOUR_PRINTS = _prints_sql(HOUR_COLUMNS)
 
 
 def _event_classes(spark, sf_dir):
@@ -297,6 +306,26 @@ def fold_duplicates(spark, sf_dir):
     return dedupe.fold(classed.select("id", (F.col("id") % 7).alias("strength")), classed)
 
 
+def _hour_classes(spark, sf_dir):
+    return dedupe.classes(dedupe.prints(tables.events_by_hour(spark, sf_dir)[0], HOUR_COLUMNS, 3))
+
+
+@query(f"WITH {_HOURS}, {_HOUR_PRINTS} {_CLASSES}")
+def duplicate_pairs_triples_hours(spark, sf_dir):
+    return _hour_classes(spark, sf_dir)
+
+
+@query(f"WITH {_HOURS}, {_HOUR_PRINTS}, g AS ({_CLASSES}) SELECT rep, string_agg(id::varchar, ',' ORDER BY id) equivalent FROM g GROUP BY 1")
+def equivalence_classes_hours(spark, sf_dir):
+    return dedupe.equivalents(_hour_classes(spark, sf_dir)).select("rep", F.concat_ws(",", F.col("equivalent").cast("array<string>")).alias("equivalent"))
+
+
+@query(f"WITH {_HOURS}, {_HOUR_PRINTS}, g AS ({_CLASSES}) SELECT rep id, sum(id % 7)::bigint strength FROM g GROUP BY 1")
+def fold_duplicates_hours(spark, sf_dir):
+    classed = _hour_classes(spark, sf_dir)
+    return dedupe.fold(classed.select("id", (F.col("id") % 7).alias("strength")), classed)
+
+
 _MAIN_GRAM = "g AS (SELECT a.c p, b.c q, count(*) g FROM x a JOIN x b ON a.r = b.r AND a.c <= b.c GROUP BY 1, 2)"
 
 

@@ -42,10 +42,19 @@ def embed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return from_arrays(e, "vec_id", "embedding"), e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("y"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Users by kind of event and quarter of the day; the response is the sum of values in hundredths."""
+def _events(spark: SparkSession, sf_dir: str, bins: int) -> tuple[DataFrame, DataFrame]:
     e = _table(spark, sf_dir, "events")
     kinds = e.select("event_type").distinct().withColumn("kind", F.row_number().over(W.orderBy("event_type")) - 1)
-    x = e.join(F.broadcast(kinds), "event_type").select(F.col("user_id").alias("row_id"), (F.col("kind") * 4 + F.floor(F.hour("ts") / 6)).cast("int").alias("col_id")).distinct().withColumn("val", F.lit(1.0))
+    x = e.join(F.broadcast(kinds), "event_type").select(F.col("user_id").alias("row_id"), (F.col("kind") * bins + F.floor(F.hour("ts") / (24 // bins))).cast("int").alias("col_id")).distinct().withColumn("val", F.lit(1.0))
     y = e.groupBy(F.col("user_id").alias("row_id")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("y"))
     return x, y
+
+
+def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users by kind of event and quarter of the day; the response is the sum of values in hundredths."""
+    return _events(spark, sf_dir, 4)
+
+
+def events_by_hour(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users by kind of event and hour of the day, the surveyed matrix of long rows; the response as in ``events``."""
+    return _events(spark, sf_dir, 24)
