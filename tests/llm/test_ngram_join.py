@@ -70,6 +70,24 @@ def test_odd_rows(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_long_row_counts_its_overlap_once(spark):
+    """Two texts share half, rare shingles of all; one stands in two rows. The parity prints can't tell."""
+    shared, one, two = (" ".join(f"{k}{i}" for i in range(1500)) for k in "sab")
+    docs = [(1, f"{shared} {one}"), (1, f"{shared} {one}"), (2, f"{shared} {two}")]
+    docs += [(10 + i, one) for i in range(4)] + [(20 + i, two) for i in range(4)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(spark.createDataFrame(docs, SCHEMA), 5, 8, 10).collect()}
+    assert got == plain_components(docs, 5, 8, 10) and got[2] == 2
+
+
+def test_several_texts_of_one_document(spark):
+    docs = [(d // 3 if d % 2 else d, t) for d, t in corpus(3)]
+    docs += docs[::4]
+    long = [" ".join(f"{k}{i}" for i in range(n)) for k, n in (("u", 2000), ("v", 2000))]
+    docs += [(900, long[0]), (900, long[1]), (901, long[0][:-9] + " x y"), (902, long[1] + " z"), (903, " ".join(long))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_join(spark.createDataFrame(docs, SCHEMA), 5, 8, 10).collect()}
+    assert got == plain_components(docs, 5, 8, 10)
+
+
 def test_words_across_segments_and_rows():
     long = " ".join(f"word{i}" for i in range(300_000))
     column = pa.array(["Ab c d", None, "", long, "tail"])

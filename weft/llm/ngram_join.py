@@ -170,7 +170,7 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, words: int, shared, wanted, cuts: np.ndarray) -> DataFrame:
-    """``doc_id, fragment, part``: the sets of the wanted documents, cut at the pivots."""
+    """``doc_id, f1, fragment, part``: the sets of the wanted documents, cut at the pivots; repeated rows repeat."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, bits = shared.value, wanted.value
@@ -179,8 +179,9 @@ def _segments(docs: DataFrame, words: int, shared, wanted, cuts: np.ndarray) ->
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if not batch.num_rows:
                 continue
-            ids, fragments, parts = [], [], []
+            ids, prints, fragments, parts = [], [], [], []
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
+                one = int(mix(s).sum(dtype=np.uint64).astype(np.int64))
                 place = np.searchsorted(cuts, order_keys(s, counts), side="right")
                 s = s[np.argsort(place, kind="stable")].astype(np.int64)
                 ends = np.cumsum(np.bincount(place, minlength=len(cuts) + 1))
@@ -188,26 +189,37 @@ def _segments(docs: DataFrame, words: int, shared, wanted, cuts: np.ndarray) ->
                 for k, end in enumerate(ends.tolist()):
                     if end > start:
                         ids.append(doc)
+                        prints.append(one)
                         fragments.append(k)
                         parts.append(s[start:end])
                     start = end
             lengths = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))], names=["doc_id", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))], names=["doc_id", "f1", "fragment", "part"])
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut, "doc_id long, fragment int, part array<long>")
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut, "doc_id long, f1 long, fragment int, part array<long>")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, shared, cuts: np.ndarray, scratch: Scratch) -> DataFrame:
-    """Of the pairs ``a, b, na, nb`` those that meet the threshold."""
+def _links(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, words: int, num: int, den: int, shared, cuts: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Of the pairs ``a, b, fa, fb, na, nb`` those that meet the threshold.
+
+    ``repeated`` has the documents of which a set stands in several rows; their
+    fragments are reduced to one of each, so that an overlap counts once.
+    """
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(_bit_filter(ids, FILTER_BITS))
     parts = scratch.put(_segments(docs, words, shared, wanted, cuts))
-    left = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("part").alias("x"))
-    right = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("part").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    if repeated is not None:
+        every = parts
+        once = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "f1", "fragment").agg(F.first("part").alias("part"))
+        parts = scratch.put(every.join(repeated, "doc_id", "left_anti").unionByName(once))
+        scratch.drop(every)
+    left = parts.select(F.col("doc_id").alias("a"), F.col("f1").alias("fa"), "fragment", F.col("part").alias("x"))
+    right = parts.select(F.col("doc_id").alias("b"), F.col("f1").alias("fb"), "fragment", F.col("part").alias("y"))
+    pair = ["a", "b", "fa", "fb", "na", "nb"]
+    partial = pairs.join(left, ["a", "fa"]).join(right, ["b", "fb", "fragment"]).select(*pair, F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"))
+    summed = partial.groupBy(*pair).agg(F.sum("overlap").alias("overlap"))
     out = scratch.put(summed.filter(F.col("overlap") * den >= (F.col("na") + F.col("nb") - F.col("overlap")) * num).select("a", "b"))
     scratch.drop(parts)
     return out
@@ -237,7 +249,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     links, the document's own included. Empty, null and wordless texts have no
     shingles and link with nothing. Texts with fewer words than a shingle have
     one. Repeated rows give repeated result rows; rows that share a doc_id are
-    one document. A null doc_id links with nothing and has a null component.
+    one document, which links as any of their texts does. A null doc_id links with nothing and has a null component.
     Columns besides the two are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -252,10 +264,13 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     classes = scratch.put(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     one = ["doc_id", "f1", "f2"]
     prints = known.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), one, "left_semi").dropDuplicates(one)
-    prints = scratch.put(prints.select("doc_id", "n", "head", *(f"s{k}" for k in range(PARITY))))
+    prints = scratch.put(prints.select("doc_id", "f1", "n", "head", *(f"s{k}" for k in range(PARITY))))
     slim = scratch.put(sets.select("doc_id", "n", "f1", "f2"))
     scratch.drop(sets)
     sets, known = slim, slim.filter("n > 0 AND doc_id IS NOT NULL")
+    repeated = scratch.put(known.groupBy("doc_id", "f1").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id").distinct())
+    if repeated.isEmpty():
+        repeated = None
     entries = prints.select("doc_id", "n", F.posexplode("head").alias("i", "shingle"))
     shared_by = entries.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1").select("shingle")
     buckets = scratch.put(entries.join(shared_by, "shingle"))
@@ -266,7 +281,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
         for earlier in done:
             pairs = pairs.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
         done.append(scratch.put(pairs))
-        found = _links(done[-1], docs, words, num, den, shared, cuts, scratch)
+        found = _links(done[-1], docs, repeated, words, num, den, shared, cuts, scratch)
         joined = scratch.put(components(found if edges is None else edges.unionAll(found), scratch))
         edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         members = scratch.put(_open_members(buckets, joined))
@@ -275,17 +290,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
         rest = rest.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
     rest = scratch.put(rest)
     if not rest.isEmpty():
-        edges = edges.unionAll(_links(rest, docs, words, num, den, shared, cuts, scratch))
+        edges = edges.unionAll(_links(rest, docs, repeated, words, num, den, shared, cuts, scratch))
     copies = known.join(classes, ["f1", "f2", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     last = components(edges.unionAll(copies), scratch)
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def _screened(pairs: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, na, nb`` of the pairs whose parity prints don't rule the threshold out."""
+    """``a, b, fa, fb, na, nb`` of the pairs whose parity prints don't rule the threshold out."""
     one = pairs.alias("p").join(prints.drop("head").alias("a"), F.expr("p.a = a.doc_id"))
     both = one.join(prints.drop("head").alias("b"), F.expr("p.b = b.doc_id"))
-    return both.filter(_different(num, den)).selectExpr("p.a a", "p.b b", "a.n na", "b.n nb").filter(_may_meet(num, den))
+    return both.filter(_different(num, den)).selectExpr("p.a a", "p.b b", "a.f1 fa", "b.f1 fb", "a.n na", "b.n nb").filter(_may_meet(num, den))
 
 
 def _hub_pairs(members: DataFrame, salt: int, num: int, den: int) -> DataFrame:
@@ -305,16 +320,17 @@ def _open_members(buckets: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, na, nb`` of every pair that shares a bucket, may meet the threshold, and isn't connected yet.
+    """``a, b, fa, fb, na, nb`` of every pair that shares a bucket, may meet the threshold, and isn't connected yet.
 
     In each bucket the members outside its largest component are held against
     all the others; within a component no pair is made. Places, sizes and
-    parity prints are part of the join's condition.
+    parity prints are part of the join's condition. A doc_id with several sets
+    has each of its entries with each of them, the entry's own among these.
     """
-    signed = members.join(prints.select("doc_id", *(f"s{k}" for k in range(PARITY))), "doc_id")
+    signed = members.drop("n").join(prints.select("doc_id", "f1", "n", *(f"s{k}" for k in range(PARITY))), "doc_id")
     x, y = signed.filter("root <> main").alias("a"), signed.alias("b")
     sides = _may_meet(num, den, True)
     for name, column in (("na", "a.n"), ("nb", "b.n"), ("ia", "a.i"), ("ib", "b.i")):
         sides = sides.replace(name, column)
     met = x.join(y, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {sides} AND {_different(num, den)}"))
-    return met.selectExpr("least(a.doc_id, b.doc_id) a", "greatest(a.doc_id, b.doc_id) b", "if(a.doc_id < b.doc_id, a.n, b.n) na", "if(a.doc_id < b.doc_id, b.n, a.n) nb").distinct()
+    return met.selectExpr("least(a.doc_id, b.doc_id) a", "greatest(a.doc_id, b.doc_id) b", "if(a.doc_id < b.doc_id, a.f1, b.f1) fa", "if(a.doc_id < b.doc_id, b.f1, a.f1) fb", "if(a.doc_id < b.doc_id, a.n, b.n) na", "if(a.doc_id < b.doc_id, b.n, a.n) nb").distinct()
