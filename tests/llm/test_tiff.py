@@ -107,3 +107,13 @@ def test_digests_of_texts(spark):
         whole = data + b" " * (max(1, -(-len(data) // 192)) * 192 - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
     assert rows[3][1:] == rows[5][1:] and rows[0][1:] == rows[1][1:] and rows[4]["n_pages"] > 1
+
+
+def test_print_covers_all_pages(spark):
+    texts = ["a" * 50_000 + "z" * 70_000, "a" * 50_000 + "b" * 50_000 + "z" * 20_000, "short text " * 60]
+    rows = media_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts, strict=True):
+        data = t.encode() + b" " * (-len(t) % 192)
+        at = [k * len(data) // 64 for k in range(65)]
+        cells = [sum(data[a:b]) for a, b in zip(at, at[1:])]
+        assert int(r["feature"].rsplit("-", 1)[1], 16) == int("".join(str(int(c * 64 > sum(cells))) for c in cells), 2)

@@ -33,24 +33,26 @@ class _Digest:
         self.head = (doc_id, n_bytes)
         self.media = (len(content), hashlib.sha256(content).hexdigest())
         self.sha, self.size, self.tail, self.pages = hashlib.sha256(), 0, b"", 0
-        self.histogram, self.print = np.zeros(256, dtype=np.int64), 0
+        self.histogram, self.cells = np.zeros(256, dtype=np.int64), np.zeros(64, dtype=np.int64)
+        # 64 even cells of the payload as written; whatever is read beyond it falls into the last
+        self.edges = np.append(np.arange(64) * (max(1, -(-n_bytes // ROW)) * ROW) // 64, np.iinfo(np.int64).max)
 
     def add(self, pixels: bytes) -> None:
         x = np.frombuffer(pixels, dtype=np.uint8)
         self.sha.update(pixels)
+        sums = np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+        self.cells += np.diff(sums[np.clip(self.edges - self.size, 0, len(x))])
         self.size += len(pixels)
         self.tail = (self.tail + pixels[-16:])[-16:]
         self.histogram += np.bincount(x, minlength=256)
-        if not self.pages:
-            cells = np.add.reduceat(x.astype(np.int64), np.arange(64) * len(x) // 64)
-            self.print = int("".join("01"[v] for v in (cells > cells.mean()).astype(int)), 2)
         self.pages += 1
 
     def row(self) -> tuple:
         total = max(1, int(self.histogram.sum()))
         mean = int((self.histogram * np.arange(256)).sum()) * 1000 // total
         used = int((self.histogram > 0).sum())
-        return (*self.head, self.size, self.sha.hexdigest(), zlib.crc32(self.tail), *self.media, f"p{self.pages}-m{mean}-u{used}-{self.print:016x}", self.pages)
+        bits = int("".join("01"[v] for v in (self.cells > self.cells.mean()).astype(int)), 2)
+        return (*self.head, self.size, self.sha.hexdigest(), zlib.crc32(self.tail), *self.media, f"p{self.pages}-m{mean}-u{used}-{bits:016x}", self.pages)
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
