@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from weft.functions import ids, scalar
 from weft.operators import dedupe, encode, prune, report, screen, solve
 from weft.plans import calibration
+from weft.plans import path as path_module
 from weft.plans.path import FitConfig, FitState, fit
 from weft.queries import QUERIES
 from weft.sources import checkpoint, tables, text
 from weft.streaming import running_sums
 
+# The small matrices, responses, calibration vectors and saved states of FIXTURES.md, sections 3.H1 to 3.H6.
 SMALL = ["111001", "101101", "011110", "110001", "111001"]
 TRUE_Y = [-12.3, 7.3, 0.0, 2.3, -12.3]
 REAL = [[0.2, 1.2, 1.4, -2.3, -0.1], [-0.2, -1.2, 3.4, -1.3, 0.1], [-1.3, 0.2, -3.4, 2.3, 0.7], [0.2, 0.2, 0.4, -3.3, 2.1], [-0.2, -1.2, 3.2, 3.5, 0.1]]
@@ -104,15 +106,67 @@ def test_three_way_fit(spark):
     assert sum(abs(b) >= 1e-4 for b in got.values()) < 8
 
 
+def both_ways(spark, x, y, p, **options):
+    """The fit with inner products computed ahead, and the one that screens and prunes at every step."""
+    one, two = (fit(x, y, p, FitConfig(**options, ahead=n)) for n in (5000, 0))
+    a, b = effects(one), effects(two)
+    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-8) for k in a)
+    assert math.isclose(one.final_lambda, two.final_lambda) and math.isclose(one.sigma, two.sigma, rel_tol=1e-9)
+    return one, two
+
+
+def random_bits(seed, n, p, share):
+    return ["".join(map(str, r)) for r in (np.random.default_rng(seed).random((n, p)) < share).astype(int)]
+
+
 def test_screens_per_step_and_ahead_agree(spark):
-    rng = np.random.default_rng(1)
-    lines = ["".join(map(str, r)) for r in (rng.random((60, 8)) < 0.4).astype(int)]
-    y = response(spark, [3.0 * (line[0] == "1") - 4.0 * (line[2] == "1" and line[5] == "1") + e for line, e in zip(lines, rng.normal(0, 0.1, 60), strict=True)])
+    lines, noise = random_bits(1, 60, 8, 0.4), np.random.default_rng(1).normal(0, 0.1, 60)
+    y = response(spark, [3.0 * (line[0] == "1") - 4.0 * (line[2] == "1" and line[5] == "1") + e for line, e in zip(lines, noise, strict=True)])
     x = matrix(spark, lines)
-    options = {"depth": 2, "lambda_min": 1.0, "halt_error_diff": 1.0001, "lambda_max": 2.5}
-    one, two = effects(fit(x, y, 8, FitConfig(**options))), effects(fit(x, y, 8, FitConfig(**options, ahead=0)))
-    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], abs_tol=1e-8) for k in one)
-    assert {(0,), (2, 5)} <= one.keys()
+    assert {(0,), (2, 5)} <= effects(fit(x, y, 8, FitConfig(depth=2, lambda_min=1.0, lambda_max=2.5, halt_error_diff=1.0001))).keys()
+    one, _ = both_ways(spark, x, y, 8, depth=2, lambda_min=1.0, halt_error_diff=1.0001, lambda_max=1.6, max_lambdas=4)
+    assert effects(one)
+
+
+@pytest.mark.parametrize("options", [{"depth": 3}, {"depth": 3, "max_interaction_distance": 3}, {"depth": 3, "hierarchy": "compat"}, {"depth": 2, "hierarchy": "strong"}])
+def test_both_ways_of_three_way_and_hierarchical_fits(spark, options):
+    lines = random_bits(7, 50, 6, 0.5)
+    bit = lambda line, *c: all(line[k] == "1" for k in c)
+    y = response(spark, [2.0 * bit(line, 1) + 2.0 * bit(line, 3) - 4.0 * bit(line, 1, 3) + 5.0 * bit(line, 0, 2, 3) + 0.01 * r for r, line in enumerate(lines)])
+    both_ways(spark, matrix(spark, lines), y, 6, lambda_min=1.0, lambda_max=1.9, halt_error_diff=1.001, max_lambdas=3, **options)
+
+
+def test_equal_columns_are_skipped_alike(spark):
+    """Three equal columns, and products equal to columns: which of them is active doesn't depend on the size of the space."""
+    bits = (np.random.default_rng(9).random((80, 6)) < 0.5).astype(int)
+    bits[:, 4] = bits[:, 5] = bits[:, 1]
+    noise = np.random.default_rng(10).normal(0, 0.2, 80)
+    y = response(spark, 3.0 * bits[:, 1] - 2.0 * bits[:, 0] * bits[:, 2] + noise)
+    x = matrix(spark, ["".join(map(str, r)) for r in bits])
+    one, two = both_ways(spark, x, y, 6, depth=2, check_duplicates=True, lambda_min=1.0, lambda_max=2.0, max_nz_beta=3, max_lambdas=5)
+    assert (1,) in effects(one) and not {(4,), (5,)} & effects(one).keys()
+    told = [{r["rep"]: r["equivalent"] for r in f.equivalent.collect()} for f in (one, two)]
+    assert told[0] == told[1] and {1, 4, 5} <= set(told[0][1])
+
+
+def test_pruned_search_multiplies_fewer_columns(spark):
+    """Columns without a share in anything large are left out of the products, for ones and zeros and for real values."""
+    rng = np.random.default_rng(11)
+    bits = (rng.random((200, 30)) < 0.1).astype(int)
+    bits[:, :4] = (rng.random((200, 4)) < 0.6).astype(int)
+    y = 4.0 * bits[:, 0] - 6.0 * bits[:, 1] * bits[:, 2] + rng.normal(0, 0.05, 200)
+    cells = [(r, c, float(v)) for r, row in enumerate(bits) for c, v in enumerate(row) if v]
+    binary = spark.createDataFrame(cells, "row_id long, col_id int, val double")
+    real = spark.createDataFrame([(r, c, round(float(v), 6)) for (r, c, _), v in zip(cells, rng.uniform(-1, 1, len(cells)), strict=True)], "row_id long, col_id int, val double")
+    for x, continuous in ((binary, False), (real, True)):
+        highest = path_module.lambda_max(x, response(spark, y)) / float(np.linalg.norm(y))
+        options = {"depth": 2, "continuous": continuous, "lambda_max": highest * 0.95, "lambda_min": highest * 0.6, "halt_error_diff": 1.0001, "max_lambdas": 4}
+        looked = []
+        close = path_module._Search.close
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(path_module._Search, "close", lambda self: (looked.extend(self.looked), close(self)))
+            both_ways(spark, x, response(spark, y), 30, **options)
+        assert looked and all(n == 30 for _, n in looked) and sum(k for k, _ in looked) < 0.8 * sum(n for _, n in looked)
 
 
 def test_continuous_fit(spark):
@@ -180,8 +234,16 @@ def test_band_and_forms_agree(spark):
 
 
 def test_text_files(spark, tmp_path):
-    (tmp_path / "x.csv").write_text('"r1",1,0,1\n"r2",0,0,0\n"r3",1,1,0,1\n')
+    (tmp_path / "x.csv").write_text('"r1",1,0,1\n"r2",0,0,0\n\n"r3",1,1,0\n')
     assert sorted((r["row_id"], r["col_id"]) for r in text.read_x_csv(spark, str(tmp_path / "x.csv")).collect()) == [(0, 0), (0, 2), (2, 0), (2, 1)]
+    assert text.x_shape(spark, str(tmp_path / "x.csv")) == (3, 3)
+    assert [r["name"] for r in text.row_names(spark, str(tmp_path / "x.csv")).orderBy("row_id").collect()] == ["r1", "r2", "r3"]
+    (tmp_path / "odd.csv").write_text('"r1",1,0,1\n"r2",0,1,0,1\n')
+    with pytest.raises(ValueError, match="3 to 4 cells"):
+        text.read_x_csv(spark, str(tmp_path / "odd.csv"))
+    with pytest.raises(Exception, match="another number of cells"):
+        text.read_x_csv(spark, str(tmp_path / "odd.csv"), columns=4).collect()
+    assert sorted((r["row_id"], r["col_id"]) for r in text.read_x_csv(spark, str(tmp_path / "odd.csv"), clamp=True).collect()) == [(0, 0), (0, 2), (1, 1)]
     (tmp_path / "bad.csv").write_text('"r1",1,2\n')
     with pytest.raises(Exception, match="neither 0 nor 1"):
         text.read_x_csv(spark, str(tmp_path / "bad.csv")).collect()
@@ -194,6 +256,26 @@ def test_text_files(spark, tmp_path):
     assert sorted(map(tuple, text.read_x_csv(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, x.collect()))
 
 
+def test_rows_over_several_files_keep_their_places(spark, tmp_path):
+    """Files of different size, so that a reader takes them in another order than that of their names; rows without a cell."""
+    n = 3000
+    x = spark.range(n).filter("id % 5 <> 3").select(F.col("id").alias("row_id"), (F.col("id") * 7 % 11).cast("int").alias("col_id"), F.lit(1.0).alias("val"))
+    names = spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("n"), "id").alias("name"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_x_csv(x, str(tmp_path / "parts"), 11, names)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        path = str(tmp_path / "parts")
+        assert len(list((tmp_path / "parts").glob("part-*"))) > 1
+        assert sorted(map(tuple, text.read_x_csv(spark, path).collect())) == sorted(map(tuple, x.collect()))
+        assert sorted(map(tuple, text.row_names(spark, path).collect())) == sorted(map(tuple, names.collect()))
+        assert text.x_shape(spark, path) == (n, 11)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_expanded_matrix(spark):
     x = matrix(spark, ["101", "110", "011", "111", "000"])
     got = {tuple(r) for r in screen.expand(x).select("row_id", "i", "j").collect()}

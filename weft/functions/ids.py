@@ -6,7 +6,7 @@ A main i is ``i``; a pair a < b is ``(a + 1) p + b``; a triple a < b < c is
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,25 @@ def flat_index(i: Column, j: Column, p: int) -> Column:
     return (i * p - F.floor(i * (i - 1) / 2) + j - i).cast("long")
 
 
+def flat_pair(flat: Column, p: int) -> tuple[Column, Column]:
+    """The pair i <= j at a place among all such pairs.
+
+    The root gives i or its neighbour; whole numbers decide.
+    """
+    flat = flat.cast("long")
+    start = lambda i: (i * p - F.floor(i * (i - 1) / 2)).cast("long")
+    near = F.floor((2 * p + 1 - F.sqrt(F.lit(float((2 * p + 1) ** 2)) - 8 * flat)) / 2).cast("long")
+    i = F.when(start(near) > flat, near - 1).when(start(near + 1) <= flat, near + 1).otherwise(near)
+    return i, (flat - start(i) + i).cast("long")
+
+
+def ordered(effects: DataFrame) -> DataFrame:
+    """``effects(i, j, k)`` themselves; columns of one effect that don't ascend are an error."""
+    wrong = F.coalesce(F.col("i") >= F.col("j"), F.lit(False)) | F.coalesce(F.col("j") >= F.col("k"), F.lit(False)) | (F.col("j").isNull() & F.col("k").isNotNull()) | F.col("i").isNull()
+    told = F.when(wrong, F.raise_error(F.concat(F.lit("columns of an effect don't ascend: "), F.concat_ws(",", "i", "j", "k"))).cast(effects.schema["i"].dataType)).otherwise(F.col("i"))
+    return effects.withColumn("i", told)
+
+
 def order_of(effect: Column, p: int) -> Column:
     return F.when(effect < p, 1).when(effect < p * p, 2).otherwise(3)
 

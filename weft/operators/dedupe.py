@@ -32,6 +32,12 @@ def prints(x: DataFrame, p: int, depth: int = 1) -> DataFrame:
     return out
 
 
+def like(marked: DataFrame, some: DataFrame) -> DataFrame:
+    """Of the prints those that any of ``some(id)`` has."""
+    own = ["nz", "one", "two"]
+    return marked.join(marked.join(some.select("id"), "id", "left_semi").select(*own).distinct(), own, "left_semi")
+
+
 def classes(marked: DataFrame) -> DataFrame:
     """``id, ord, rep, members``: each effect's representative, the least by order and number, and the size of its class."""
     reps = marked.groupBy("nz", "one", "two").agg(F.min(F.struct("ord", "id")).alias("m"), F.count("*").alias("members"))

@@ -20,17 +20,29 @@ def rows_of(x: DataFrame) -> DataFrame:
     return packed.select("row_id", F.col("cells.col_id").alias("cols"), F.col("cells.val").alias("vals"))
 
 
-def columns_of(x: DataFrame) -> DataFrame:
-    """``col_id, rows, vals``: each column's rows in ascending order."""
-    packed = x.groupBy("col_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "val"))).alias("cells"))
-    return packed.select("col_id", F.col("cells.row_id").alias("rows"), F.col("cells.val").alias("vals"))
+#: Row numbers that one array or one window of a column spans.
+SPAN = 1 << 20
 
 
-def gaps(x: DataFrame) -> DataFrame:
-    """``col_id, row_id, gap, bits, restored``: differences to the row before, the first counted from -1, and back again."""
-    line = W.partitionBy("col_id").orderBy("row_id")
-    gap = x.select("col_id", "row_id", (F.col("row_id") - F.coalesce(F.lag("row_id").over(line), F.lit(-1))).alias("gap"))
-    return gap.withColumn("bits", gap_bits(F.col("gap"))).withColumn("restored", F.sum("gap").over(line.rowsBetween(W.unboundedPreceding, 0)) - 1)
+def columns_of(x: DataFrame, span: int = SPAN) -> DataFrame:
+    """``col_id, part, rows, vals``: each column's rows in ascending order, an array for each ``span`` row numbers that hold any."""
+    packed = x.groupBy("col_id", F.floor(F.col("row_id") / span).alias("part")).agg(F.array_sort(F.collect_list(F.struct("row_id", "val"))).alias("cells"))
+    return packed.select("col_id", "part", F.col("cells.row_id").alias("rows"), F.col("cells.val").alias("vals"))
+
+
+def gaps(x: DataFrame, span: int = SPAN) -> DataFrame:
+    """``col_id, row_id, gap, bits, restored``: differences to the row before, the first counted from -1, and back again.
+
+    Columns are cut by row numbers, so that no task holds a whole column; the
+    last row before each part comes from a table with one row for each part.
+    """
+    cells = x.select("col_id", "row_id", F.floor(F.col("row_id") / span).alias("part"))
+    ends = cells.groupBy("col_id", "part").agg(F.max("row_id").alias("last"))
+    before = ends.select("col_id", "part", F.coalesce(F.lag("last").over(W.partitionBy("col_id").orderBy("part")), F.lit(-1)).alias("before"))
+    line = W.partitionBy("col_id", "part").orderBy("row_id")
+    gap = cells.join(before, ["col_id", "part"]).withColumn("gap", F.col("row_id") - F.coalesce(F.lag("row_id").over(line), "before"))
+    restored = F.col("before") + F.sum("gap").over(line.rowsBetween(W.unboundedPreceding, 0))
+    return gap.select("col_id", "row_id", "gap", gap_bits(F.col("gap")).alias("bits"), restored.alias("restored"))
 
 
 def column_stats(x: DataFrame) -> DataFrame:
@@ -38,9 +50,29 @@ def column_stats(x: DataFrame) -> DataFrame:
     return x.groupBy("col_id").agg(F.count("*").alias("nz"), F.max_by("val", F.struct(F.abs("val"), "val")).alias("col_max"))
 
 
+def overall_max(x: DataFrame) -> DataFrame:
+    """``overall_max``: the greatest size of any value."""
+    return x.agg(F.max(F.abs("val")).alias("overall_max"))
+
+
 def matrix_stats(x: DataFrame) -> DataFrame:
-    per = x.groupBy("col_id").agg(F.count("*").alias("nz"))
-    return per.agg(F.sum("nz").alias("entries"), F.max("nz").alias("largest"), F.avg("nz").alias("mean_nz"), F.count("*").alias("columns"))
+    """``entries, largest, mean_nz, columns, mean_gap`` of all columns that hold anything.
+
+    Gaps of a column sum to its last row number and one.
+    """
+    per = x.groupBy("col_id").agg(F.count("*").alias("nz"), (F.max("row_id") + 1).alias("reach"))
+    return per.agg(F.sum("nz").alias("entries"), F.max("nz").alias("largest"), F.avg("nz").alias("mean_nz"), F.count("*").alias("columns"), (F.sum("reach") / F.sum("nz")).alias("mean_gap"))
+
+
+def columns_match(x: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, same`` for each of ``pairs(a, b)``: whether both columns hold the same values in the same rows; no column is gathered."""
+    size = x.groupBy("col_id").agg(F.count("*").alias("nz"))
+    near = pairs.select("a", "b").distinct()
+    one = near.join(x.select(F.col("col_id").alias("a"), "row_id", F.col("val").alias("v")), "a")
+    met = one.join(x.select(F.col("col_id").alias("b"), "row_id", F.col("val").alias("w")), ["b", "row_id"]).groupBy("a", "b").agg(F.sum((F.col("v") == F.col("w")).cast("long")).alias("equal"))
+    told = near.join(met, ["a", "b"], "left").join(size.select(F.col("col_id").alias("a"), F.col("nz").alias("na")), "a", "left").join(size.select(F.col("col_id").alias("b"), F.col("nz").alias("nb")), "b", "left")
+    n, m, e = (F.coalesce(c, F.lit(0)) for c in ("na", "nb", "equal"))
+    return told.select("a", "b", ((n == m) & (n == e)).alias("same"))
 
 
 def column_by_effect(x: DataFrame, columns: tuple[int, ...]) -> DataFrame:

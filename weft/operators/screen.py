@@ -1,27 +1,21 @@
 """The product space as a query: sums of a response over every pair or triple of columns that occur together.
 
 Two forms give the same result. The array form holds each row's columns as one
-sorted array with the row's response, so that products come from expressions
-over one row and nothing moves before the partial aggregation. The join form is
-a band self-join on the row; it has no array to outgrow a task's memory, and
-adaptive execution may split long rows' partitions.
+sorted array with the row's response; the first column of a product is exploded
+from it, then the next from what is left of the array, so that a task never
+holds more than one row's columns and nothing moves before the partial
+aggregation. The join form is a band self-join on the row; it has no array to
+outgrow a task's memory, and adaptive execution may split long rows' partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.encode import rows_of
-
-
 #: Parts into which columns are dealt where all pairs of them are listed.
 PARTS = 64
-
-
-def with_response(x: DataFrame, y: DataFrame, value: str = "y") -> DataFrame:
-    """``row_id, cols, vals, y`` for rows that have both."""
-    return rows_of(x).join(y.select("row_id", F.col(value).alias("y")), "row_id")
+_NAMES = ("i", "j", "k")
 
 
 def main_screen(x: DataFrame, y: DataFrame, value: str = "y") -> DataFrame:
@@ -29,21 +23,28 @@ def main_screen(x: DataFrame, y: DataFrame, value: str = "y") -> DataFrame:
     return x.join(y.select("row_id", F.col(value).alias("_y")), "row_id").groupBy(F.col("col_id").alias("i")).agg(F.count("*").alias("nz"), F.sum(F.col("val") * F.col("_y")).alias("s"))
 
 
-def _pairs(distance: int | None) -> Column:
-    """All pairs of one row's sorted cells, as structs, within the distance."""
-    inner = "slice(cells, q + 2, size(cells))" if distance is None else f"filter(slice(cells, q + 2, size(cells)), b -> b.c - a.c <= {distance})"
-    return F.expr(f"flatten(transform(cells, (a, q) -> transform({inner}, b -> named_struct('i', a.c, 'j', b.c, 'v', a.v * b.v))))")
-
+def packed(x: DataFrame, binary: bool) -> DataFrame:
+    """``row_id, cells``: each row's columns in ascending order, with their values unless these are all one."""
+    return x.groupBy("row_id").agg(F.sort_array(F.collect_list("col_id" if binary else F.struct("col_id", "val"))).alias("cells"))
 
-def _triples(distance: int | None) -> Column:
-    near = lambda rest, name: rest if distance is None else f"filter({rest}, {name} -> {name}.c - a.c <= {distance})"
-    third = near("slice(cells, q + w + 3, size(cells))", "d")
-    second = near("slice(cells, q + 2, size(cells))", "e")
-    return F.expr(f"flatten(flatten(transform(cells, (a, q) -> transform({second}, (b, w) -> transform({third}, d -> named_struct('i', a.c, 'j', b.c, 'k', d.c, 'v', a.v * b.v * d.v))))))")
 
+def products(rows: DataFrame, order: int, distance: int | None, binary: bool, carried: list[str]) -> DataFrame:
+    """``i[, j[, k]], v`` and the ``carried`` columns, for all products of ``order`` columns within each row of ``rows(cells, ...)``.
 
-def _cells(rows: DataFrame) -> DataFrame:
-    return rows.select("y", F.arrays_zip(F.col("cols").alias("c"), F.col("vals").alias("v")).alias("cells"))
+    Columns of a row are distinct whole numbers, so that no more than
+    ``distance`` of them lie within the distance of another one.
+    """
+    column = lambda cell: F.col(cell) if binary else F.col(f"{cell}.col_id")
+    value = lambda cell: F.lit(1.0) if binary else F.col(f"{cell}.val")
+    out = rows.select(*carried, "cells", F.posexplode("cells").alias("q", "c")).select(*carried, "cells", "q", column("c").alias("i"), value("c").alias("v"))
+    for done in range(1, order):
+        rest = F.slice("cells", F.col("q") + 2, F.size("cells") if distance is None else F.lit(distance))
+        have = [*carried, "cells", "q", *_NAMES[:done], "v"]
+        out = out.select(*have, F.posexplode(rest).alias("w", "c"))
+        out = out.select(*carried, "cells", (F.col("q") + F.col("w") + 1).alias("q"), *_NAMES[:done], column("c").alias(_NAMES[done]), (F.col("v") * value("c")).alias("v"))
+        if distance is not None:
+            out = out.filter(F.col(_NAMES[done]) - F.col("i") <= distance)
+    return out.select(*carried, *_NAMES[:order], "v")
 
 
 def _summed(exploded: DataFrame, keys: list[str], binary: bool) -> DataFrame:
@@ -51,29 +52,48 @@ def _summed(exploded: DataFrame, keys: list[str], binary: bool) -> DataFrame:
     return exploded.groupBy(*keys).agg(F.count("*").alias("nz"), F.sum(weighed).alias("s"))
 
 
+def _array_screen(x: DataFrame, y: DataFrame, order: int, distance: int | None, value: str, binary: bool) -> DataFrame:
+    rows = packed(x, binary).join(y.select("row_id", F.col(value).alias("y")), "row_id")
+    return _summed(products(rows, order, distance, binary, ["y"]), list(_NAMES[:order]), binary)
+
+
 def pair_screen(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True) -> DataFrame:
     """``i, j, nz, s`` for every pair i < j of columns that share a row, at most ``distance`` apart."""
-    rows = _cells(with_response(x, y, value))
-    return _summed(rows.select("y", F.explode(_pairs(distance)).alias("p")).select("y", "p.i", "p.j", "p.v"), ["i", "j"], binary)
+    return _array_screen(x, y, 2, distance, value, binary)
 
 
 def triple_screen(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True) -> DataFrame:
     """``i, j, k, nz, s`` for every triple i < j < k that shares a row; the distance is from the first to the last."""
-    rows = _cells(with_response(x, y, value))
-    return _summed(rows.select("y", F.explode(_triples(distance)).alias("p")).select("y", "p.i", "p.j", "p.k", "p.v"), ["i", "j", "k"], binary)
+    return _array_screen(x, y, 3, distance, value, binary)
 
 
-def pair_screen_by_join(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True) -> DataFrame:
-    """The same as ``pair_screen``, as a band self-join."""
-    a, b = x.alias("a"), x.alias("b")
+def pairs_by_join(x: DataFrame, distance: int | None = None, later: DataFrame | None = None) -> DataFrame:
+    """``row_id, i, j, v, w`` of all pairs that share a row; ``v`` is the product, ``w`` the second value.
+
+    The second column comes from ``later`` where that is given, a part of ``x``.
+    """
+    a, b = x.alias("a"), (x if later is None else later).alias("b")
     near = F.expr("a.row_id = b.row_id AND a.col_id < b.col_id" + (f" AND b.col_id - a.col_id <= {distance}" if distance is not None else ""))
-    met = a.join(b, near).select(F.col("a.row_id").alias("row_id"), F.col("a.col_id").alias("i"), F.col("b.col_id").alias("j"), (F.col("a.val") * F.col("b.val")).alias("v"))
+    return a.join(b, near).select(F.col("a.row_id").alias("row_id"), F.col("a.col_id").alias("i"), F.col("b.col_id").alias("j"), (F.col("a.val") * F.col("b.val")).alias("v"), F.col("b.val").alias("w"))
+
+
+def triples_of_pairs(pairs: DataFrame, live: DataFrame | None = None, distance: int | None = None) -> DataFrame:
+    """``row_id, i, j, k, v`` of the triples whose pairs (i, j) and (i, k) are both among ``pairs``; with ``live(i, j)`` (j, k) too."""
+    a, b = pairs.alias("a"), pairs.alias("b")
+    three = a.join(b, F.expr("a.row_id = b.row_id AND a.i = b.i AND a.j < b.j" + (f" AND b.j - a.i <= {distance}" if distance is not None else "")))
+    out = three.select(F.col("a.row_id").alias("row_id"), F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.col("b.j").alias("k"), (F.col("a.v") * F.col("b.w")).alias("v"))
+    return out if live is None else out.join(live.select(F.col("i").alias("j"), F.col("j").alias("k")), ["j", "k"], "left_semi")
+
+
+def pair_screen_by_join(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True, later: DataFrame | None = None) -> DataFrame:
+    """The same as ``pair_screen``, as a band self-join."""
+    met = pairs_by_join(x, distance, later)
     return _summed(met.join(y.select("row_id", F.col(value).alias("y")), "row_id"), ["i", "j"], binary)
 
 
-def triple_screen_by_join(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True) -> DataFrame:
-    """The same as ``triple_screen``, as two band self-joins."""
-    a, b, c = x.alias("a"), x.alias("b"), x.alias("c")
+def triple_screen_by_join(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True, later: DataFrame | None = None) -> DataFrame:
+    """The same as ``triple_screen``, as two band self-joins; second and third columns come from ``later`` where that is given."""
+    a, b, c = x.alias("a"), (x if later is None else later).alias("b"), (x if later is None else later).alias("c")
     band = lambda n: f" AND {n}.col_id - a.col_id <= {distance}" if distance is not None else ""
     two = a.join(b, F.expr("a.row_id = b.row_id AND a.col_id < b.col_id" + band("b")))
     three = two.join(c, F.expr("a.row_id = c.row_id AND b.col_id < c.col_id" + band("c")))
@@ -101,6 +121,11 @@ def largest_per_main(pairs: DataFrame, symmetric: bool = False) -> DataFrame:
     return rows.groupBy("i").agg(F.max("s").alias("last_max"))
 
 
+def largest_per_pair(triples: DataFrame) -> DataFrame:
+    """``i, j, last_max``: the largest sum in size among the triples that begin with a pair."""
+    return triples.groupBy("i", "j").agg(F.max(F.abs("s")).alias("last_max"))
+
+
 def expand(x: DataFrame) -> DataFrame:
     """``row_id, i, j, val`` of all products i <= j, the column itself where i = j."""
     a, b = x.alias("a"), x.alias("b")

@@ -32,6 +32,11 @@ class Gram:
     y_sum: float
     yy: float
 
+    def part(self, ids: list[int]) -> Gram:
+        place = {e: k for k, e in enumerate(self.ids)}
+        at = [place[e] for e in ids]
+        return Gram(list(ids), self.g[np.ix_(at, at)], self.c[at], self.sums[at], self.n, self.y_sum, self.yy)
+
 
 def response_sums(y: DataFrame) -> tuple[int, float, float]:
     r = y.agg(F.count("*"), F.sum(F.col("y").cast("double")), F.sum(F.col("y").cast("double") * F.col("y"))).first()
@@ -52,7 +57,9 @@ def effect_rows(x: DataFrame, effects: list[int], p: int) -> DataFrame:
         asked = F.broadcast(spark.createDataFrame(rows, "id long, " + ", ".join(f"c{k} int" for k in range(order))))
         out = x.select("row_id", F.col("col_id").alias("c0"), F.col("val").alias("v0")).join(asked, "c0")
         for k in range(1, order):
-            out = out.join(x.select("row_id", F.col("col_id").alias(f"c{k}"), F.col("val").alias(f"v{k}")), ["row_id", f"c{k}"])
+            # only the columns asked for are moved
+            some = x.select("row_id", F.col("col_id").alias(f"c{k}"), F.col("val").alias(f"v{k}")).join(F.broadcast(asked.select(f"c{k}").distinct()), f"c{k}", "left_semi")
+            out = out.join(some, ["row_id", f"c{k}"])
         value = F.col("v0")
         for k in range(1, order):
             value = value * F.col(f"v{k}")
@@ -99,6 +106,17 @@ def residual_norm(m: Gram, beta: np.ndarray, intercept: float) -> float:
     return float(np.sqrt(max(fit, 0.0)))
 
 
+def residual_sums(r: DataFrame, value: str = "r") -> DataFrame:
+    """``n, total, norm`` of residuals: their count, their sum, and the root of the sum of their squares."""
+    v = F.col(value).cast("double")
+    return r.agg(F.count(value).alias("n"), F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.sqrt(F.coalesce(F.sum(v * v), F.lit(0.0))).alias("norm"))
+
+
+def plain_limit(penalty: float, n: int) -> float:
+    """The threshold of the plain lasso, which knows no norm of residuals: the penalty for each row."""
+    return penalty * n
+
+
 def sweep(m: Gram, beta: np.ndarray, intercept: float, limit: float, use_intercept: bool) -> float:
     """One pass over all coordinates in order, in place; the intercept first and without penalty."""
     if use_intercept and m.n:
@@ -136,6 +154,23 @@ def least_squares(m: Gram, use_intercept: bool = True) -> Solution:
     return Solution(beta, intercept, residual_norm(m, beta, intercept))
 
 
+def residuals(x: DataFrame, y: DataFrame, fits: list[tuple[dict[int, float], float]], p: int) -> DataFrame:
+    """``row_id, r0, r1, ...``: fitted values less the response for each of ``fits``, effects and an intercept; one pass for all."""
+    ids = sorted({e for beta, _ in fits for e in beta})
+    out = y.select("row_id", "y")
+    if ids:
+        strengths = F.broadcast(x.sparkSession.createDataFrame([(e, [float(beta.get(e, 0.0)) for beta, _ in fits]) for e in ids], "id long, b array<double>"))
+        parts = effect_rows(x, ids, p).join(strengths, "id").groupBy("row_id").agg(*(F.sum(F.col("val") * F.col("b")[k]).alias(f"f{k}") for k in range(len(fits))))
+        out = out.join(parts, "row_id", "left")
+    fitted = lambda k: F.coalesce(F.col(f"f{k}"), F.lit(0.0)) if ids else F.lit(0.0)
+    return out.select("row_id", *((fitted(k) + F.lit(float(a)) - F.col("y")).alias(f"r{k}") for k, (_, a) in enumerate(fits)))
+
+
+def row_products_without(x: DataFrame, beta: DataFrame, column: int) -> DataFrame:
+    """``row_id, s``: for each row the sum of its values times ``beta(col_id, strength)``, the given column left out."""
+    return x.filter(F.col("col_id") != column).join(beta.select("col_id", "strength"), "col_id").groupBy("row_id").agg(F.sum(F.col("val") * F.col("strength")).alias("s"))
+
+
 def predict(x: DataFrame, effects: dict[int, float], intercept: float, rows: DataFrame, p: int) -> DataFrame:
     """``row_id, fitted`` for each of ``rows(row_id)``."""
     spark = x.sparkSession

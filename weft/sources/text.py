@@ -6,32 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+NAME = r'^\s*"([^"]*)"\s*,'
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``row_id, value``: the lines of one file in order, without empty ones.
+    """``row_id, value``: the lines of all files in order of name and offset, without empty ones.
 
-    The place of a line comes from its offset within the file, so that files
-    split over many tasks keep their order without gathering them.
+    A task reads whole splits of files, one after the other, and counts its
+    lines. The first count and the number of lines of each split, a row for
+    each split of the input, say how far its lines are moved. Lines themselves
+    aren't shuffled, and how splits are dealt to tasks doesn't matter.
     """
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter("trim(value) <> ''")
-    part = lines.withColumn("part", F.shiftright("at", 33))
-    first = {r["part"]: r["n"] for r in part.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for k in sorted(first):
-        before[k], total = total, total + first[k]
-    place = F.row_number().over(W.partitionBy("part").orderBy("at")) - 1
-    shift = F.coalesce(*(F.when(F.col("part") == k, F.lit(n)) for k, n in before.items()), F.lit(0)) if before else F.lit(0)
-    return part.select((place + shift).cast("long").alias("row_id"), "value")
-
-
-def read_x_csv(spark: SparkSession, path: str) -> DataFrame:
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = read.filter("trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1))
+    moved = splits.select("file", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(moved), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("row_id"), "value")
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """``row_id, name, cells`` of lines ``"name",cell,...``."""
+    return _lines(spark, path).select("row_id", F.regexp_extract("value", NAME, 1).alias("name"), F.split(F.regexp_replace("value", NAME, ""), ",").alias("cells"))
+
+
+def row_names(spark: SparkSession, path: str) -> DataFrame:
+    """``row_id, name`` of all lines, those without a non-zero cell included."""
+    return _rows(spark, path).select("row_id", "name")
+
+
+def x_shape(spark: SparkSession, path: str, clamp: bool = False) -> tuple[int, int]:
+    """Lines, and cells of each; lines of different length are an error, or with ``clamp`` the shortest one counts."""
+    n, least, most = _rows(spark, path).agg(F.count("*"), F.min(F.size("cells")), F.max(F.size("cells"))).first()
+    if n and least != most and not clamp:
+        raise ValueError(f"lines hold {least} to {most} cells")
+    return int(n), int(least or 0)
+
+
+def read_x_csv(spark: SparkSession, path: str, columns: int | None = None, clamp: bool = False) -> DataFrame:
     """``row_id, col_id, val`` of lines ``"name",0,1,...``; a cell that is neither 0 nor 1 is an error.
 
-    Columns beyond those of the shortest line are left out.
+    Every line must have the same number of cells, ``columns`` if that is given
+    (then no pass is spent on finding it). With ``clamp``, cells beyond those of
+    the shortest line are left out.
     """
-    cells = _lines(spark, path).select("row_id", F.split(F.regexp_replace("value", r'^\s*"[^"]*"\s*,', ""), ",").alias("cells"))
-    width = cells.agg(F.min(F.size("cells"))).first()[0] or 0
-    each = cells.select("row_id", F.posexplode(F.slice("cells", 1, max(width, 1))).alias("col_id", "cell")).withColumn("cell", F.trim("cell"))
+    width = columns if columns is not None else x_shape(spark, path, clamp)[1]
+    wrong = F.size("cells") < width if clamp else F.size("cells") != width
+    cells = F.when(wrong, F.raise_error(F.concat(F.lit("a line has another number of cells: "), F.size("cells"))).cast("array<string>")).otherwise(F.slice("cells", 1, max(width, 1)))
+    each = _rows(spark, path).select("row_id", F.posexplode(cells).alias("col_id", "cell")).withColumn("cell", F.trim("cell"))
     checked = each.withColumn("val", F.when(F.col("cell") == "1", 1.0).when(F.col("cell") == "0", 0.0).otherwise(F.raise_error(F.concat(F.lit("a cell is neither 0 nor 1: "), "cell")).cast("double")))
     return checked.filter("val <> 0").select("row_id", "col_id", "val")
 
@@ -55,8 +77,16 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     return parts.filter(F.col("at") != first).select((F.col("c")[0].cast("long") - 1).alias("row_id"), (F.col("c")[1].cast("int") - 1).alias("col_id"), F.col("c")[2].cast("double").alias("val"))
 
 
-def write_x_csv(x: DataFrame, path: str, columns: int) -> None:
-    """Lines ``"row",0,1,...``, one for each row that holds anything."""
+def write_x_csv(x: DataFrame, path: str, columns: int, names: DataFrame | None = None) -> None:
+    """Lines ``"name",0,1,...`` in the order of ``row_id``, over as many files as there are partitions.
+
+    With ``names(row_id, name)`` each of its rows is a line, empty ones too;
+    without, a row that holds anything is one and named by its number.
+    """
     cells = x.groupBy("row_id").agg(F.collect_set("col_id").alias("ones"))
-    line = F.concat_ws(",", F.concat(F.lit('"'), F.col("row_id").cast("string"), F.lit('"')), F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.when(F.array_contains("ones", c), "1").otherwise("0"))))
+    if names is None:
+        cells = cells.withColumn("name", F.col("row_id").cast("string"))
+    else:
+        cells = names.select("row_id", F.col("name").cast("string").alias("name")).join(cells, "row_id", "left").withColumn("ones", F.coalesce("ones", F.array().cast("array<int>")))
+    line = F.concat_ws(",", F.concat(F.lit('"'), "name", F.lit('"')), F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: F.when(F.array_contains("ones", c), "1").otherwise("0"))))
     cells.orderBy("row_id").select(line.alias("value")).write.mode("overwrite").text(path)
