@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids, scalar
 from weft.operators import dedupe, encode, prune, report, screen, solve
-from weft.plans import calibration
+from weft.plans import calibration, cli
 from weft.plans import path as path_module
 from weft.plans.path import FitConfig, FitState, fit
 from weft.queries import QUERIES
@@ -204,6 +204,47 @@ def test_fit_resumes_from_any_state(spark, tmp_path):
     assert checkpoint.Checkpoints(spark, str(tmp_path / "log"), FitConfig(depth=3)).restore() is None
 
 
+def test_command_line_and_saved_tables(spark, tmp_path, capsys):
+    """Trailing columns without a cell count among the columns; the saved state reads back as tables of effects."""
+    x, y = tmp_path / "x.csv", tmp_path / "y.csv"
+    x.write_text("".join(f'"r{k}",{",".join(line)},0,0\n' for k, line in enumerate(SMALL)))
+    y.write_text("".join(f'"r{k}",{v}\n' for k, v in enumerate(TRUE_Y)))
+    options = [str(x), str(y), "--lambda-min", "0.5", "--lambda-max", "2", "--duplicates"]
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    assert cli.main([*options, "--checkpoints", log, "--calibrate"]) == 0
+    said = capsys.readouterr().out
+    assert "intercept" in said and "path" in said
+    assert cli.main([*options, "--out", out, "--columns", "8", "--rows", "5"]) == 0 and cli.main([*options, "--output", "quit"]) == 0
+    found = {r["id"]: r["strength"] for r in spark.read.parquet(out).collect()}
+    names = spark.createDataFrame([(c, f"v{c}") for c in range(8)], "col_id int, name string")
+    told = checkpoint.read_log(spark, log, names, 8)
+    assert {r["id"]: r["strength"] for part in told.values() for r in part.collect()} == pytest.approx(found)
+    assert all(r["i"].startswith("v") and r["k"] is None for r in told["pairwise"].collect())
+    with pytest.raises(SystemExit):
+        cli.main([*options, "--columns", "6"])
+    result = fit(matrix(spark, SMALL), response(spark, TRUE_Y), 8, FitConfig(depth=2, lambda_min=0.5, lambda_max=2.0, check_duplicates=True))
+    by_name = {r["effect"]: r["equivalent"] for part in result.tables(names, 8).values() for r in part.collect()}
+    assert by_name.get("v0", ["v5", "v0,v5"]) == ["v5", "v0,v5"] and "v5" not in by_name
+
+
+def test_columns_of_an_effect_must_ascend(spark):
+    good = spark.createDataFrame([(1, None, None), (1, 2, None), (1, 2, 3)], "i int, j int, k int")
+    assert ids.ordered(good).count() == 3
+    for bad in ((2, 1, None), (1, 3, 2), (1, None, 2), (1, 1, None)):
+        with pytest.raises(Exception, match="ascend"):
+            ids.ordered(spark.createDataFrame([bad], "i int, j int, k int")).collect()
+
+
+def test_quartiles_of_a_hot_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot" if k % 3 else f"g{k % 7}", float(v)) for k, v in enumerate(rng.integers(0, 50, 4000))] + [("one", 3.0), ("none", None)]
+    got = {r["g"]: (r["q25"], r["q50"], r["q75"], r["n"]) for r in report.quartiles(spark.createDataFrame(rows, "g string, v double").repartition(9), "g", "v").collect()}
+    for g in {g for g, v in rows if v is not None}:
+        own = [v for h, v in rows if h == g]
+        assert got[g] == pytest.approx((*np.quantile(own, [0.25, 0.5, 0.75]), len(own)))
+    assert "none" not in got
+
+
 def test_newest_state_is_the_last_saved(spark, tmp_path):
     log = checkpoint.Checkpoints(spark, str(tmp_path), FitConfig())
     for counted in (5, 6, 0):

@@ -68,8 +68,8 @@ def quartiles(df: DataFrame, by: str, value: str) -> DataFrame:
     held = placed.groupBy("g", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     all_of = W.partitionBy("g")
     before = F.sum("n").over(all_of.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    held = held.select("g", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(all_of).alias("n"))
-    ranked = placed.join(F.broadcast(held), [placed["g"].eqNullSafe(held["g"]), placed["part"] == held["part"]]).select(placed["g"], "v", "n", (F.col("at") + F.col("shift")).alias("rank"))
+    held = held.select(F.col("g").alias("group"), F.col("part").alias("of"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(all_of).alias("n"))
+    ranked = placed.join(F.broadcast(held), F.expr("g <=> group AND part = of")).select("g", "v", "n", (F.col("at") + F.col("shift")).alias("rank"))
     out = []
     for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
         spot = (F.col("n") - 1) * q

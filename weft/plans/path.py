@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.ids import effect_columns, effect_number
 from weft.functions.scalar import default_lambda_min
-from weft.operators import dedupe, encode, prune, screen, solve
+from weft.operators import dedupe, encode, prune, report, screen, solve
 from weft.sources.scratch import Scratch
 
 SHRINK = 0.95
@@ -83,6 +83,13 @@ class FitResult:
     unbiased: DataFrame | None = None
     unbiased_intercept: float | None = None
 
+    def tables(self, names: DataFrame, p: int) -> dict[str, DataFrame]:
+        """``main``, ``pairwise`` and ``triple`` effects by the names of ``names(col_id, name)``, each with the names of its equivalents."""
+        spark = self.effects.sparkSession
+        none = spark.createDataFrame([], "rep long, equivalent array<long>")
+        named = report.effect_table(self.effects.select("id", "strength"), names, p)
+        return report.by_order(report.with_equivalents(named, self.equivalent if self.equivalent is not None else none, names, p))
+
 
 def lambda_max(x: DataFrame, y: DataFrame) -> float:
     """The largest inner product of a column with the response, in size."""

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.ids import decode, flat_index, pair_id, triple_id
-from weft.functions.scalar import default_lambda_min, soft_threshold
+from weft.functions.ids import decode, flat_index, flat_pair, ordered, pair_id, triple_id
+from weft.functions.scalar import candidates, default_lambda_min, soft_threshold
 from weft.operators import dedupe, encode, prune, report, screen, solve
 from weft.plans.calibration import distances
 from weft.plans.path import FitConfig, fit, lambda_grid
 from weft.sources import tables, text
 from weft.sources.checkpoint import latest
+from weft.sources.scratch import Scratch
 
 BRANDS = 25
 EVENT_COLUMNS = 20
@@ -65,11 +65,17 @@ def binarise(spark, sf_dir):
 
 @query(f"WITH {_BASKET}, d AS (SELECT r, dense_rank() OVER (ORDER BY r) - 1 n, c FROM x) SELECT n row_id, c col_id FROM d")
 def csv_roundtrip_x(spark, sf_dir):
-    x = tables.basket(spark, sf_dir)[0]
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weft-')}"
-    path = f"{folder.rstrip('/')}/x-{spark.sparkContext.applicationId}.csv"
+    x, path = tables.basket(spark, sf_dir)[0], Scratch(spark).path()
     text.write_x_csv(x, path, BRANDS)
-    return text.read_x_csv(spark, path).select("row_id", "col_id")
+    return text.read_x_csv(spark, path, BRANDS).select("row_id", "col_id")
+
+
+@query(f"WITH {_BASKET} SELECT y.r::varchar \"name\", c col_id FROM y LEFT JOIN x USING (r)")
+def csv_roundtrip_rows(spark, sf_dir):
+    """All orders as named lines, those without parts too, and their names read back."""
+    (x, y), path = tables.basket(spark, sf_dir), Scratch(spark).path()
+    text.write_x_csv(x, path, BRANDS, y.select("row_id", F.col("row_id").alias("name")))
+    return text.row_names(spark, path).join(text.read_x_csv(spark, path), "row_id", "left").select("name", "col_id")
 
 
 @query(f"WITH {_EMBED} SELECT c col_id, count(*) nz, round(arg_max(v, struct_pack(a := abs(v), b := v)), 6) col_max FROM x WHERE v <> 0 GROUP BY 1")
@@ -84,18 +90,34 @@ def csr_rows(spark, sf_dir):
 
 @query(f"WITH {_BASKET} SELECT c col_id, count(*) nz, sum(r)::bigint row_sum, min(r) first_row, max(r) last_row FROM x GROUP BY 1")
 def csc_columns(spark, sf_dir):
-    return encode.columns_of(tables.basket(spark, sf_dir)[0]).select("col_id", F.size("rows").cast("long").alias("nz"), F.expr("aggregate(rows, 0L, (a, b) -> a + b)").alias("row_sum"), F.col("rows")[0].alias("first_row"), F.element_at("rows", -1).alias("last_row"))
+    parts = encode.columns_of(tables.basket(spark, sf_dir)[0], 1 << 12)
+    return parts.groupBy("col_id").agg(F.sum(F.size("rows")).alias("nz"), F.sum(F.expr("aggregate(rows, 0L, (a, b) -> a + b)")).alias("row_sum"), F.min(F.col("rows")[0]).alias("first_row"), F.max(F.element_at("rows", -1)).alias("last_row"))
 
 
 @query(f"""WITH {_BASKET}, g AS (SELECT c, r, r - coalesce(lag(r) OVER (PARTITION BY c ORDER BY r), -1) gap FROM x)
 SELECT c col_id, r row_id, gap, cast(length(bin(gap)) AS int) bits, r restored FROM g""")
 def gap_encoding(spark, sf_dir):
-    return encode.gaps(tables.basket(spark, sf_dir)[0])
+    return encode.gaps(tables.basket(spark, sf_dir)[0], 1 << 12)
 
 
-@query(f"WITH {_BASKET}, c AS (SELECT c, count(*) nz FROM x GROUP BY 1) SELECT sum(nz)::bigint entries, max(nz) largest, round(avg(nz), 6) mean_nz, count(*) \"columns\" FROM c")
+@query(f"WITH {_BASKET}, c AS (SELECT c, count(*) nz, max(r) last FROM x GROUP BY 1) SELECT sum(nz)::bigint entries, max(nz) largest, round(avg(nz), 6) mean_nz, count(*) \"columns\", round(sum(last + 1) / sum(nz), 6) mean_gap FROM c")
 def matrix_stats(spark, sf_dir):
-    return encode.matrix_stats(tables.basket(spark, sf_dir)[0]).withColumn("mean_nz", F.round("mean_nz", 6))
+    return encode.matrix_stats(tables.basket(spark, sf_dir)[0]).withColumns({c: F.round(c, 6) for c in ("mean_nz", "mean_gap")})
+
+
+@query(f"WITH {_EMBED} SELECT round(max(abs(v)), 6) overall_max FROM x")
+def overall_max(spark, sf_dir):
+    return encode.overall_max(tables.embed(spark, sf_dir)[0]).withColumn("overall_max", F.round("overall_max", 6))
+
+
+@query(f"""WITH {_BASKET}, z AS (SELECT r, c FROM x UNION ALL SELECT r, 25 FROM x WHERE c = 0), l AS (SELECT c, list(r ORDER BY r) rows FROM z GROUP BY c)
+SELECT a.c a, b.c b, a.rows = b.rows same FROM l a JOIN l b ON a.c < b.c""")
+def columns_match(spark, sf_dir):
+    """Which of all pairs of columns are equal, a planted copy of the first among them."""
+    x = tables.basket(spark, sf_dir)[0]
+    x = x.unionAll(x.filter("col_id = 0").withColumn("col_id", F.lit(BRANDS)))
+    pairs = screen.enumerate_pairs(x.select("col_id").distinct()).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return encode.columns_match(x, pairs)
 
 
 @query(f"WITH {_BASKET} SELECT r row_id, round(y - sum(y) OVER () / count(*) OVER (), 2) y FROM y")
@@ -162,6 +184,21 @@ def flat_index_lookup(spark, sf_dir):
     return pairs.select(flat_index(F.col("i"), F.col("j"), BRANDS).alias("flat"), "i", "j")
 
 
+@query(f"WITH {_PART}, n AS (SELECT count(*) p FROM b) SELECT row_number() OVER (ORDER BY a.c, b.c) - 1 flat, a.c::bigint i, b.c::bigint j FROM b a JOIN b ON a.c <= b.c")
+def flat_index_decode(spark, sf_dir):
+    i, j = flat_pair(F.col("id"), BRANDS)
+    return spark.range(BRANDS * (BRANDS + 1) // 2).select(F.col("id").alias("flat"), i.alias("i"), j.alias("j"))
+
+
+@query(f"""WITH {_PART}, pr AS (SELECT a.c i, b.c j FROM b a JOIN b ON a.c < b.c), tr AS (SELECT pr.i, pr.j, d.c k FROM pr JOIN b d ON d.c > pr.j)
+SELECT depth, dist, ((SELECT count(*) FROM b) + CASE WHEN depth > 1 THEN (SELECT count(*) FROM pr WHERE dist = 0 OR j - i <= dist) ELSE 0 END + CASE WHEN depth > 2 THEN (SELECT count(*) FROM tr WHERE dist = 0 OR k - i <= dist) ELSE 0 END)::bigint n
+FROM (SELECT unnest([1, 2, 3]) depth), (SELECT unnest([0, 1, 5, 24]) dist)""")
+def candidate_counts(spark, sf_dir):
+    """How many effects a search looks at, by depth and distance; 0 is no limit."""
+    rows = [(depth, d, candidates(BRANDS, depth, d or None)) for depth in (1, 2, 3) for d in (0, 1, 5, 24)]
+    return spark.createDataFrame(rows, "depth int, dist int, n long")
+
+
 @query(f"WITH {_BASKET} SELECT a.r row_id, a.c i, b.c j FROM x a JOIN x b ON a.r = b.r AND a.c <= b.c")
 def expand_x2(spark, sf_dir):
     return screen.expand(tables.basket(spark, sf_dir)[0]).select("row_id", "i", "j")
@@ -249,6 +286,42 @@ def branch_bound(spark, sf_dir):
     return bounds.select("col_id", F.round("alpha", 8).alias("alpha"), F.round(F.col("bound") / 1e6, 3).alias("bound"))
 
 
+@query(f"""WITH {_EMBED}, p AS (SELECT a.c i, b.c j, sum(a.v * b.v * y.y) s FROM x a JOIN x b ON a.r = b.r AND a.c < b.c JOIN y ON y.r = a.r GROUP BY 1, 2),
+lm AS (SELECT i, max(abs(s)) last_max FROM (SELECT i, s FROM p UNION ALL SELECT j, s FROM p) GROUP BY 1),
+r AS (SELECT r, y::double l, (y * 0.9 - 0.1)::double r1 FROM y), o AS (SELECT max(abs(v)) m FROM x),
+a AS (SELECT c, abs(sum(r1 * l) / sum(l * l)) alpha FROM x JOIN r USING (r) WHERE v <> 0 GROUP BY 1),
+d AS (SELECT x.c, alpha, m * sum(abs(v * (r1 - alpha * l))) rem FROM x JOIN r USING (r) JOIN a ON a.c = x.c, o WHERE v <> 0 GROUP BY 1, 2, m)
+SELECT c col_id, round(alpha, 8) alpha, round(alpha * last_max + rem, 5) bound FROM d JOIN lm ON lm.i = d.c""")
+def branch_bound_continuous(spark, sf_dir):
+    x, y = tables.embed(spark, sf_dir)
+    last = screen.largest_per_main(screen.pair_screen(x, y, binary=False), symmetric=True)
+    now, before = y.selectExpr("row_id", "y * 0.9D - 0.1D AS r"), y.selectExpr("row_id", "cast(y AS double) AS r")
+    bounds = prune.branch_bound(x, now, before, last, reach=encode.overall_max(x).first()[0])
+    return bounds.select("col_id", F.round("alpha", 8).alias("alpha"), F.round("bound", 5).alias("bound"))
+
+
+@query(f"""WITH {_BASKET}, p AS ({_PAIRS.format('')}), v AS (SELECT a.c i, b.c j, y.y::double r0, (y.y - 5000000)::double r1 FROM x a JOIN x b ON a.r = b.r AND a.c < b.c JOIN y ON y.r = a.r),
+q AS (SELECT i, j, greatest(sum(greatest(r0, 0)), abs(sum(least(r0, 0)))) rest0, greatest(sum(greatest(r0 - 0.9 * r1, 0)), abs(sum(least(r0 - 0.9 * r1, 0)))) rest1 FROM v GROUP BY 1, 2)
+SELECT q.i, q.j, round((CASE WHEN (q.i + q.j) % 2 = 0 THEN least(rest0, 0.9 * abs(p.s) + rest1) ELSE rest0 END) / 1e6, 3) bound FROM q JOIN p ON p.i = q.i AND p.j = q.j""")
+def pair_bound(spark, sf_dir):
+    """Bounds of pairs, half of which were looked at one step before."""
+    x, y = tables.basket(spark, sf_dir)
+    rows = screen.packed(x, True).join(y.selectExpr("row_id", "cast(y AS double) AS r0", "cast(y - 5000000 AS double) AS r1"), "row_id")
+    sums = screen.products(rows, 2, None, True, ["r0", "r1"]).groupBy("i", "j").agg(*prune.rests([0.9], "v", None))
+    known = screen.pair_screen(x, y).filter("(i + j) % 2 = 0").select("i", "j", F.lit(4).alias("step"), F.abs("s").cast("double").alias("last_max"))
+    return prune.bounds(sums, known, ["i", "j"], [4], [0.9]).select("i", "j", F.round(F.col("bound") / 1e6, 3).alias("bound"))
+
+
+@query(f"WITH {_BASKET}, {_TOP_MAINS}, b AS (SELECT c, greatest(sum(greatest(y, 0)), abs(sum(least(y, 0)))) u FROM x JOIN y USING (r) GROUP BY c) SELECT c col_id FROM b WHERE u > (SELECT 0.98 * max(u) FROM b) AND c NOT IN (SELECT c FROM m)")
+def first_seen_columns(spark, sf_dir):
+    """Columns that may have something near the largest bound and weren't among the leading eight."""
+    x, y = tables.basket(spark, sf_dir)
+    sums = x.join(y.select("row_id", F.col("y").cast("double").alias("r0")), "row_id").groupBy("col_id").agg(*prune.rests([], "val", None))
+    bounds = prune.bounds(sums, None, ["col_id"], [], [])
+    top = bounds.agg(F.max("bound")).first()[0] or 0.0
+    return prune.first_seen(prune.updateable(bounds, 0.98 * top), _top_mains(x, y))
+
+
 @query(f"WITH {_BASKET}, p AS ({_PAIRS.format('')}) SELECT i, max(abs(s)) last_max FROM p GROUP BY 1")
 def last_max_per_main(spark, sf_dir):
     return screen.largest_per_main(screen.pair_screen(*tables.basket(spark, sf_dir)))
@@ -256,7 +329,7 @@ def last_max_per_main(spark, sf_dir):
 
 @query(f"WITH {_BASKET}, p AS ({_TRIPLES}) SELECT i, j, max(abs(s)) last_max FROM p GROUP BY 1, 2")
 def last_max_per_pair(spark, sf_dir):
-    return screen.triple_screen(*tables.basket(spark, sf_dir)).groupBy("i", "j").agg(F.max(F.abs("s")).alias("last_max"))
+    return screen.largest_per_pair(screen.triple_screen(*tables.basket(spark, sf_dir)))
 
 
 @query(f"WITH {_BASKET} SELECT a.r row_id FROM x a JOIN x b USING (r) JOIN x d USING (r) WHERE a.c = 0 AND b.c = 3 AND d.c = 7")
@@ -344,9 +417,18 @@ def soft_threshold_prices(spark, sf_dir):
 @query(f"WITH {_BASKET} SELECT round(avg(y), 3) intercept, round(sqrt(sum((y - m)::double * (y - m))) / 1e6, 4) norm FROM (SELECT y, avg(y) OVER () m FROM y)")
 def intercept_and_norm(spark, sf_dir):
     y = tables.basket(spark, sf_dir)[1]
-    mean = y.agg(F.avg("y")).first()[0]
-    rest = F.col("y") - F.lit(mean)
-    return y.agg(F.round(F.avg("y"), 3).alias("intercept"), F.round(F.sqrt(F.sum(rest * rest)) / 1e6, 4).alias("norm"))
+    n, total, _ = solve.residual_sums(y, "y").first()
+    mean = total / n if n else 0.0
+    rest = solve.residual_sums(y.select((F.col("y") - F.lit(mean)).alias("r")))
+    return rest.select(F.round(F.lit(mean), 3).alias("intercept"), F.round(F.col("norm") / 1e6, 4).alias("norm"))
+
+
+@query(f"WITH {_BASKET} SELECT r row_id, sum(c * 0.5)::double s FROM x WHERE c <> 3 GROUP BY 1")
+def row_products_without(spark, sf_dir):
+    """Each row's product with a vector, one column left out."""
+    x = tables.basket(spark, sf_dir)[0]
+    beta = spark.range(BRANDS).select(F.col("id").cast("int").alias("col_id"), (F.col("id") * 0.5).alias("strength"))
+    return solve.row_products_without(x, beta, 3)
 
 
 #: A threshold on the scale of the basket's sums, in cents.
@@ -389,6 +471,15 @@ def cd_sweep(spark, sf_dir):
     return _beta_frame(spark, ids, beta)
 
 
+@query(_sweep_sql(1, "60000.0 * (SELECT count(*) FROM y)"))
+def cd_sweep_plain(spark, sf_dir):
+    """One sweep at the threshold of the plain lasso."""
+    m, ids = _main_gram(spark, sf_dir)
+    beta = solve.np.zeros(len(ids))
+    solve.sweep(m, beta, 0.0, solve.plain_limit(60000.0, m.n), use_intercept=False)
+    return _beta_frame(spark, ids, beta)
+
+
 @query(_sweep_sql(10, "1e9"))
 def lasso_main_sweeps(spark, sf_dir):
     """Ten sweeps over the mains at a fixed threshold."""
@@ -409,23 +500,61 @@ def refit_unbiased(spark, sf_dir):
     return _beta_frame(spark, ids, beta)
 
 
+def _path_sql(depth: int, most_nz: str = "1e18", most_lambdas: int = 200) -> str:
+    """The whole path in one recursive query: a row for each sweep over all effects in the active list.
+
+    ``fresh`` rows begin a penalty: those whose sweep before changed the norm by less than the factor 1.01.
+    """
+    pairs = f"UNION ALL SELECT (a.c + 1::bigint) * {BRANDS} + b.c, a.r FROM x a JOIN x b ON a.r = b.r AND a.c < b.c" if depth > 1 else ""
+    return f"""WITH RECURSIVE {_BASKET}, e AS (SELECT c::bigint id, r FROM x {pairs}),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) k FROM (SELECT DISTINCT id FROM e)),
+ek AS (SELECT k, r FROM e JOIN ids USING (id)),
+gs AS (SELECT a.k p, b.k q, count(*)::double g FROM ek a JOIN ek b ON a.r = b.r GROUP BY 1, 2),
+gr AS (SELECT a.k p, list(coalesce(gs.g, 0) ORDER BY b.k) w FROM ids a CROSS JOIN ids b LEFT JOIN gs ON gs.p = a.k AND gs.q = b.k GROUP BY 1),
+m AS MATERIALIZED (SELECT list(w ORDER BY p) g FROM gr),
+v AS MATERIALIZED (SELECT list(c ORDER BY k) c, list(s ORDER BY k) s FROM (SELECT k, sum(y)::double c, count(*)::double s FROM ek JOIN y USING (r) GROUP BY 1)),
+t AS MATERIALIZED (SELECT count(*)::double n, sum(y)::double ys, sum(y::double * y) yy, (SELECT max(abs(s))::double FROM (SELECT sum(y) s FROM x JOIN y USING (r) GROUP BY c)) l0,
+  1.1 * sqrt(1.0 / count(*)) * sqrt(abs(2 * ln(sqrt(2 * pi()) * 0.95 / (2.0 * 2600)))) lowest FROM y),
+s(it, lam, lim, sig, cnt, sweep, before, after, b, a, act) AS (
+  SELECT 0, l0, 0.0::double, 0.0::double, 0, 0, 0.0::double, sqrt(yy), list_transform(v.c, lambda z: 0.0::double), 0.0::double, list_transform(v.c, lambda z: false) FROM t, v
+  UNION ALL
+  SELECT it + 1, lam, lim, sig, cnt, sweep, after, sqrt(greatest(yy - 2 * list_dot_product(c, b) + list_dot_product(b, list_transform(g, lambda w: list_dot_product(w, b))) + a * (a * n + 2 * list_dot_product(v_s, b) - 2 * ys), 0)), b, a, act
+  FROM (SELECT it, lam, lim, sig, cnt, sweep, after, a, act, g, c, v_s, yy, n, ys,
+          list_reduce(list_concat([b], list_transform(range(1, len(b) + 1), lambda k: [k::double])), lambda acc, y: CASE WHEN act[y[1]::bigint] THEN
+            list_concat(acc[1:y[1]::bigint - 1], [sign(c[y[1]::bigint] - list_dot_product(g[y[1]::bigint], acc) - a * v_s[y[1]::bigint] + g[y[1]::bigint][y[1]::bigint] * acc[y[1]::bigint])
+              * greatest(abs(c[y[1]::bigint] - list_dot_product(g[y[1]::bigint], acc) - a * v_s[y[1]::bigint] + g[y[1]::bigint][y[1]::bigint] * acc[y[1]::bigint]) - lim, 0) / g[y[1]::bigint][y[1]::bigint]], acc[y[1]::bigint + 1:])
+            ELSE acc END) b
+        FROM (SELECT it, lam, lim, sig, cnt, sweep, after, b, g, c, v_s, yy, n, ys, (ys - list_dot_product(v_s, b)) / n a,
+                CASE WHEN sweep = 1 THEN list_transform(act, lambda f, q: f OR abs(list_dot_product(g[q], b) + a * v_s[q] - c[q]) > lim) ELSE act END act
+              FROM (SELECT it, lam, CASE WHEN fresh THEN lam * after ELSE lim END lim, CASE WHEN fresh THEN after ELSE sig END sig, cnt, CASE WHEN fresh THEN 1 ELSE sweep + 1 END sweep, after, b, a, act, m.g, v.c, v.s v_s, t.yy, t.n, t.ys
+                    FROM (SELECT it, fresh, after, b, a, act, sig, lim, sweep, CASE WHEN fresh AND it > 0 THEN lam * 0.95 ELSE lam END lam, CASE WHEN fresh AND list_contains(act, true) THEN cnt + 1 ELSE cnt END cnt
+                          FROM (SELECT *, it = 0 OR sweep >= 100 OR after <= 1e-12 OR before / after < 1.01 fresh FROM s)), m, v, t
+                    WHERE NOT (fresh AND (lam <= t.lowest OR cnt >= {most_lambdas} OR len(list_filter(b, lambda z: z <> 0)) >= {most_nz} OR after <= 1e-9 * sqrt(t.yy)))))))
+SELECT CASE WHEN id < {BRANDS} THEN 1 ELSE 2 END ord, id, (CASE WHEN id < {BRANDS} THEN id ELSE id // {BRANDS} - 1 END)::int i, (CASE WHEN id >= {BRANDS} THEN id % {BRANDS} END)::int j, NULL::int k, round(b[ids.k] / 1e4, 4) strength
+FROM (SELECT b FROM s ORDER BY it DESC LIMIT 1), ids WHERE b[ids.k] <> 0"""
+
+
 def _fit(spark, sf_dir, **options):
-    x, y = tables.basket(spark, sf_dir)
-    present = y.join(x.select("row_id").distinct(), "row_id", "left_semi")
-    centred = text.center_y(present)
-    return fit(x, centred, BRANDS, FitConfig(**options)).effects.withColumn("strength", F.round("strength", 4))
+    """The fit on all orders, those without parts too; strengths in hundreds of the currency."""
+    return fit(*tables.basket(spark, sf_dir), BRANDS, FitConfig(**options)).effects.withColumn("strength", F.round(F.col("strength") / 1e4, 4))
 
 
-@query()
+@query(_path_sql(1))
 def lasso_main_path(spark, sf_dir):
     return _fit(spark, sf_dir, depth=1)
 
 
-@query()
+@query(_path_sql(2, "100"))
 def lasso_pairwise(spark, sf_dir):
     return _fit(spark, sf_dir, depth=2, max_nz_beta=100)
 
 
+@query(_path_sql(2, most_lambdas=2))
+def lasso_pairwise_pruned(spark, sf_dir):
+    """The first penalties of the pairwise fit by screens at every step, where bounds leave columns out."""
+    return _fit(spark, sf_dir, depth=2, max_lambdas=2, ahead=0)
+
+
 @query()
 def lasso_threeway(spark, sf_dir):
     return _fit(spark, sf_dir, depth=3, max_nz_beta=100, ahead=4000)
@@ -504,15 +633,51 @@ def checkpoint_latest(spark, sf_dir):
 FROM (SELECT event_type, value FROM events UNION ALL SELECT 'all', value FROM events) GROUP BY 1""")
 def benchmark_quartiles(spark, sf_dir):
     e = tables._table(spark, sf_dir, "events").select("event_type", "value")
-    both = e.unionByName(e.withColumn("event_type", F.lit("all")).drop("value").withColumn("value", F.lit(None).cast("double")).limit(0), allowMissingColumns=True).unionByName(e.withColumn("event_type", F.lit("all")))
+    both = e.unionByName(e.select("value"), allowMissingColumns=True).fillna("all", ["event_type"])
     return report.quartiles(both, "event_type", "value").withColumns({c: F.round(c, 6) for c in ("q25", "q50", "q75")})
 
 
 @query(f"""WITH {_BASKET}, p AS ({_PAIRS.format('')}), e AS (SELECT c::bigint id, 1 ord, c i, NULL::int j, sum(y)::bigint strength FROM x JOIN y USING (r) GROUP BY c UNION ALL SELECT (i + 1::bigint) * 25 + j, 2, i, j, s FROM p)
 SELECT ord, id, CASE WHEN j IS NULL THEN 'Brand#' || (i + 1) ELSE 'Brand#' || (i + 1) || ',Brand#' || (j + 1) END effect, 'Brand#' || (i + 1) i, 'Brand#' || (j + 1) j, NULL::varchar k, strength FROM e""")
 def effect_report(spark, sf_dir):
+    return _effects(spark, sf_dir)
+
+
+def _effects(spark, sf_dir):
     x, y = tables.basket(spark, sf_dir)
     names = _brands(spark, sf_dir).select("col_id", F.concat(F.lit("Brand#"), (F.col("col_id") + 1).cast("string")).alias("name"))
     mains = _longs(screen.main_screen(x, y), "s").select(F.col("i").cast("long").alias("id"), F.col("s").alias("strength"))
     pairs = screen.pair_screen(x, y).select(pair_id(F.col("i"), F.col("j"), BRANDS).alias("id"), F.col("s").alias("strength"))
     return report.effect_table(mains.unionAll(pairs), names, BRANDS)
+
+
+@query(f"""WITH {_BASKET}, p AS ({_PAIRS.format('')}), e AS (SELECT c::bigint id, sum(y)::bigint strength FROM x JOIN y USING (r) GROUP BY c UNION ALL SELECT (i + 1::bigint) * 25 + j, s FROM p)
+SELECT id, -strength strength FROM e WHERE -strength < -500 ORDER BY -strength, id LIMIT 10""")
+def strongest_effects(spark, sf_dir):
+    """The first ten effects below -500, of sums with their sign turned."""
+    return report.strongest(_effects(spark, sf_dir).select("id", (-F.col("strength")).alias("strength")), -500).select("id", "strength")
+
+
+@query(f"WITH {_BASKET}, p AS ({_PAIRS.format('')}) SELECT c::bigint id, 1 ord, c i, NULL::int j FROM (SELECT DISTINCT c FROM x) UNION ALL SELECT (i + 1::bigint) * 25 + j, 2, i, j FROM p")
+def ordered_effects(spark, sf_dir):
+    """Distinct effects seen by either form of the screen, each with ascending columns."""
+    x, y = tables.basket(spark, sf_dir)
+    none = F.lit(None).cast("int")
+    seen = screen.main_screen(x, y).select("i", none.alias("j"), none.alias("k"))
+    for pairs in (screen.pair_screen(x, y), screen.pair_screen_by_join(x, y)):
+        seen = seen.unionAll(pairs.select("i", "j", none))
+    effects = ordered(seen.distinct())
+    return effects.select(F.when(F.col("j").isNull(), F.col("i").cast("long")).otherwise(pair_id(F.col("i"), F.col("j"), BRANDS)).alias("id"), F.when(F.col("j").isNull(), 1).otherwise(2).alias("ord"), "i", "j")
+
+
+@query(f"""WITH {_EVENTS}, {_EVENT_PRINTS}, g AS ({_CLASSES}),
+nm AS (SELECT id, ord, CASE ord WHEN 1 THEN 'c' || id WHEN 2 THEN 'c' || (id // 20 - 1) || ',c' || (id % 20) ELSE 'c' || (id // 400 - 1) || ',c' || (id % 400 // 20) || ',c' || (id % 20) END effect FROM g)
+SELECT g.id, any_value(nm.effect) effect, (g.id % 7)::double strength, coalesce(string_agg(o.effect, '; ' ORDER BY o.ord, o.id) FILTER (WHERE o.id <> g.id), '') equivalent
+FROM g JOIN nm USING (id) JOIN g h ON h.rep = g.id JOIN nm o ON o.id = h.id WHERE g.id = g.rep GROUP BY g.id""")
+def effect_equivalents(spark, sf_dir):
+    """One effect of each class with the names of all that can't be told from it."""
+    classed = _event_classes(spark, sf_dir)
+    names = spark.range(EVENT_COLUMNS).select(F.col("id").cast("int").alias("col_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"))
+    reps = classed.filter("id = rep").select("id", (F.col("id") % 7).cast("double").alias("strength"))
+    full = report.with_equivalents(report.effect_table(reps, names, EVENT_COLUMNS), dedupe.equivalents(classed), names, EVENT_COLUMNS)
+    return full.select("id", "effect", "strength", F.array_join("equivalent", "; ").alias("equivalent"))

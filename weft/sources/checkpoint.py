@@ -12,6 +12,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.operators.report import by_order, effect_table
 from weft.plans.path import FitConfig, FitState
 
 
@@ -20,6 +21,17 @@ def latest(states: DataFrame) -> DataFrame:
     return states.filter("complete").orderBy(F.desc("save_seq")).limit(1)
 
 
+def read_log(spark: SparkSession, path: str, names: DataFrame, p: int) -> dict[str, DataFrame]:
+    """The effects of the newest saved state, whatever its options, as tables ``main``, ``pairwise`` and ``triple``.
+
+    Columns are named by ``names(col_id, name)``. Without a saved state all are empty.
+    """
+    log = Checkpoints(spark, path, FitConfig())
+    state = log.newest()
+    beta = [(e, float(b)) for e, b in sorted(state.beta.items()) if b] if state else []
+    return by_order(effect_table(spark.createDataFrame(beta, "id long, strength double"), names, p))
+
+
 class Checkpoints:
     def __init__(self, spark: SparkSession, path: str, config: FitConfig) -> None:
         self.spark, self.path, self.config = spark, path.rstrip("/"), json.dumps(asdict(config), sort_keys=True)
@@ -40,11 +52,18 @@ class Checkpoints:
 
     def restore(self) -> FitState | None:
         """The newest state, or none if nothing was saved or it was saved under other options."""
+        return self._read(self.config)
+
+    def newest(self) -> FitState | None:
+        """The newest state under any options."""
+        return self._read(None)
+
+    def _read(self, config: str | None) -> FitState | None:
         numbers = self._numbers()
         if not numbers:
             return None
         row = self.spark.read.parquet(f"{self.path}/save={numbers[-1]}").first()
-        if row["config"] != self.config:
+        if config is not None and row["config"] != config:
             return None
         state = json.loads(row["state"])
         state["beta"] = {int(k): v for k, v in state["beta"].items()}
