@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from weft.sources.scratch import Scratch
+
+__all__ = ["Scratch", "arrow_schema", "bounded_batches", "crc_of_id", "free_name", "slices", "table"]
 
 #: Rows and bytes that one Arrow batch carries to a Python worker at most.
 BATCH_ROWS = 1000
@@ -28,57 +30,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="weft-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor costs no rerun.
-
-    A table that the returned result still reads lives until the application
-    ends; ``drop`` removes one earlier.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/weft-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-        self._paths: dict[int, str] = {}
-        atexit.register(self._close)
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            if path := self._paths.pop(id(t), None):
-                _remove(self.spark, path)
-
-    def _close(self) -> None:
-        if self.spark.sparkContext._jsc is not None and self._paths:
-            try:
-                _remove(self.spark, self.root)
-            except Exception:  # the JVM may be gone already
-                return
+def arrow_schema(df: DataFrame, *added: tuple[str, str], without: tuple[str, ...] = ()) -> StructType:
+    """The schema of ``df`` with the columns ``added``, names and types, at its end; any names and nested types are kept as they are."""
+    more = [StructField(name, StructType.fromDDL(f"c {kind}")[0].dataType) for name, kind in added]
+    return StructType([f for f in df.schema.fields if f.name not in without] + more)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as the table has such a column; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
