@@ -1,8 +1,10 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Each step is two aggregations and two equi-joins, so that a node with many
-links is never gathered in one task: minima are combined before the shuffle,
-and the join back may be split by the skew handling of adaptive execution.
+links is never gathered in one task: minima are combined before the shuffle and
+written, one row for each node. The join back of all links with that table is a
+broadcast where the table is small, else a join of two plain shuffles that
+adaptive execution splits at a node with many links.
 """
 
 from __future__ import annotations
@@ -13,17 +15,17 @@ from pyspark.sql import functions as F
 from weft.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    low = scratch.put(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")))
+    return both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = scratch.put(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))), low
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -36,9 +38,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.put(edges.select("a", "b").filter(proper).distinct())
     seen = None
     while True:
-        after = scratch.put(_small_star(_large_star(now).filter(proper).distinct()).filter(proper).distinct())
-        scratch.drop(now)
-        now = after
+        for star in (_large_star, _small_star):
+            after, low = star(now, scratch)
+            before, now = now, scratch.put(after.filter(proper).distinct())
+            scratch.drop(before, low)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -4,8 +4,9 @@ Every document is the set of its distinct word shingles. All shingles have one
 global order, rare ones first; the order is cut into fragments of equal mass,
 and a document's set falls into one segment for each fragment.
 
-1. A count sketch of fixed size, filled from all documents, ranks shingles.
-   Any order gives the same result; this one makes few candidates.
+1. A count sketch, sized by the number of rows up to a bound and filled from
+   all documents, ranks shingles. Any order gives the same result; this one
+   makes few candidates.
 2. Documents with equal sets become one class at once, by a 128-bit print.
 3. Sets that meet the threshold share a shingle among the first
    ``n - ceil(t * n) + 1`` of the order. Documents that share such a shingle
@@ -34,11 +35,11 @@ from weft.llm.common import Scratch, bounded_batches, slices
 from weft.llm.components import components
 from weft.llm.shingles import mix, shingle_sets
 
-#: Counters of the sketch, and of them in one block; its size doesn't depend on the data.
-SKETCH_BITS = 20
+#: The least and the most counters of the sketch, in bits; between these it grows with the number of rows.
+SKETCH_BITS, MOST_SKETCH_BITS = 20, 26
 BLOCK = 1 << 14
-#: Bits of the filter that tells which documents are candidates.
-FILTER_BITS = 25
+#: The same for the filter that tells which documents are candidates.
+FILTER_BITS, MOST_FILTER_BITS = 20, 31
 FRAGMENTS = 8
 #: Words of 64 bits in the parity print of a set.
 PARITY = 8
@@ -63,8 +64,8 @@ def sum_blocks(parts: DataFrame, kind: str) -> DataFrame:
                     total[block] = x.copy()
                 elif kind == "u1":
                     total[block] |= x
-                else:
-                    total[block] += x
+                else:  # counters stop at their largest value
+                    total[block] += np.minimum(x, np.iinfo(kind).max - total[block])
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
 
@@ -81,21 +82,30 @@ def collect_blocks(parts: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-def shingle_sketch(docs: DataFrame, words: int, text: str = "text") -> np.ndarray:
-    """How often the shingles of each counter occur, over all documents."""
-    slots = 1 << SKETCH_BITS
+def size_bits(rows: int, each: int, least: int, most: int) -> int:
+    """Bits that give ``each`` places to every row, within bounds."""
+    return min(most, max(least, (max(1, rows * each) - 1).bit_length()))
+
+
+def _bits(table: np.ndarray) -> np.uint64:
+    return np.uint64(64 - (len(table).bit_length() - 1))
+
+
+def shingle_sketch(docs: DataFrame, words: int, bits: int = SKETCH_BITS, text: str = "text") -> np.ndarray:
+    """How often the shingles of each of ``2 ** bits`` counters occur, over all documents."""
+    slots = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = np.zeros(slots, dtype=np.uint32), False
+        counts = np.zeros(slots, dtype=np.uint32)
         for batch in slices(batches, text, SLICE_BYTES):
-            any_rows = True
             sets = shingle_sets(batch.column(0), words)
             every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-            counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=slots).astype(np.uint32)
-        if any_rows:
-            n = slots // BLOCK
-            blocks = [counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "data"])
+            at, n = np.unique((every >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            counts[at] += np.minimum(n.astype(np.uint32), np.iinfo("u4").max - counts[at])
+        blocks = counts.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some.tolist()], pa.binary())], names=["block", "data"])
 
     parts = docs.select(text).mapInArrow(count, "block int, data binary")
     return collect_blocks(parts, "u4", slots)
@@ -103,7 +113,7 @@ def shingle_sketch(docs: DataFrame, words: int, text: str = "text") -> np.ndarra
 
 def order_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Place of each shingle in the global order: by its counter, then by its hash."""
-    rank = np.minimum(counts[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << 24) - 1)
+    rank = np.minimum(counts[(shingles >> _bits(counts)).astype(np.int64)], (1 << 24) - 1)
     return (rank.astype(np.uint64) << np.uint64(40)) | (mix(shingles) >> np.uint64(24))
 
 
@@ -148,7 +158,7 @@ def _sets_table(docs: DataFrame, words: int, num: int, den: int, shared) -> Data
 
 
 def _bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each identifier's hash; more identifiers only let more documents through."""
+    """A bit for each identifier's hash; bits that two share only let more documents through."""
     size = 1 << (bits - 3)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +179,14 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _segments(docs: DataFrame, words: int, shared, wanted, cuts: np.ndarray) -> DataFrame:
+def _segments(docs: DataFrame, words: int, shared, wanted, bits: int, cuts: np.ndarray) -> DataFrame:
     """``doc_id, f1, fragment, part``: the sets of the wanted documents, cut at the pivots; repeated rows repeat."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bits = shared.value, wanted.value
+        counts, flags = shared.value, wanted.value
         for batch in slices(batches, "text", SLICE_BYTES):
-            at = _slot(batch.column(0).to_numpy(zero_copy_only=False), FILTER_BITS)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            at = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            batch = batch.filter(pa.array((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if not batch.num_rows:
                 continue
             ids, prints, fragments, parts = [], [], [], []
@@ -208,8 +218,9 @@ def _links(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, words:
     """
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_bit_filter(ids, FILTER_BITS))
-    parts = scratch.put(_segments(docs, words, shared, wanted, cuts))
+    bits = size_bits(2 * pairs.count(), 8, FILTER_BITS, MOST_FILTER_BITS)
+    wanted = spark.sparkContext.broadcast(_bit_filter(ids, bits))
+    parts = scratch.put(_segments(docs, words, shared, wanted, bits, cuts))
     if repeated is not None:
         every = parts
         once = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "f1", "fragment").agg(F.first("part").alias("part"))
@@ -256,7 +267,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     bounded_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = shingle_sketch(docs, words)
+    counts = shingle_sketch(docs, words, size_bits(docs.count(), 8, SKETCH_BITS, MOST_SKETCH_BITS))
     cuts, shared = pivots(counts, FRAGMENTS), spark.sparkContext.broadcast(counts)
     sets = scratch.put(_sets_table(docs, words, num, den, shared))
 
@@ -268,7 +279,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     slim = scratch.put(sets.select("doc_id", "n", "f1", "f2"))
     scratch.drop(sets)
     sets, known = slim, slim.filter("n > 0 AND doc_id IS NOT NULL")
-    repeated = scratch.put(known.groupBy("doc_id", "f1").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id").distinct())
+    repeated = scratch.put(known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
     if repeated.isEmpty():
         repeated = None
     entries = prints.select("doc_id", "n", F.posexplode("head").alias("i", "shingle"))
@@ -291,9 +302,14 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     rest = scratch.put(rest)
     if not rest.isEmpty():
         edges = edges.unionAll(_links(rest, docs, repeated, words, num, den, shared, cuts, scratch))
-    copies = known.join(classes, ["f1", "f2", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    last = components(edges.unionAll(copies), scratch)
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    # classes stand for their documents; a document that stands in several joins these
+    several = known.join(repeated, "doc_id", "left_semi") if repeated is not None else known.limit(0)
+    of = several.join(classes, ["f1", "f2", "n"]).select("doc_id", "rep").distinct()
+    across = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    last = components(edges.unionAll(across), scratch).select(F.col("node").alias("rep"), "root")
+    roots = classes.join(last, "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("class_root"))
+    placed = sets.join(scratch.put(roots), ["f1", "f2", "n"], "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_root", "doc_id")).alias("component_id"))
 
 
 def _screened(pairs: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
