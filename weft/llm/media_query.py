@@ -18,12 +18,17 @@ ROW = 192
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
 
 
+def _file_of(text: str | None) -> tuple[int, bytes]:
+    data = (text or "").encode()
+    return len(data), tiff.write_pages(data + b" " * (max(1, -(-len(data) // ROW)) * ROW - len(data)), ROW)
+
+
 def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, text`` to ``doc_id, n_bytes, content``: the text, filled up with spaces to whole rows, as a file."""
     for batch in slices(batches, "text", 1 << 20):
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        content = [tiff.write_pages(t + b" " * (max(1, -(-len(t) // ROW)) * ROW - len(t)), ROW) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(content, pa.binary())], names=["doc_id", "n_bytes", "content"])
+        made = [_file_of(t.as_py()) for t in batch.column(1)]
+        sizes, content = (list(c) for c in zip(*made, strict=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(content, pa.binary())], names=["doc_id", "n_bytes", "content"])
 
 
 class _Digest:
@@ -55,31 +60,23 @@ class _Digest:
         return (*self.head, self.size, self.sha.hexdigest(), zlib.crc32(self.tail), *self.media, f"p{self.pages}-m{mean}-u{used}-{bits:016x}", self.pages)
 
 
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32())])
+
+
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of pages, in order, to one row for each file."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32())])
-    now, rows = None, []
-    for batch in batches:
-        for doc_id, n_bytes, content, page, pixels, error in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "content", "page", "pixels", "error")), strict=True):
-            if error:
-                raise ValueError(f"document {doc_id}, page {page}: {error}")
-            if not page:
-                if now:
-                    rows.append(now.row())
-                now = _Digest(doc_id, n_bytes, content)
-            now.add(pixels)
-        if len(rows) >= 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-            rows = []
-    if now:
-        rows.append(now.row())
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _with_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hand the files to the reader under one name and keep them under another for their digest."""
+    """``doc_id, n_bytes, content`` to one row for each file, read page by page; a page is let go before the next is decoded."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, batch.column(2)], names=["doc_id", "n_bytes", "content", "file"])
+        rows = []
+        for doc_id, n_bytes, content in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "content")), strict=True):
+            data = memoryview(content.as_buffer())
+            now = _Digest(doc_id.as_py(), n_bytes.as_py(), data)
+            for page in tiff.pages(data):
+                if page["error"]:
+                    raise ValueError(f"document {doc_id}, page {page['page']}: {page['error']}")
+                now.add(page["pixels"])
+            rows.append(now.row())
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -88,8 +85,10 @@ def media_digests(docs: DataFrame) -> DataFrame:
     A null text counts as empty and fills one row of spaces; equal texts give
     equal values. Repeated rows give repeated results; an empty table gives
     none. The file is written, read page by page and digested within one pass
-    over a partition, without a shuffle.
+    over a partition, without a shuffle. A worker holds a text, its file and one
+    page at a time, so that memory grows with the length of a text, not with
+    the number of its pages.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(lambda batches: digests(tiff.page_batches(_with_content(files_of(batches)), "file")), SCHEMA)
+    return rows.mapInArrow(lambda batches: digests(files_of(batches)), SCHEMA)

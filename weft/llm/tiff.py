@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.common import bounded_batches
+from weft.llm.common import arrow_schema, bounded_batches
 
 # Fixed values of the file format: field types as struct letters, tags, compression schemes.
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
@@ -27,7 +27,7 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 317, 322, 323, 32
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST_FREE, TABLE_FULL = 256, 257, 258, 4094
 
-PAGE_SCHEMA = "page int, width long, height long, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
+PAGE_COLUMNS = [("page", "int"), ("width", "long"), ("height", "long"), ("bits", "int"), ("samples", "int"), ("compression", "int"), ("predictor", "int"), ("tiled", "boolean"), ("pixels", "binary"), ("error", "string")]
 _PAGE_FIELDS = [("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int32()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())]
 #: Bytes of pages in one batch that the reader hands on.
 BATCH = 4 << 20
@@ -226,7 +226,7 @@ def undo_predictor(data: bytes, predictor: int, rows: int, columns: int, samples
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
     """The fields of each image directory, in the order of the chain."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if not order or len(data) < 8:
         raise BadFile("no TIFF header")
     (magic,) = struct.unpack_from(f"{order}H", data, 2)
@@ -307,7 +307,7 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
         rows = high if tiled else min(high, height - y * high)
         if places[k] + sizes[k] > len(data):
             raise BadFile("a strip or tile lies beyond the end")
-        raw = decompress(data[places[k] : places[k] + sizes[k]], scheme, part_bytes * rows)
+        raw = decompress(bytes(data[places[k] : places[k] + sizes[k]]), scheme, part_bytes * rows)
         part = np.frombuffer(undo_predictor(raw, predictor, rows, wide, each, bits, order), dtype=np.uint8).reshape(rows, part_bytes)
         top, left = y * high, x * part_bytes
         target = canvas[plane, top : top + rows, left : left + part_bytes]
@@ -320,7 +320,7 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
     return {"width": width, "height": height, "bits": bits, "samples": samples, "compression": scheme, "predictor": predictor, "tiled": tiled, "pixels": canvas.tobytes(), "error": None}
 
 
-def pages(data: bytes | None) -> Iterator[dict]:
+def pages(data: bytes | memoryview | None) -> Iterator[dict]:
     """A row for each page; where a file or page can't be read, a row that says why."""
     blank = {name: None for name, _ in _PAGE_FIELDS}
     number = 0
@@ -370,8 +370,8 @@ def read_pages(files: DataFrame, content: str = "content") -> DataFrame:
     bounded_batches(files.sparkSession)
     taken = {name for name, _ in _PAGE_FIELDS}
     files = files.drop(*(c for c in files.columns if c in taken and c != content))
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != content]
-    return files.mapInArrow(lambda batches: page_batches(batches, content), ", ".join([*others, PAGE_SCHEMA]))
+    schema = arrow_schema(files, *PAGE_COLUMNS, without=(content,))
+    return files.mapInArrow(lambda batches: page_batches(batches, content), schema)
 
 
 # --- writing
