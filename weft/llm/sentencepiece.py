@@ -9,8 +9,10 @@ gives. That holds for exactly one path to each position, and that path is the
 encoding by merges, so that ids equal those of the merge procedure.
 
 No piece of the usual models goes on past a space after another character.
-There all paths meet, so a text is searched from space to space, and what was
-found for a stretch is kept for its next occurrence.
+There all paths meet, so the window is cut there: a text is searched from space
+to space, all of it by the same search, and what was found for a stretch is
+kept for its next occurrence. Merging itself serves only to tell, once, which
+pieces and halves of pieces a model's merges reach.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.common import bounded_batches, slices
+from weft.llm.common import arrow_schema, bounded_batches, slices
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -36,6 +39,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 REMEMBERED, LONGEST = 600_000, 48
 #: New characters between two looks for a common boundary in a long stretch.
 LOOK = 256
+#: What the unknown piece reads as.
+UNKNOWN_TEXT = " ⁇ ".encode()
 #: Added to the least score for a character that no piece has.
 PENALTY = 10.0
 
@@ -109,18 +114,23 @@ class PieceModel:
             self.stretches = re.compile(".+", re.DOTALL)
         else:
             self.stretches = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{SPACE}{joined}]" if joined else ".", re.DOTALL)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._pairs: dict[str, dict[str, bool]] = {}
+        self._known_pairs = 0
         self._whole: dict[str, bool] = {}
-        self._runs: dict[int, list[int]] = {}
         self._split: dict[str, tuple[str, str] | None] = {}
         self.rank = {p: -self.scores[i] for p, i in self.ids.items()}
         #: Pieces that merging their characters gives; others never occur.
         self.usable = {p for p in self.ids if self.kind == UNIGRAM or self._reached(p)}
-        #: Every beginning of such a piece, and whether it is one; single characters always are.
-        self.starts = {p[:k]: False for p in self.usable for k in range(1, len(p))}
-        self.starts.update(dict.fromkeys(self.usable, True))
-        self.starts.update({c: True for c in self.starts if len(c) == 1})
-        self.raw = [self._bytes_of(i) for i in range(len(self.pieces))]
+        #: Those pieces by their characters: for each the piece that ends there, if any, and what may follow. Single characters always end one.
+        self.trie: dict[str, list] = {}
+        for p in sorted(self.usable):
+            below = self.trie
+            for k, c in enumerate(p):
+                node = below.setdefault(c, [None if k else c, {}])
+                below = node[1]
+            node[0] = p
+        #: What each id stands for; a null among ids stands for nothing.
+        self.raw_of: dict[int | None, bytes] = {None: b""} | {i: self._bytes_of(i) for i in range(len(self.pieces))}
         self._memo = _Memo(self)
 
     def _bytes_of(self, i: int) -> bytes:
@@ -128,7 +138,7 @@ class PieceModel:
             return bytes((int(self.pieces[i][1:-1], 16),))
         if self.types[i] == CONTROL:
             return b""
-        return " ⁇ ".encode() if self.types[i] == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
+        return UNKNOWN_TEXT if self.types[i] == UNKNOWN else self.pieces[i].replace(SPACE, " ").encode()
 
     # --- merging, the reference for what may stand side by side
 
@@ -181,13 +191,16 @@ class PieceModel:
         come about if the two parts that touch there at some time make a piece
         that ranks before the merges by which they grew on.
         """
-        key = (a, b)
-        known = self._pairs.get(key)
+        beside = self._pairs.setdefault(a, {})
+        known = beside.get(b)
         if known is None:
             known = self._apart(a, b)
-            if len(self._pairs) >= REMEMBERED:
+            if self._known_pairs >= REMEMBERED:
                 self._pairs.clear()
-            self._pairs[key] = known
+                self._known_pairs = 0
+                beside = self._pairs.setdefault(a, {})
+            self._known_pairs += 1
+            beside[b] = known
         return known
 
     def _apart(self, a: str, b: str) -> bool:
@@ -223,85 +236,9 @@ class PieceModel:
             return [self.unknown]
         return [self.byte_ids[b] for b in piece.encode()]
 
-    def _space_run(self, n: int) -> list[int]:
-        if n not in self._runs:
-            found = [i for p in self.merge(SPACE * n) for i in self._spell(p)]
-            if n > 256:
-                return found
-            self._runs[n] = found
-        return self._runs[n]
-
     def search(self, stretch: str) -> list[int]:
         """The ids of one stretch."""
-        if self.kind == UNIGRAM:
-            return Viterbi(self).run(stretch)
-        if len(stretch) <= LONGEST and not stretch.startswith(SPACE + SPACE) and stretch != SPACE:
-            return self._search_short(stretch)
-        # spaces merge among themselves after all else, with equal scores; the last may belong to the word
-        word = stretch.lstrip(SPACE)
-        spaces = len(stretch) - len(word)
-        if not word:
-            return self._space_run(spaces)
-        if spaces < 2:
-            return Viterbi(self).run(stretch)
-        ids = Viterbi(self).run(SPACE + word)
-        if self.pieces[ids[0]] == SPACE:
-            return self._space_run(spaces) + ids[1:]
-        return self._space_run(spaces - 1) + ids
-
-    def _search_short(self, text: str) -> list[int]:
-        """The same search where all of the stretch lies in the window: nothing is committed before its end.
-
-        Only one path survives to each position, so that paths are followed one
-        at a time, longest pieces first, and one that can't go on is given up
-        together with the position it came to.
-        """
-        starts, pairs, beside, n = self.starts, self._pairs, self.beside, len(text)
-        path: list[str] = []
-        open_ends: list[list[int]] = []
-        at, seen = 0, {0}
-        while True:
-            ends, end = [], at + 1
-            while end <= n:
-                usable = starts.get(text[at:end])
-                if usable is None:
-                    break
-                if usable:
-                    ends.append(end)
-                end += 1
-            if not ends:
-                ends.append(at + 1)  # a character that no piece has
-            while True:
-                while not ends:
-                    ends = open_ends.pop()
-                    at -= len(path.pop())
-                end = ends.pop()
-                if end in seen:
-                    continue
-                piece = text[at:end]
-                if path:
-                    before = path[-1]
-                    fits = pairs.get((before, piece))
-                    if fits is None:
-                        fits = beside(before, piece)
-                    if not fits:
-                        continue
-                break
-            path.append(piece)
-            if end == n:
-                break
-            seen.add(end)
-            open_ends.append(ends)
-            at = end
-        ids = self.ids
-        out: list[int] = []
-        for piece in path:
-            i = ids.get(piece)
-            if i is None:
-                out += self._spell(piece)
-            else:
-                out.append(i)
-        return out
+        return Viterbi(self).run(stretch)
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -312,7 +249,7 @@ class PieceModel:
         return np.frombuffer(b"".join(map(self._memo.__getitem__, self.stretches.findall(text))), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        out = b"".join(map(self.raw_of.get, ids, repeat(UNKNOWN_TEXT))).decode("utf-8", "replace")
         return out[1:] if self.dummy_prefix and out.startswith(" ") else out
 
 
@@ -342,15 +279,21 @@ class _Memo(dict):
 
 
 class Viterbi:
-    """The search over one stretch; holds back no more than one longest piece and the undecided path."""
+    """The search over one stretch; holds back no more than one longest piece and the undecided path.
+
+    Positions are taken in order. From each, pieces are followed to the
+    positions where they end, and every position keeps the last piece of its
+    one surviving (or best) path. A position whose pieces may reach beyond the
+    characters at hand waits for more of them.
+    """
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.text, self.base, self.ids = "", 0, []
-        #: For each position since ``base``: the length of the last piece, and for a unigram model the best sum.
-        self.last: list[int] = [0]
-        self.best: list[float] = [0.0]
-        self.widest = 0
+        self.text, self.at, self.ids = "", 0, []
+        #: For each position of the text at hand: the last piece of its path, and for a unigram model the sum of scores.
+        self.via: list[str | None] = [""]
+        self.sums: list[float] = [0.0]
+        self.step = self._survivors if model.kind == BPE else self._best
 
     def run(self, stretch: str) -> list[int]:
         for k in range(0, len(stretch), LOOK):
@@ -360,76 +303,89 @@ class Viterbi:
     def push(self, more: str) -> None:
         if self.text:
             self._commit(self._meeting())
-        start = len(self.text)
         self.text += more
-        step = self._survivor if self.model.kind == BPE else self._best
-        for end in range(start + 1, len(self.text) + 1):
-            step(end)
-        self.widest = max(self.widest, len(self.text))
-
-    def _survivor(self, end: int) -> None:
-        model, text, last = self.model, self.text, self.last
-        for size in range(min(model.longest, end), 0, -1):
-            piece = text[end - size : end]
-            begin = end - size
-            if size > 1 and piece not in model.usable:
-                continue
-            before = last[begin]
-            if begin and before == 0 or begin == 0 and self.base and not self._fits_edge(piece):
-                continue
-            if begin and not model.beside(text[begin - before : begin], piece):
-                continue
-            last.append(size)
-            return
-        last.append(0)
+        self.via += [None] * len(more)
+        ready = len(self.text) - self.model.longest + 1
+        if ready > self.at:
+            self.step(ready)
 
-    def _fits_edge(self, piece: str) -> bool:
-        return self.model.beside(self.edge, piece)
+    def finish(self) -> list[int]:
+        self.step(len(self.text))
+        self._commit(len(self.text))
+        return self.ids
 
-    def _best(self, end: int) -> None:
-        model, text = self.model, self.text
-        top, chosen = -float("inf"), 1
-        for size in range(1, min(model.longest, end) + 1):
-            i = model.ids.get(text[end - size : end])
-            if i is None:
-                if size > 1:
-                    continue
-                score = model.least - PENALTY
-            else:
-                score = model.scores[i]
-            value = self.best[end - size] + score
-            if value > top:
-                top, chosen = value, size
-        self.best.append(top)
-        self.last.append(chosen)
+    def _survivors(self, to: int) -> None:
+        """A path lives on in a piece that stands beside its last one; one path survives to each position."""
+        model, text, via = self.model, self.text, self.via
+        trie, pairs, longest, none = model.trie, model._pairs, model.longest, {}
+        for at in range(self.at, to):
+            before = via[at]
+            if before is None:
+                continue
+            known, below, end = pairs.get(before, none), trie, at
+            for c in text[at : at + longest]:
+                node = below.get(c)
+                if node is None:
+                    break
+                end += 1
+                piece, below = node
+                if piece is not None and via[end] is None:
+                    fits = known.get(piece) if before else True
+                    if fits is None:
+                        fits = model.beside(before, piece)
+                    if fits:
+                        via[end] = piece
+            if end == at and via[at + 1] is None and (not before or model.beside(before, text[at])):
+                via[at + 1] = text[at]  # a character that no piece has
+        self.at = max(self.at, to)
+
+    def _best(self, to: int) -> None:
+        """Each position keeps the path of the largest sum; the path that reached it first among equals."""
+        model, text, via, sums = self.model, self.text, self.via, self.sums
+        sums += [-float("inf")] * (len(text) + 1 - len(sums))
+        for at in range(self.at, to):
+            below, end = model.trie, at
+            for c in text[at : at + model.longest]:
+                node = below.get(c)
+                if node is None and end > at:
+                    break
+                end += 1
+                piece, below = node or (c, {})
+                if piece is not None:
+                    i = model.ids.get(piece)
+                    value = sums[at] + (model.least - PENALTY if i is None else model.scores[i])
+                    if value > sums[end]:
+                        sums[end], via[end] = value, piece
+        self.at = max(self.at, to)
 
     def _meeting(self) -> int:
-        """The last boundary that the paths from all positions a piece may still begin at go through."""
-        end = len(self.text)
-        paths = {p for p in range(max(1, end - self.model.longest + 1), end + 1) if self.last[p]}
+        """The last boundary that all paths go through which reach a position that wasn't taken yet."""
+        via = self.via
+        paths = {p for p in range(self.at, len(via)) if via[p] is not None}
         while len(paths) > 1:
             top = max(paths)
             paths.discard(top)
-            paths.add(top - self.last[top])
+            paths.add(top - len(via[top]))
         return paths.pop() if paths else 0
 
     def _commit(self, to: int) -> None:
         if not to:
             return
-        pieces, at = [], to
+        via, pieces, at = self.via, [], to
         while at:
-            pieces.append(self.text[at - self.last[at] : at])
-            at -= self.last[at]
-        self.edge = pieces[0]
+            pieces.append(via[at])
+            at -= len(via[at])
+        ids, spell, out = self.model.ids, self.model._spell, self.ids
         for piece in reversed(pieces):
-            self.ids += self.model._spell(piece)
-        self.text, self.last, self.base = self.text[to:], [0, *self.last[to + 1 :]], self.base + to
+            i = ids.get(piece)
+            if i is None:
+                out += spell(piece)
+            else:
+                out.append(i)
+        self.text, self.via, self.at = self.text[to:], [pieces[0], *via[to + 1 :]], max(0, self.at - to)
         if self.model.kind == UNIGRAM:
-            self.best = [b - self.best[to] for b in self.best[to:]]
-
-    def finish(self) -> list[int]:
-        self._commit(len(self.text))
-        return self.ids
+            base = self.sums[to]
+            self.sums = [v - base for v in self.sums[to:]]
 
 
 @lru_cache(maxsize=4)
@@ -464,12 +420,16 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "token_ids"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(encoded, f"{schema}, token_ids array<int>")
+    return docs.mapInArrow(encoded, arrow_schema(docs, ("token_ids", "array<int>")))
 
 
 def decode_ids(tokens: DataFrame, model_path: str) -> DataFrame:
-    """``tokens`` with ``decoded``, the text of ``token_ids``; null ids give an empty text, ids out of range an error."""
+    """``tokens`` with ``decoded``, the text of ``token_ids``.
+
+    Null or no ids give an empty text; a null among ids stands for nothing, and
+    an id that the model doesn't have reads as its unknown piece. Repeated rows
+    give repeated results; a column of the same name is replaced.
+    """
     bounded_batches(tokens.sparkSession)
     tokens = tokens.drop("decoded")
     with open(model_path, "rb") as f:
@@ -482,5 +442,4 @@ def decode_ids(tokens: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
-    return tokens.mapInArrow(decoded, f"{schema}, decoded string")
+    return tokens.mapInArrow(decoded, arrow_schema(tokens, ("decoded", "string")))
