@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from weft.llm.common import Scratch, bounded_batches, slices
+from weft.llm.common import Scratch, arrow_schema, bounded_batches, slices
 from weft.llm.textcounts import DIGITS, LETTERS, LOWER, SPACES, UPPER, Hasher, hash_word, letter_values, pieces, spans
 
 # Common insults, and words for the second person, of the four languages.
@@ -168,13 +168,16 @@ class ToxicityModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, scratch: Scratch) -> DataFrame:
     """``doc_id, text, y, turn`` for at most ``limit`` labelled documents, those of least hash; ``turn`` deals them out.
 
-    A doc_id that is labelled more than once counts by the mean of its labels.
+    A doc_id that is labelled more than once counts by the mean of its labels;
+    of several documents with one doc_id the text of least hash counts, so that
+    the limit bounds the rows as well.
     """
     known = labels.filter(train & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     kept = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(limit)
     # the bound of the sample bounds what is broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
-    return scratch.put(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("turn")))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(kept), "doc_id").groupBy("doc_id", "y", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return scratch.put(texts.select("doc_id", "text", "y", F.pmod("h", F.lit(FOLDS)).cast("int").alias("turn")))
 
 
 def _learn_lexicons(sample: DataFrame) -> list[Lexicon]:
@@ -251,5 +254,4 @@ def score_texts(docs: DataFrame, model, name: str = "score") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at)))], names=[*batch.schema.names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored, f"{schema}, `{name}` double")
+    return docs.mapInArrow(scored, arrow_schema(docs, (name, "double")))
