@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +50,35 @@ def bits_worth(variances: np.ndarray, threshold: float, most: int = BITS) -> int
     return min(most, int(fits.max()) + 1 if len(fits) else 1)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square of a finite component overflows or vanishes."""
+    x = vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), np.finfo(np.float64).tiny) if vectors.size else vectors
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(np.float64).tiny)
+
+
+def rows_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """A list column as rows of ``width`` numbers: longer ones are cut, shorter ones filled up with zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((len(lengths), width))
+    if (lengths == width).all():
+        out[...] = flat.reshape(-1, width)
+        return out
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    held = place < width
+    out[row[held], place[held]] = flat[held]
+    return out
+
+
 def learn_rotation(sample: np.ndarray, threshold: float = 0.98, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """``mean, projection``: the signs of ``(unit vector - mean) @ projection`` are the code."""
     d = sample.shape[1]
     if len(sample) < 2:
         return np.zeros(d), np.eye(d)[:, : min(bits, d)]
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = unit(sample)
     mean = x.mean(axis=0)
     x = x - mean
     values, axes = np.linalg.eigh(x.T @ x / len(x))
@@ -71,8 +95,7 @@ def learn_rotation(sample: np.ndarray, threshold: float = 0.98, bits: int = BITS
 
 def table_keys(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int) -> np.ndarray:
     """The part of each vector's code in each table."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    code = (unit - mean) @ projection >= 0
+    code = (unit(vectors) - mean) @ projection >= 0
     out = np.empty((len(vectors), tables), dtype=np.int64)
     for t, part in enumerate(np.array_split(np.arange(code.shape[1]), tables)):
         out[:, t] = code[:, part] @ (1 << np.arange(len(part), dtype=np.int64))
@@ -88,11 +111,10 @@ def _linked(group: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray,
     reps, copies, block, v = group["rep"][order], group["copies"][order], group["block"][order], group["vector"][order]
     table, p, q = int(group["t"][0]), int(group["p"][0]), int(group["q"][0])
     keys = group["keys"][order][:, :table]
-    norm = np.linalg.norm(v, axis=1)
+    v = unit(v)
     left = np.arange(len(v)) if p == q else np.flatnonzero(block == p)
     right = left if p == q else np.flatnonzero(block == q)
-    cosine = (v[left] @ v[right].T) / np.outer(norm[left], norm[right])
-    a, b = np.nonzero(cosine >= threshold)
+    a, b = np.nonzero(v[left] @ v[right].T >= threshold)
     a, b = left[a], right[b]
     if p == q:
         a, b = a[a < b], b[a < b]
@@ -157,22 +179,19 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, table
     usable = rows.filter(sound)
     classes = scratch.put(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
 
-    taken = classes.select("vector", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).toArrow().column("vector").to_pylist()
-    width = max((len(v) for v in taken), default=1)
-    padded = np.zeros((len(taken), width))
-    for i, v in enumerate(taken):
-        padded[i, : len(v)] = v
-    model = spark.sparkContext.broadcast(learn_rotation(padded, threshold))
+    taken = classes.select("vector", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("vector").toArrow().column("vector")
+    width = max(int(pc.max(pc.list_value_length(taken)).as_py() or 1), 1) if len(taken) else 1
+    codes = spark.sparkContext.broadcast(learn_rotation(rows_of(taken, width), threshold))
+    del taken
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projection = model.value
+        mean, projection = codes.value
         for batch in batches:
-            x = np.zeros((batch.num_rows, len(mean)))
-            for i, v in enumerate(batch.column("vector").to_pylist()):
-                x[i, : min(len(v), len(mean))] = v[: len(mean)]
+            x = rows_of(batch.column("vector"), len(mean))
             x[~x.any(axis=1)] = 1.0
             keys = table_keys(x, mean, projection, tables)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * tables
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=[*batch.schema.names, "keys"])
 
     coded = scratch.put(classes.mapInArrow(keyed, f"label long, vector {kind}, rep long, copies long, keys array<long>").withColumn("n", F.size("vector")))
     bucket = ["label", "n", "t", "key"]
