@@ -7,10 +7,10 @@ what its predecessor kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, crc_of_id, table
+from weft.llm.common import Scratch, crc_of_id, free_name, table
 from weft.llm.mixing import mix_sources
 from weft.llm.ngram_join import ngram_jaccard_join
 from weft.llm.quality import fit_quality
@@ -22,16 +22,22 @@ from weft.llm.toxicity import fit_toxicity, score_texts
 WORDS, NUM, DEN = 5, 8, 10
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; a null text is scored as an empty one."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
-    return score_texts(docs, model, "_score").filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return score_texts(docs, model, score).filter(F.col(score) >= THRESHOLD).drop(score)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_of_id() % 4 != 2)
-    return score_texts(docs, model, "_score").filter(F.col("_score") < THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return score_texts(docs, model, score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     joined = ngram_jaccard_join(docs, WORDS, NUM, DEN)
     gone = joined.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_own(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +57,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are taken alike; rows without one, or without
     words, aren't taken.
     """
-    times = mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("cast(taken div size AS int)")).alias("_times"))
-    taken = docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.select(*docs.columns)
+    times, copy = free_name(docs, "times"), free_name(docs, "copy")
+    taken = mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("cast(taken div size AS int)")).alias(times))
+    return docs.join(taken, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*_own(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
