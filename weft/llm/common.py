@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from weft.sources.scratch import Scratch
 
-__all__ = ["Scratch", "arrow_schema", "bounded_batches", "crc_of_id", "free_name", "slices", "table"]
+__all__ = ["Scratch", "arrow_schema", "bounded_batches", "crc_of_id", "free_name", "running", "slices", "table"]
 
 #: Rows and bytes that one Arrow batch carries to a Python worker at most.
 BATCH_ROWS = 1000
@@ -58,6 +59,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def running(df: DataFrame, order: list[Column], scratch: Scratch, **sums: Column) -> DataFrame:
+    """``df`` with ``place``, the rows before each one in the order, and for each of ``sums`` what its rows before come to.
+
+    Rows are sorted by range over all tasks and written; the totals of each
+    task's rows, a row for each task, move what is counted within it. No task
+    sees all rows.
+    """
+    part, at = free_name(df, "part"), free_name(df, "at")
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch.put(dealt.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    before_all = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy(part).agg(F.count("*").alias("_n"), F.min(at).alias("_first"), *(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    moved = totals.select(part, "_first", *(F.coalesce(F.sum(f"_{name}").over(before_all), F.lit(0)).alias(f"_{name}") for name in ("n", *sums)))
+    line = W.partitionBy(part).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(moved), part)
+    told = {"place": F.col("_n") + F.col(at) - F.col("_first")} | {name: F.col(f"_{name}") + F.coalesce(F.sum(c).over(line), F.lit(0)) for name, c in sums.items()}
+    return joined.select(*df.columns, *(c.alias(name) for name, c in told.items()))
+
+
 def crc_of_id(column: str = "doc_id"):
     """CRC-32 of the identifier's decimal text, by which folds are made."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch
+from weft.llm.common import Scratch, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights that sources have in turn, in code point order, null last.
@@ -24,8 +24,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Words of a budget that are left to the exact search, besides one longest document.
 SEARCHED = 1 << 14
-#: Parts in which documents of one source and length are ranked.
-BUCKETS = 64
+#: Documents of one source and length are ranked in so many parts at least, and in one more for so many rows.
+BUCKETS, PART_ROWS = 64, 1 << 18
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -72,18 +72,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Shares by weight of the sum of all sizes; a target stops at ``most`` times
     its source's size and the excess is shared again by weight until none is
     above. Sorted by the level at which they stop, that is one pass: sources
-    stop as long as their level isn't above what the others would get.
+    stop as long as their level isn't above what the others would get. Both
+    orders are made over all tasks; sources may be many.
     """
-    one = W.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(one) - 1) % len(weights)
-    weighted = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1)).withColumn("most", F.col("source_size") * most)
-    line = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, whole = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    levelled = weighted.withColumn("level", level)
-    stops = F.col("most") / F.col("weight") <= F.col("level")
-    common = F.first(F.when(~stops, F.col("level")), ignorenulls=True).over(whole)
-    return levelled.withColumn("stops", stops).withColumn("common", common).select("source", "source_size", F.when(F.col("stops"), F.col("most")).otherwise(F.col("common") * F.col("weight")).cast("double").alias("target"))
+    scratch = Scratch(sizes.sparkSession)
+    turned = running(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], scratch)
+    weighted = turned.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long").alias("weight"), (F.col("source_size") * most).alias("most"))
+    levelled = running(weighted, [F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()], scratch, most_before=F.col("most"), weight_before=F.col("weight"))
+    levelled = scratch.put(levelled)
+    total, weight = levelled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(total) - F.col("most_before")) / (F.lit(weight) - F.col("weight_before"))
+    stops = F.col("most") / F.col("weight") <= level
+    common = levelled.filter(~stops).agg(F.min_by(level, "place")).first()[0]
+    return levelled.select("source", "source_size", F.when(stops, F.col("most")).otherwise(F.lit(common) * F.col("weight")).cast("double").alias("target"))
 
 
 def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,7 +109,9 @@ def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGH
     # a key that is never null, so that joins and windows deal rows out alike
     skey = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    slim = scratch.put(docs.select("doc_id", "source", skey.alias("skey"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), order.alias("order"), F.pmod(order, F.lit(BUCKETS)).alias("bucket")))
+    slim = scratch.put(docs.select("doc_id", "source", skey.alias("skey"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), order.alias("order")))
+    parts = BUCKETS + slim.count() // PART_ROWS
+    slim = slim.withColumn("bucket", F.pmod("order", F.lit(parts)))
     counts = scratch.put(slim.groupBy("source", "skey", "size", "bucket").agg(F.count("*").alias("n")))
     lengths = counts.groupBy("source", "skey", "size").agg(F.sum("n").alias("n"))
     targets = source_targets(counts.groupBy("source", "skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")).drop("skey"), weights, most)
