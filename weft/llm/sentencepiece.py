@@ -24,10 +24,11 @@ import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from weft.llm.common import arrow_schema, bounded_batches, slices
@@ -39,6 +40,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 REMEMBERED, LONGEST = 600_000, 48
 #: New characters between two looks for a common boundary in a long stretch.
 LOOK = 256
+#: Pieces whose bytes are put in place at once in decoding.
+PIECES_AT_ONCE = 1 << 18
 #: What the unknown piece reads as.
 UNKNOWN_TEXT = " ⁇ ".encode()
 #: Added to the least score for a character that no piece has.
@@ -129,8 +132,10 @@ class PieceModel:
                 node = below.setdefault(c, [None if k else c, {}])
                 below = node[1]
             node[0] = p
-        #: What each id stands for; a null among ids stands for nothing.
-        self.raw_of: dict[int | None, bytes] = {None: b""} | {i: self._bytes_of(i) for i in range(len(self.pieces))}
+        #: What each id stands for, as bytes one after the other; one id more, for a null among ids, stands for nothing.
+        raw = [self._bytes_of(i) for i in range(len(self.pieces))] + [b""]
+        self.nothing = len(self.pieces)
+        self.raw, self.raw_ends = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
         self._memo = _Memo(self)
 
     def _bytes_of(self, i: int) -> bytes:
@@ -248,9 +253,24 @@ class PieceModel:
             text = SPACE + text
         return np.frombuffer(b"".join(map(self._memo.__getitem__, self.stretches.findall(text))), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.raw_of.get, ids, repeat(UNKNOWN_TEXT))).decode("utf-8", "replace")
-        return out[1:] if self.dummy_prefix and out.startswith(" ") else out
+    def decode(self, ids: list[int | None]) -> str:
+        return self.decode_rows(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_rows(self, column: pa.Array) -> list[str]:
+        """The text of each row of ids: bytes of all pieces are put in place at once."""
+        lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        flat = pc.fill_null(column.flatten(), self.nothing).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.where((flat < 0) | (flat > self.nothing), self.unknown, flat)
+        n = self.raw_ends[flat + 1] - self.raw_ends[flat]
+        ends, parts = np.cumsum(n), []
+        for k in range(0, len(flat), PIECES_AT_ONCE):
+            ids, size = flat[k : k + PIECES_AT_ONCE], n[k : k + PIECES_AT_ONCE]
+            first = np.cumsum(size) - size
+            parts.append(self.raw[np.repeat(self.raw_ends[ids] - first, size) + np.arange(int(size.sum()))].tobytes())
+        data = b"".join(parts)
+        rows = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        out = [data[a:b].decode("utf-8", "replace") for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in out] if self.dummy_prefix else out
 
 
 class _Memo(dict):
@@ -264,8 +284,8 @@ class _Memo(dict):
         found = self.older.get(stretch)
         if found is None:
             touching = self.model.touching
-            cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in touching]
-            if cuts:
+            if not touching.issuperset(map(add, stretch, stretch[1:])):
+                cuts = [k for k in range(1, len(stretch)) if stretch[k - 1 : k + 1] not in touching]
                 ends = [*cuts, len(stretch)]
                 found = b"".join([self[stretch[a:b]] for a, b in zip([0, *cuts], ends, strict=True)])
             else:
@@ -296,6 +316,9 @@ class Viterbi:
         self.step = self._survivors if model.kind == BPE else self._best
 
     def run(self, stretch: str) -> list[int]:
+        if len(stretch) <= LOOK:  # all of it at hand: no boundary is looked for before its end
+            self.text, self.via = stretch, [""] + [None] * len(stretch)
+            return self.finish()
         for k in range(0, len(stretch), LOOK):
             self.push(stretch[k : k + LOOK])
         return self.finish()
@@ -439,7 +462,7 @@ def decode_ids(tokens: DataFrame, model_path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(shared.value)
         for batch in batches:
-            texts = [model.decode(x or []) for x in batch.column(at).to_pylist()]
+            texts = model.decode_rows(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(decoded, arrow_schema(tokens, ("decoded", "string")))
