@@ -35,11 +35,11 @@ from weft.llm.common import Scratch, bounded_batches, slices
 from weft.llm.components import components
 from weft.llm.shingles import mix, shingle_sets
 
-#: The least and the most counters of the sketch, in bits; between these it grows with the number of rows.
-SKETCH_BITS, MOST_SKETCH_BITS = 20, 26
+#: The least and the most counters of the sketch, in bits, and rows for each; every task sends as many as it fills.
+SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS = 20, 22, 16
 BLOCK = 1 << 14
-#: The same for the filter that tells which documents are candidates.
-FILTER_BITS, MOST_FILTER_BITS = 20, 31
+#: The least and the most bits of the filter that tells which documents are candidates, and bits for each of these.
+FILTER_BITS, MOST_FILTER_BITS, FILTER_EACH = 25, 31, 32
 FRAGMENTS = 8
 #: Words of 64 bits in the parity print of a set.
 PARITY = 8
@@ -82,9 +82,9 @@ def collect_blocks(parts: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
-def size_bits(rows: int, each: int, least: int, most: int) -> int:
-    """Bits that give ``each`` places to every row, within bounds."""
-    return min(most, max(least, (max(1, rows * each) - 1).bit_length()))
+def size_bits(places: int, least: int, most: int) -> int:
+    """Bits that tell so many places apart, within bounds."""
+    return min(most, max(least, (max(1, places) - 1).bit_length()))
 
 
 def _bits(table: np.ndarray) -> np.uint64:
@@ -218,7 +218,7 @@ def _links(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, words:
     """
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
     spark = docs.sparkSession
-    bits = size_bits(2 * pairs.count(), 8, FILTER_BITS, MOST_FILTER_BITS)
+    bits = size_bits(2 * pairs.count() * FILTER_EACH, FILTER_BITS, MOST_FILTER_BITS)
     wanted = spark.sparkContext.broadcast(_bit_filter(ids, bits))
     parts = scratch.put(_segments(docs, words, shared, wanted, bits, cuts))
     if repeated is not None:
@@ -267,7 +267,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     bounded_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = shingle_sketch(docs, words, size_bits(docs.count(), 8, SKETCH_BITS, MOST_SKETCH_BITS))
+    counts = shingle_sketch(docs, words, size_bits(docs.count() // SKETCH_ROWS, SKETCH_BITS, MOST_SKETCH_BITS))
     cuts, shared = pivots(counts, FRAGMENTS), spark.sparkContext.broadcast(counts)
     sets = scratch.put(_sets_table(docs, words, num, den, shared))
 
