@@ -135,6 +135,9 @@ def features(column: pa.Array, learned: Lexicon) -> np.ndarray:
         add(13, of_byte, mark.astype(float))
         inner = np.zeros(len(data), dtype=bool)
         inner[1:-1] = letter[:-2] & letter[2:] & (mark | digit)[1:-1] & (data[1:-1] != 39) & (data[1:-1] != 45)
+        # the first and the last byte of a row have a neighbour in another one
+        some = np.diff(offsets) > 0
+        inner[offsets[:-1][some]] = inner[offsets[1:][some] - 1] = False
         add(14, of_byte, inner.astype(float))
         # words between spaces whose disguised letters spell a word of the lexicon
         b, e, r = spans(data, offsets, SPACES)
