@@ -44,7 +44,7 @@ FRAGMENTS = 8
 #: Words of 64 bits in the parity print of a set.
 PARITY = 8
 #: Rounds in which members of a bucket are held against one of them.
-HUBS = 1
+HUBS = 2
 #: Bytes of text for which sets are held at once.
 SLICE_BYTES = 2 << 20
 
