@@ -79,3 +79,11 @@ def test_rotation_is_orthogonal_and_codes_are_balanced():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     share = ((unit - mean) @ projection >= 0).mean(axis=0)
     assert (abs(share - 0.5) < 0.1).all()
+
+
+def test_components_of_any_finite_size(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [2e200, -1e200], 1), (4, [1e308, 1.9e308 / 1], 1)]
+    rows[3] = (4, [0.5e308, 1e308], 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.embedding_near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}

@@ -57,3 +57,16 @@ def test_odd_input(spark, tmp_path):
         for _, stage in p.STAGES:
             docs = stage(spark, docs, sf_dir)
             docs.count()
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like those that stages make, and one with a dash, come through every stage as they were."""
+    sf_dir, rows, _ = corpus(spark, tmp_path)
+    docs = spark.createDataFrame([(*r, 0.5, 7, "t", r[0]) for r in rows], SCHEMA + ", score double, times int, copy string, `a-b` long")
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/c{_.replace(' ', '')}")
+        docs = spark.read.parquet(f"{tmp_path}/c{_.replace(' ', '')}")
+    kept = docs.collect()
+    assert kept and all(r["score"] == 0.5 and r["times"] == 7 and r["copy"] == "t" and r["a-b"] == r["doc_id"] for r in kept)

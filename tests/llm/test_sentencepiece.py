@@ -85,8 +85,18 @@ def test_unigram_takes_the_best_sum():
         marked = "▁" + t.replace(" ", "▁")
         assert "".join(model.pieces[i] for i in ids) == marked
         assert sum(model.scores[i] for i in ids) == pytest.approx(best(marked))
-    long = "ab" * 3000
-    assert sum(model.scores[i] for i in model.encode(long)) == pytest.approx(-4.0 + max(-2.5 * 2998 - 2.5 - 2.0 - 0.0, -2.5 * 2998 - 3.5 - 0.0), abs=3)
+    # a long text makes the window commit; its sum is that of a plain search over all of it
+    long = "▁" + "ab" * 3000 + "ba" * 500
+    sums = [0.0] + [-1e18] * len(long)
+    for at in range(len(long)):
+        for k in range(1, 5):
+            if (score := scores.get(long[at : at + k])) is not None and at + k <= len(long):
+                sums[at + k] = max(sums[at + k], sums[at] + score)
+    search = Viterbi(model)
+    for k in range(0, len(long), 100):
+        search.push(long[k : k + 100])
+    assert search.ids and len(search.text) < 200
+    assert sum(model.scores[i] for i in search.finish()) == pytest.approx(sums[-1])
 
 
 def test_odd_rows(spark):
@@ -95,3 +105,18 @@ def test_odd_rows(spark):
     back = decode_ids(encode_texts(df, PIECES), PIECES).collect()
     assert [(r["doc_id"], r["decoded"]) for r in back] == [(d, t or "") for d, t, _ in rows]
     assert encode_texts(df.limit(0), PIECES).count() == 0
+
+
+def test_odd_ids_and_names(spark):
+    """Ids that the model doesn't have read as unknown, a null stands for nothing; columns of any name and type are kept."""
+    hello = encode_texts(spark.createDataFrame([("Hello",)], "text string"), PIECES).first()["token_ids"]
+    rows = [(1, [-1], (1,)), (2, [None, *hello, None], (2,)), (3, [10**6], None), (4, None, None), (5, [], None)]
+    got = decode_ids(spark.createDataFrame(rows, "id long, token_ids array<int>, s struct<`a-b`:int>"), PIECES).collect()
+    assert [r["decoded"] for r in got] == ["⁇ ", "Hello", "⁇ ", "", ""] and got[0]["s"]["a-b"] == 1
+
+
+def test_spaces_take_the_same_search(model):
+    for n in range(1, 60):
+        for word in ("", "the", "q"):
+            text = "▁" * n + word
+            assert Viterbi(model).run(text) == [i for p in model.merge(text) for i in model._spell(p)]

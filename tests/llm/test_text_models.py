@@ -98,3 +98,73 @@ def test_neighbours_match_brute_force():
         assert got[i] == pytest.approx((w * model.labels[near]).sum() / w.sum(), abs=0.02)
     exact = np.linalg.svd(x, full_matrices=False)[2][:4]
     assert np.linalg.norm(exact @ directions, axis=1) == pytest.approx(np.ones(4), abs=0.02)
+
+
+def plain_features(text, learned):
+    """The features by a walk over words, for texts of ASCII."""
+    import re
+
+    from weft.llm import toxicity as t
+
+    words = re.findall(r"[A-Za-z0-9]+", text)
+    low = [w.lower() for w in words]
+    fixed = [w in t.INSULTS for w in low]
+    word = [learned.get(w, 0.0) for w in low]
+    begin = [max([learned.get(w[:k] + "*", 0.0) for k in t.BEGINNINGS if len(w) > k] or [0.0]) for w in low]
+    you = [w in t.SECOND_PERSON for w in low]
+    hit = [i for i in range(len(low)) if fixed[i] or word[i] > 0 or begin[i] > 0]
+    near = [min([abs(i - k) for k in range(len(low)) if you[k]] or [50]) for i in hit] if any(you) else []
+    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    marks = sum(not c.isalnum() and c not in " \t\n\v\f\r" for c in text)
+    inner = sum(text[i - 1].isalpha() and text[i + 1].isalpha() and not text[i].isalpha() and text[i] not in " \t\n\v\f\r'-" for i in range(1, len(text) - 1))
+    odd = 0
+    for w in re.findall(r"[^ \t-\r]+", text):
+        meant = "".join(t.LEET.get(c, c.lower()) for c in w)
+        meant = "".join(c for c in meant if c.isalpha())
+        if not all(c.isalpha() for c in w) and (meant in t.INSULTS or learned.get(meant, 0) > 0) and meant != "".join(c.lower() for c in w if c.isalnum()):
+            odd += 1
+    n, f, w, b = max(len(low), 1), sum(fixed), sum(x > 0 for x in word), sum(x > 0 for x in begin)
+    one = np.log1p
+    return [
+        f / n, one(f), sum(word) / n, one(w), sum(begin) / n, one(b), max([max(word[i], begin[i]) for i in hit] or [0.0]), odd / n, one(odd),
+        1 / (1 + min(near or [50])), sum(d <= t.NEAR for d in near) / max(f + w + b, 1), sum(you) / n, upper / max(letters, 1),
+        sum(x.isalnum() and len(x) > 2 and all(c.isupper() for c in x) for x in words) / n, text.count("!") / n, marks / n, inner / n, one(len(low)), one(f + w + b),
+    ]
+
+
+def test_features_match_a_plain_walk():
+    from weft.llm import toxicity as t
+
+    known = {"zork": 1.5, "grum": 0.5, "blat*": 2.0, "snarfl*": 0.25}
+    entries = {t.hash_word(w, t._VALUES): v for w, v in known.items() if not w.endswith("*")}
+    entries |= {t.hash_word(w[:-1], t._VALUES) ^ (len(w) - 1): v for w, v in known.items() if w.endswith("*")}
+    rng = random.Random(4)
+    bits = ["you", "YOUR", "idiot", "1d10t", "m0ron", "zork", "Zork!", "grum,", "blatter", "blat", "snarfled", "it's", "well-known", "a1b", "HELLO", "fine", "x", "99", "...", "\n", "w*rd"]
+    texts = ["", " ", "you", "idiot you"] + [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(120)]
+    got = features(pa.array(texts), lexicon({0: 0.0} | entries))
+    for row, text in zip(got, texts, strict=True):
+        assert row.tolist() == pytest.approx(plain_features(text, known)), text
+
+
+def test_trees_match_plain_splits():
+    """Every split of every tree is the best by a plain look at all cuts, and every leaf the damped Newton step."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, (120, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3) | (rng.random(120) < 0.1)).astype(float)
+    trees = boosting.fit_trees(x, y, trees=4, depth=2)
+    margin = np.full(120, np.log(y.mean() / (1 - y.mean())))
+    for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        part = [np.arange(120)]
+        for node in range(3):
+            own = part[node]
+            gain = lambda j, c: (lambda r: 0.0 if min(h[own[~r]].sum(), h[own[r]].sum()) < 0.4 else g[own[~r]].sum() ** 2 / (h[own[~r]].sum() + 1) + g[own[r]].sum() ** 2 / (h[own[r]].sum() + 1) - g[own].sum() ** 2 / (h[own].sum() + 1))(x[own, j] > c)
+            best = max([gain(j, c) for j in range(3) for c in np.unique(x[:, j])] + [0.0])
+            assert (gain(int(feature[node]), cut[node]) if np.isfinite(cut[node]) else 0.0) == pytest.approx(max(best, 0.0), abs=1e-9)
+            right = x[own, feature[node]] > cut[node]
+            part += [own[~right], own[right]]
+        for k, own in enumerate(part[3:]):
+            assert leaf[k] == pytest.approx(0.15 * g[own].sum() / (h[own].sum() + 1))
+            margin[own] += leaf[k]
+    assert trees.margin(x) == pytest.approx(margin)

@@ -117,3 +117,20 @@ def test_print_covers_all_pages(spark):
         at = [k * len(data) // 64 for k in range(65)]
         cells = [sum(data[a:b]) for a, b in zip(at, at[1:])]
         assert int(r["feature"].rsplit("-", 1)[1], 16) == int("".join(str(int(c * 64 > sum(cells))) for c in cells), 2)
+
+
+def test_memory_grows_with_the_text_alone():
+    """A text of many pages: what is held at once is a small multiple of the text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weft.llm.media_query import digests, files_of
+
+    text = "memory of a long text " * 200_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    tracemalloc.start()
+    (out,) = list(digests(files_of(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("n_pages")[0].as_py() > 80 and peak < 6 * len(text)

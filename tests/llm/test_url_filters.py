@@ -53,3 +53,11 @@ def test_empty_tables(spark):
 
 def test_query_matches_sql(spark):
     agree(queries.op8_url_filters(spark, SF), queries.ORACLE["op8_url_filters"])
+
+
+def test_names_long_urls_and_unknown_entries(spark):
+    """A column named like an internal one, a URL of a megabyte of path parts, and lists and actions that aren't known."""
+    entries = spark.createDataFrame([("block", "a.com/p", "add", at(1)), ("monitor", "b.org", "add", at(1)), ("block", "b.org", "ADD", at(1)), ("block", "c.net", "add", at(1)), ("block", "c.net", "ADD", at(3))], "list string, key string, action string, at timestamp")
+    rows = [(1, "http://a.com/p" + "/x" * 500_000, at(5), "u"), (2, "http://b.org/", at(5), "v"), (3, "http://c.net/", at(5), "w"), (4, "http://" + "l." * 2000 + "c.net", at(5), "w")]
+    got = filter_urls(spark.createDataFrame(rows, "id long, url string, fetched_at timestamp, best string"), entries).select("id", "verdict", "best").collect()
+    assert sorted(map(tuple, got)) == [(1, "block", "u"), (2, "none", "v"), (3, "block", "w"), (4, "block", "w")]
