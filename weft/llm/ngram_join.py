@@ -11,9 +11,11 @@ and a document's set falls into one segment for each fragment.
 3. Sets that meet the threshold share a shingle among the first
    ``n - ceil(t * n) + 1`` of the order. Documents that share such a shingle
    are candidates. First each is held against a hub of its bucket, which
-   is linear in the bucket; dense groups of copies fall together there. Then every
-   pair that shares a bucket and isn't connected yet is taken, without
-   exception, so that no link between components is lost.
+   is linear in the bucket; dense groups of copies fall together there. What
+   is still apart is screened pair by pair with parity prints. Of the pairs that
+   pass, each document's nearest is taken first, then every pair that isn't
+   connected by these, without exception, so that no link between components is
+   lost.
 4. Overlaps of candidates are counted fragment by fragment, each apart from
    the others, and summed for each pair.
 
@@ -43,8 +45,10 @@ FILTER_BITS, MOST_FILTER_BITS, FILTER_EACH = 25, 31, 32
 FRAGMENTS = 8
 #: Words of 64 bits in the parity print of a set.
 PARITY = 8
+#: How many bits of the prints of ``a`` and ``b`` differ.
+BITS_APART = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(PARITY))
 #: Rounds in which members of a bucket are held against one of them.
-HUBS = 2
+HUBS = 1
 #: Bytes of text for which sets are held at once.
 SLICE_BYTES = 2 << 20
 
@@ -248,8 +252,7 @@ def _may_meet(num: int, den: int, places: bool = False) -> str:
 
 def _different(num: int, den: int) -> str:
     """No more bits of the parity prints differ than elements of the sets; sets at the threshold differ in few."""
-    bits = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(PARITY))
-    return f"({bits}) * {num + den} <= (a.n + b.n) * {den - num}"
+    return f"({BITS_APART}) * {num + den} <= (a.n + b.n) * {den - num}"
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -301,7 +304,13 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
         rest = rest.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
     rest = scratch.put(rest)
     if not rest.isEmpty():
-        edges = edges.unionAll(_links(rest, docs, repeated, words, num, den, shared, cuts, scratch))
+        near = scratch.put(_nearest(rest))
+        found = _links(near, docs, repeated, words, num, den, shared, cuts, scratch)
+        joined = scratch.put(components(edges.unionAll(found), scratch))
+        edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        apart = scratch.put(_still_open(rest, joined).join(near, near.columns, "left_anti"))
+        if not apart.isEmpty():
+            edges = edges.unionAll(_links(apart, docs, repeated, words, num, den, shared, cuts, scratch))
     # classes stand for their documents; a document that stands in several joins these
     several = known.join(repeated, "doc_id", "left_semi") if repeated is not None else known.limit(0)
     of = several.join(classes, ["f1", "f2", "n"]).select("doc_id", "rep").distinct()
@@ -336,7 +345,9 @@ def _open_members(buckets: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, fa, fb, na, nb`` of every pair that shares a bucket, may meet the threshold, and isn't connected yet.
+    """``a, b, fa, fb, na, nb, far`` of every pair that shares a bucket, may meet the threshold, and isn't connected yet.
+
+    ``far`` is how many bits of the prints differ for each element of the sets.
 
     In each bucket the members outside its largest component are held against
     all the others; within a component no pair is made. Places, sizes and
@@ -349,4 +360,19 @@ def _open_pairs(members: DataFrame, prints: DataFrame, num: int, den: int) -> Da
     for name, column in (("na", "a.n"), ("nb", "b.n"), ("ia", "a.i"), ("ib", "b.i")):
         sides = sides.replace(name, column)
     met = x.join(y, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {sides} AND {_different(num, den)}"))
-    return met.selectExpr("least(a.doc_id, b.doc_id) a", "greatest(a.doc_id, b.doc_id) b", "if(a.doc_id < b.doc_id, a.f1, b.f1) fa", "if(a.doc_id < b.doc_id, b.f1, a.f1) fb", "if(a.doc_id < b.doc_id, a.n, b.n) na", "if(a.doc_id < b.doc_id, b.n, a.n) nb").distinct()
+    return met.selectExpr("least(a.doc_id, b.doc_id) a", "greatest(a.doc_id, b.doc_id) b", "if(a.doc_id < b.doc_id, a.f1, b.f1) fa", "if(a.doc_id < b.doc_id, b.f1, a.f1) fb", "if(a.doc_id < b.doc_id, a.n, b.n) na", "if(a.doc_id < b.doc_id, b.n, a.n) nb", f"({BITS_APART}) / (a.n + b.n) far").distinct()
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each document the pair with the least ``far``; as many pairs as documents at most."""
+    pair = ["a", "b", "fa", "fb", "na", "nb"]
+    row = F.struct("far", *pair).alias("m")
+    ends = pairs.select(F.col("a").alias("node"), row).unionAll(pairs.select(F.col("b").alias("node"), row))
+    return ends.groupBy("node").agg(F.min("m").alias("m")).select(*(f"m.{c}" for c in pair)).distinct()
+
+
+def _still_open(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components."""
+    ra, rb = (joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    placed = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return placed.filter("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "fa", "fb", "na", "nb")
