@@ -104,3 +104,27 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(1000, 500 + i) for i in range(30)] + [(5, 5), (None, 2), (7, 8)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{500 + i: 500 for i in range(30)}, 1000: 500}
+
+
+def test_components_of_stars_chains_and_random_links(spark):
+    def brute(links):
+        parent = {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            if a is not None and b is not None and a != b:
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+        return {x: find(x) for x in parent}
+
+    r = random.Random(3)
+    cases = [[], [(1, 1), (None, 2)], [(1, 2), (1, 3)], [(3, 1), (3, 2)], [(i, i + 1) for i in range(30)], [(r.randrange(200), r.randrange(200)) for _ in range(120)]]
+    for links in cases:
+        got = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()
+        assert len(got) == len({x.node for x in got})
+        assert {x.node: x.root for x in got} == brute(links)
