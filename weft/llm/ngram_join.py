@@ -43,6 +43,8 @@ BLOCK = 1 << 14
 #: The least and the most bits of the filter that tells which documents are candidates, and bits for each of these.
 FILTER_BITS, MOST_FILTER_BITS, FILTER_EACH = 25, 31, 32
 FRAGMENTS = 8
+#: The same for the filter of shingles that several sets have early in the order.
+SHARED_BITS, MOST_SHARED_BITS, SHARED_EACH = 20, 28, 16
 #: Words of 64 bits in the parity print of a set.
 PARITY = 8
 #: How many bits of the prints of ``a`` and ``b`` differ.
@@ -166,12 +168,12 @@ def _bit_filter(ids: DataFrame, bits: int) -> np.ndarray:
     size = 1 << (bits - 3)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, any_rows = np.zeros(1 << bits, dtype=bool), False
+        packed, any_rows = np.zeros(size, dtype=np.uint8), False
         for batch in batches:
             any_rows = True
-            flags[_slot(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+            at = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            np.bitwise_or.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         if any_rows:
-            packed = np.packbits(flags, bitorder="little")
             some = [i for i in range(size // BLOCK) if packed[i * BLOCK : (i + 1) * BLOCK].any()]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in some], pa.binary())], names=["block", "data"])
 
@@ -285,9 +287,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     repeated = scratch.put(known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
     if repeated.isEmpty():
         repeated = None
-    entries = prints.select("doc_id", "n", F.posexplode("head").alias("i", "shingle"))
-    shared_by = entries.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1").select("shingle")
-    buckets = scratch.put(entries.join(shared_by, "shingle"))
+    shared_by = scratch.put(_shared_shingles(prints, num, den))
+    bits = size_bits(shared_by.count() * SHARED_EACH, SHARED_BITS, MOST_SHARED_BITS)
+    held = spark.sparkContext.broadcast(_bit_filter(shared_by, bits))
+    buckets = scratch.put(_entries(prints, held, bits).join(shared_by, "shingle"))
     done: list[DataFrame] = []
     edges, members = None, buckets.withColumn("root", F.col("doc_id"))
     for salt in range(HUBS):
@@ -321,6 +324,42 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_root", "doc_id")).alias("component_id"))
 
 
+def _shared_shingles(prints: DataFrame, num: int, den: int) -> DataFrame:
+    """``shingle`` of the buckets in which two sets may meet the threshold by their sizes and the shingle's places.
+
+    A set's size is a bit of 32, round about, in steps of the ratio that sizes
+    may have; sizes at the threshold are at the same bit or the next. The
+    smaller set of a pair has the shingle so early that what is left of it can
+    be the overlap of two sets of its size. A second 32 bits tell the sizes of
+    sets that do. Counts and bits are combined before the shuffle; other
+    buckets hold no pair.
+    """
+    entries = prints.select("n", F.posexplode("head").alias("i", "shingle"))
+    step = math.log(den / num) * (1 + 1e-9) if num < den else 1e-9
+    early = f"if((n - i) * {num + den} >= 2 * n * {num}, {(1 << 32) + 1}L, 1L)"
+    bits = F.expr(f"shiftleft({early}, cast(pmod(floor(ln(n) / {step!r}D), 32) as int))")
+    tally = entries.groupBy("shingle").agg(F.count("*").alias("sets"), F.bit_or(bits).alias("bits"))
+    sizes, first, after = f"(bits & {(1 << 32) - 1}L)", "shiftrightunsigned(bits, 32)", "(shiftrightunsigned(bits, 31) | shiftrightunsigned(bits, 63))"
+    return tally.filter(f"{first} <> 0 AND (sets > bit_count({sizes}) OR ({sizes} & {after} & {(1 << 32) - 1}L & if(bits < 0, -1L, -2L)) <> 0)").select("shingle")
+
+
+def _entries(prints: DataFrame, held, bits: int) -> DataFrame:
+    """``doc_id, n, i, shingle``: the places of heads whose shingle the filter holds, so that few others are shuffled."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = held.value
+        for batch in batches:
+            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            at = _slot(flat, bits)
+            keep = np.flatnonzero((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(len(lengths)), lengths)[keep]
+            place = keep - (np.cumsum(lengths) - lengths)[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place, pa.int64()), pa.array(flat[keep], pa.int64())], names=["doc_id", "n", "i", "shingle"])
+
+    return prints.select("doc_id", "n", "head").mapInArrow(spread, "doc_id long, n long, i long, shingle long")
+
+
 def _screened(pairs: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b, fa, fb, na, nb`` of the pairs whose parity prints don't rule the threshold out."""
     one = pairs.alias("p").join(prints.drop("head").alias("a"), F.expr("p.a = a.doc_id"))
