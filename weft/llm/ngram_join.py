@@ -41,7 +41,7 @@ from weft.llm.shingles import mix, shingle_sets
 SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS = 20, 22, 16
 BLOCK = 1 << 14
 #: The least and the most bits of the filter that tells which documents are candidates, and bits for each of these.
-FILTER_BITS, MOST_FILTER_BITS, FILTER_EACH = 25, 31, 32
+FILTER_BITS, MOST_FILTER_BITS, FILTER_EACH = 24, 30, 32
 FRAGMENTS = 8
 #: The same for the filter of shingles that several sets have early in the order.
 SHARED_BITS, MOST_SHARED_BITS, SHARED_EACH = 20, 28, 16
@@ -186,17 +186,21 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _segments(docs: DataFrame, words: int, shared, wanted, bits: int, cuts: np.ndarray) -> DataFrame:
-    """``doc_id, f1, fragment, part``: the sets of the wanted documents, cut at the pivots; repeated rows repeat."""
+    """``doc_id, f1, side, fragment, part``: the sets of the wanted documents, cut at the pivots; repeated rows repeat.
+
+    ``side`` has bit 0 for documents of the first of the two filters ``wanted``, bit 1 for those of the second.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, flags = shared.value, wanted.value
+        counts, filters = shared.value, wanted.value
         for batch in slices(batches, "text", SLICE_BYTES):
             at = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
-            batch = batch.filter(pa.array((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            side = sum(((flags[at >> 3] >> (at & 7).astype(np.uint8)) & 1) << k for k, flags in enumerate(filters))
+            batch, side = batch.filter(pa.array(side > 0)), side[side > 0].tolist()
             if not batch.num_rows:
                 continue
-            ids, prints, fragments, parts = [], [], [], []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
+            ids, prints, sides, fragments, parts = [], [], [], [], []
+            for doc, of, s in zip(batch.column(0).to_pylist(), side, shingle_sets(batch.column(1), words), strict=True):
                 one = int(mix(s).sum(dtype=np.uint64).astype(np.int64))
                 place = np.searchsorted(cuts, order_keys(s, counts), side="right")
                 s = s[np.argsort(place, kind="stable")].astype(np.int64)
@@ -206,14 +210,15 @@ def _segments(docs: DataFrame, words: int, shared, wanted, bits: int, cuts: np.n
                     if end > start:
                         ids.append(doc)
                         prints.append(one)
+                        sides.append(of)
                         fragments.append(k)
                         parts.append(s[start:end])
                     start = end
             lengths = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))], names=["doc_id", "f1", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(sides, pa.int32()), pa.array(fragments, pa.int32()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))], names=["doc_id", "f1", "side", "fragment", "part"])
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut, "doc_id long, f1 long, fragment int, part array<long>")
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(cut, "doc_id long, f1 long, side int, fragment int, part array<long>")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, words: int, num: int, den: int, shared, cuts: np.ndarray, scratch: Scratch) -> DataFrame:
@@ -222,18 +227,17 @@ def _links(pairs: DataFrame, docs: DataFrame, repeated: DataFrame | None, words:
     ``repeated`` has the documents of which a set stands in several rows; their
     fragments are reduced to one of each, so that an overlap counts once.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id")))
     spark = docs.sparkSession
-    bits = size_bits(2 * pairs.count() * FILTER_EACH, FILTER_BITS, MOST_FILTER_BITS)
-    wanted = spark.sparkContext.broadcast(_bit_filter(ids, bits))
+    bits = size_bits(pairs.count() * FILTER_EACH, FILTER_BITS, MOST_FILTER_BITS)
+    wanted = spark.sparkContext.broadcast([_bit_filter(pairs.select(c), bits) for c in ("a", "b")])
     parts = scratch.put(_segments(docs, words, shared, wanted, bits, cuts))
     if repeated is not None:
         every = parts
-        once = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "f1", "fragment").agg(F.first("part").alias("part"))
+        once = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "f1", "side", "fragment").agg(F.first("part").alias("part"))
         parts = scratch.put(every.join(repeated, "doc_id", "left_anti").unionByName(once))
         scratch.drop(every)
-    left = parts.select(F.col("doc_id").alias("a"), F.col("f1").alias("fa"), "fragment", F.col("part").alias("x"))
-    right = parts.select(F.col("doc_id").alias("b"), F.col("f1").alias("fb"), "fragment", F.col("part").alias("y"))
+    left = parts.filter("side & 1 <> 0").select(F.col("doc_id").alias("a"), F.col("f1").alias("fa"), "fragment", F.col("part").alias("x"))
+    right = parts.filter("side & 2 <> 0").select(F.col("doc_id").alias("b"), F.col("f1").alias("fb"), "fragment", F.col("part").alias("y"))
     pair = ["a", "b", "fa", "fb", "na", "nb"]
     partial = pairs.join(left, ["a", "fa"]).join(right, ["b", "fb", "fragment"]).select(*pair, F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"))
     summed = partial.groupBy(*pair).agg(F.sum("overlap").alias("overlap"))
