@@ -6,7 +6,7 @@ import pytest
 
 from weft.llm.components import components
 from weft.llm.common import Scratch
-from weft.llm.ngram_join import ngram_jaccard_join
+from weft.llm.ngram_join import _shared_shingles, ngram_jaccard_join
 from weft.llm.shingles import shingle_sets, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,3 +128,18 @@ def test_components_of_stars_chains_and_random_links(spark):
         got = components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()
         assert len(got) == len({x.node for x in got})
         assert {x.node: x.root for x in got} == brute(links)
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (8, 10), (1, 1)])
+def test_buckets_that_may_hold_a_pair_are_kept(spark, num, den):
+    rng = random.Random(num)
+    heads = [(n, [rng.randrange(400) for _ in range(n + (-num * n // den) + 1)]) for n in (rng.choice([1, 2, 9, 10, 11, 50, 55, 400, 444, 5000]) for _ in range(300))]
+    rows = spark.createDataFrame([(n, h) for n, h in heads], "n long, head array<long>")
+    got = {r[0] for r in _shared_shingles(rows, num, den).collect()}
+    at = {}
+    for n, h in heads:
+        for i, s in enumerate(h):
+            at.setdefault(s, []).append((n, i))
+    meet = lambda x, y: min(x[0] - x[1], y[0] - y[1]) * (num + den) >= (x[0] + y[0]) * num
+    want = {s for s, e in at.items() if any(meet(x, y) for k, x in enumerate(e) for y in e[:k])}
+    assert want <= got <= {s for s, e in at.items() if len(e) > 1}
