@@ -14,6 +14,7 @@ from weft.llm.media_query import media_digests
 from weft.llm.mixing import mix_sources
 from weft.llm.ngram_join import ngram_jaccard_join
 from weft.llm.quality import fit_quality
+from weft.llm.resample import importance_resample
 from weft.llm.sentencepiece import decode_ids, encode_texts
 from weft.llm.sharding import shard_by_bytes
 from weft.llm.toxicity import fit_toxicity, score_texts
@@ -115,6 +116,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of all documents of 20 words or more, drawn towards the benchmark's distribution of runs of words."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, buckets=10_000, run=3, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_budget_mix": op9_budget_mix,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 _URL_PATTERN = URL.replace("'", "''")
@@ -190,5 +197,28 @@ WITH RECURSIVE v AS (
 ), r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
 n AS (SELECT a, count(*) n FROM l GROUP BY 1)
 SELECT r.a vec_id, coalesce(any_value(n.n), 0) n_links, min(r.b) component_id, r.a = min(r.b) kept FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+""",
+    "op11_importance_resampling": r"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) v FROM range(256) r(i))
+), w AS (
+  SELECT rid, doc_id, kind, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  FROM (SELECT row_number() OVER () rid, doc_id, 0 kind, text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, 1, text FROM benchmark)
+), u AS (
+  SELECT rid, kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) f FROM w
+), f AS (SELECT rid, kind, f, count(*) n FROM u GROUP BY ALL
+), h AS (SELECT f, hex(encode(f)) h FROM (SELECT DISTINCT f FROM f)
+), b AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, length(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 2]) - 1),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 b FROM h, tab
+), c AS (SELECT b, coalesce(sum(n) FILTER (kind = 0), 0)::double s, coalesce(sum(n) FILTER (kind = 1), 0)::double t FROM f JOIN b USING (f) GROUP BY b
+), g AS (SELECT b, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000))))::bigint gain FROM c
+), d AS (SELECT rid, sum(n)::bigint n, sum(n * gain)::bigint weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE kind = 0 GROUP BY rid
+), s AS (
+  SELECT w.doc_id, len(w.w) words, coalesce(d.n, 0) n_features, coalesce(d.weight, 0) weight,
+         coalesce(d.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+  FROM w LEFT JOIN d USING (rid) WHERE w.kind = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) k, count(*) FILTER (words >= 20) OVER () n FROM s)
+SELECT doc_id, words::bigint n_words, n_features, weight, score, CASE WHEN words >= 20 AND k <= 5 * n // 100 THEN k END "rank" FROM r
 """,
 }

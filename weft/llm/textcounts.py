@@ -28,8 +28,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """``data, offsets, first``: runs of rows of about ``PIECE`` bytes, or parts of one long row."""
+def pieces(column: pa.Array, separator: np.ndarray = SPACES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """``data, offsets, first``: runs of rows of about ``PIECE`` bytes, or parts of one long row, cut at a ``separator``."""
     data, offsets = text_bytes(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -40,8 +40,8 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         else:
             while at < end:
                 stop = min(at + PIECE, end)
-                while stop < end and not SPACES[data[stop]]:
-                    step = SPACES[data[stop : min(stop + 4096, end)]]
+                while stop < end and not separator[data[stop]]:
+                    step = separator[data[stop : min(stop + 4096, end)]]
                     stop += int(step.argmax()) if step.any() else len(step)
                 yield data[at:stop], np.array([0, stop - at]), row
                 at = stop
