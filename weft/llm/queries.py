@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.chat import conversation_digests, format_conversations
 from weft.llm.common import crc_of_id, table
+from weft.llm.decontaminate import decontaminate
 from weft.llm.embedding_dedup import embedding_near_duplicates
 from weft.llm.media_query import media_digests
 from weft.llm.mixing import mix_sources
@@ -121,6 +122,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, buckets=10_000, run=3, seed=42)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside ten consecutive words of a benchmark item, and the items these are of."""
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10, slack=5)
+    return out.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -133,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_budget_mix": op9_budget_mix,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_decontamination": op12_decontamination,
 }
 
 _URL_PATTERN = URL.replace("'", "''")
@@ -220,5 +228,30 @@ WITH tab AS (
   FROM w LEFT JOIN d USING (rid) WHERE w.kind = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) k, count(*) FILTER (words >= 20) OVER () n FROM s)
 SELECT doc_id, words::bigint n_words, n_features, weight, score, CASE WHEN words >= 20 AND k <= 5 * n // 100 THEN k END "rank" FROM r
+""",
+    "op12_decontamination": r"""
+WITH t AS (
+  SELECT row_number() OVER () rid, doc_id, NULL item_id, text, true of_docs FROM documents UNION ALL SELECT 0, NULL, coalesce(item_id::varchar, ''), text, false FROM benchmark
+), w AS (
+  SELECT * EXCLUDE text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM t
+), own AS (
+  SELECT DISTINCT item_id, x FROM (SELECT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w] ELSE list_transform(range(len(w) - 9), lambda k: w[k + 1:k + 10]) END) x FROM w WHERE NOT of_docs)
+), x AS (SELECT DISTINCT x FROM own
+), occ AS (
+  SELECT rid, pos, len(g.x) n, x FROM (SELECT rid, pos, w[pos + 1:pos + n] x FROM (SELECT rid, w, n, unnest(range(len(w) - n + 1)) pos FROM w, (SELECT DISTINCT len(x) n FROM x) WHERE of_docs AND len(w) >= n)) g SEMI JOIN x USING (x)
+), hit AS (SELECT rid, count(DISTINCT p) n_hit FROM (SELECT rid, unnest(range(pos, pos + n)) p FROM occ) GROUP BY rid
+), items AS (SELECT rid, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) ids FROM (SELECT DISTINCT rid, item_id FROM occ JOIN own USING (x)) GROUP BY rid
+), post AS (SELECT rid, unnest(w) t, unnest(range(len(w))) pos FROM w WHERE of_docs
+), a AS (
+  SELECT x, t, off, row_number() OVER (PARTITION BY x ORDER BY n, off) k
+  FROM (SELECT x, unnest(x) t, unnest(range(len(x))) off FROM x) LEFT JOIN (SELECT t, count(*) n FROM post GROUP BY t) USING (t) QUALIFY count(n) OVER (PARTITION BY x) = len(x)
+), first AS (SELECT DISTINCT rid, pos - off s, x FROM a JOIN post USING (t) WHERE k = 1
+), more AS (
+  SELECT rid, s, x, count(DISTINCT k) c FROM first JOIN (SELECT * FROM a WHERE k IN (2, 3)) USING (x) JOIN post USING (rid, t) WHERE abs(pos - s - off) <= 5 GROUP BY ALL
+), near AS (
+  SELECT rid, count(DISTINCT item_id) n_near FROM first LEFT JOIN more USING (rid, s, x) JOIN own USING (x) WHERE coalesce(c, 0) = least(len(x), 3) - 1 GROUP BY rid
+)
+SELECT w.doc_id, len(w.w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_near, 0)::bigint n_near, coalesce(n_hit, 0) > 0 contaminated
+FROM w LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid) WHERE w.of_docs
 """,
 }
