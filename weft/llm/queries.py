@@ -20,6 +20,7 @@ from weft.llm.sentencepiece import decode_ids, encode_texts
 from weft.llm.sharding import shard_by_bytes
 from weft.llm.toxicity import fit_toxicity, score_texts
 from weft.llm.url_filters import URL, filter_urls, host_of
+from weft.llm.vector_codes import code_errors, compress_vectors
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +129,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as sixteen indexes into codebooks of 64 entries, after two rounds."""
+    codes = compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return code_errors(codes).drop("label").withColumn("codebooks_sha256", F.lit(codes.digest()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -141,10 +148,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_decontamination": op12_decontamination,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _URL_PATTERN = URL.replace("'", "''")
 
+
+
+def _assigned(k: int) -> str:
+    """SQL of the nearest entry of each part in codebook ``k``."""
+    return f"""a{k} AS (
+  SELECT rid, part, any_value(q) q, arg_min(entry, (dist, entry)) entry, min(dist) dist
+  FROM (SELECT p.rid, part, p.q, entry, list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - c.q[i]) * (p.q[i] - c.q[i])))::bigint dist FROM p JOIN c{k} c USING (part)) GROUP BY rid, part
+)"""
+
+
+def _moved(k: int) -> str:
+    """SQL of codebook ``k + 1``: floors of means, unused entries as they were."""
+    return f"""c{k + 1} AS (
+  SELECT part, entry, coalesce(m.q, c.q) q FROM c{k} c LEFT JOIN (
+    SELECT part, entry, list(floor(s / n)::bigint ORDER BY i) q FROM (SELECT part, entry, i, sum(q[i])::double s, count(*)::double n FROM a{k}, LATERAL (SELECT unnest(range(1, len(q) + 1)) i) GROUP BY part, entry, i) GROUP BY part, entry
+  ) m USING (part, entry)
+)"""
+
+
 ORACLE: dict[str, str] = {
     "op8_url_filters": rf"""
 WITH p AS (
@@ -253,5 +280,16 @@ WITH t AS (
 )
 SELECT w.doc_id, len(w.w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_near, 0)::bigint n_near, coalesce(n_hit, 0) > 0 contaminated
 FROM w LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid) WHERE w.of_docs
+""",
+    "op13_vector_codes": f"""
+WITH v AS (
+  SELECT row_number() OVER () rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e, len(embedding) // 16 w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), p AS (SELECT rid, part, e[part * w + 1:part * w + w] q FROM v, range(16) r(part)
+), c0 AS (SELECT part, entry, q FROM (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 entry FROM v) JOIN p USING (rid) WHERE entry < 64
+), {_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+books AS (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY part, entry)) codebooks_sha256 FROM c2),
+told AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) code, sum(dist)::bigint error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint label_error, codebooks_sha256 FROM told JOIN v USING (rid), books
 """,
 }
