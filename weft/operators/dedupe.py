@@ -11,27 +11,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.ids import pair_id, triple_id
-from weft.operators.encode import rows_of
+from weft.operators.screen import GRID, packed, products
+from weft.sources.scratch import Scratch
 
 
 def _print() -> list[Column]:
     return [F.count("*").alias("nz"), F.sum(F.pmod(F.xxhash64("row_id"), F.lit(1 << 40))).alias("one"), F.bit_xor(F.xxhash64("row_id", F.lit(1))).alias("two")]
 
 
-def prints(x: DataFrame, p: int, depth: int = 1) -> DataFrame:
-    """``ord, id, i, j, k, nz, one, two`` of all effects up to ``depth`` that have rows."""
+def marks(z: DataFrame) -> DataFrame:
+    """``id, nz, one, two`` of each effect of ``z(id, row_id)``."""
+    return z.groupBy("id").agg(*_print())
+
+
+def prints(x: DataFrame, p: int, depth: int = 1, grid: tuple[int, int] | None = None) -> DataFrame:
+    """``ord, id, i, j, k, nz, one, two`` of all effects up to ``depth`` that have rows; ``grid`` for long rows."""
     none = F.lit(None).cast("int")
     out = x.groupBy(F.col("col_id").alias("i")).agg(*_print()).select(F.lit(1).alias("ord"), F.col("i").cast("long").alias("id"), "i", none.alias("j"), none.alias("k"), "nz", "one", "two")
-    rows = rows_of(x).select("row_id", "cols")
+    rows = packed(x, True)
     if depth > 1:
-        met = rows.select("row_id", F.explode(F.expr("flatten(transform(cols, (a, q) -> transform(slice(cols, q + 2, size(cols)), b -> named_struct('i', a, 'j', b))))")).alias("e")).select("row_id", "e.*")
-        out = out.unionAll(met.groupBy("i", "j").agg(*_print()).select(F.lit(2), pair_id(F.col("i"), F.col("j"), p), "i", "j", none, "nz", "one", "two"))
+        out = out.unionAll(products(rows, 2, None, True, ["row_id"], grid).groupBy("i", "j").agg(*_print()).select(F.lit(2), pair_id(F.col("i"), F.col("j"), p), "i", "j", none, "nz", "one", "two"))
     if depth > 2:
-        met = rows.select("row_id", F.explode(F.expr("flatten(flatten(transform(cols, (a, q) -> transform(slice(cols, q + 2, size(cols)), (b, w) -> transform(slice(cols, q + w + 3, size(cols)), c -> named_struct('i', a, 'j', b, 'k', c))))))")).alias("e")).select("row_id", "e.*")
-        out = out.unionAll(met.groupBy("i", "j", "k").agg(*_print()).select(F.lit(3), triple_id(F.col("i"), F.col("j"), F.col("k"), p), "i", "j", "k", "nz", "one", "two"))
+        out = out.unionAll(products(rows, 3, None, True, ["row_id"], grid).groupBy("i", "j", "k").agg(*_print()).select(F.lit(3), triple_id(F.col("i"), F.col("j"), F.col("k"), p), "i", "j", "k", "nz", "one", "two"))
     return out
 
 
+def covering(x: DataFrame, z: DataFrame) -> DataFrame:
+    """``kept, n, col_id`` for each effect of ``z(id, row_id)``, of ``n`` rows: the columns that all of its rows have."""
+    size = z.groupBy("id").agg(F.count("*").alias("n"))
+    met = z.select("id", "row_id").join(x.select("row_id", "col_id"), "row_id").groupBy("id", "col_id").agg(F.count("*").alias("times"))
+    return met.join(size, "id").filter("times = n").select(F.col("id").alias("kept"), "n", "col_id")
+
+
+def contained(x: DataFrame, z: DataFrame, p: int, depth: int, distance: int | None, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``kept, ord, id`` of all effects up to ``depth`` that have the same rows as an effect of ``z(id, row_id)``, itself among them; and how many were looked at.
+
+    The columns of such an effect are in all rows of the kept one, so that only
+    columns that cover it are combined. A combination has these rows; it is the
+    same effect unless another row has all its columns too. Rows outside are
+    only those of covering columns that aren't equal to the effect themselves.
+    """
+    cover = covering(x, z)
+    sizes = x.groupBy("col_id").agg(F.count("*").alias("nz"))
+    mains = scratch.put(cover.join(sizes, "col_id").select("kept", F.col("col_id").alias("i"), (F.col("n") == F.col("nz")).alias("same")))
+    out = mains.select("kept", F.lit(1).alias("ord"), F.col("i").cast("long").alias("id"), "same")
+    if depth > 1:
+        # rows outside a kept effect, with those of its covering columns that aren't equal to it
+        loose = mains.filter("NOT same").select("kept", F.col("i").alias("col_id"))
+        outside = x.select("row_id", "col_id").join(loose, "col_id").join(z.select(F.col("id").alias("kept"), "row_id"), ["kept", "row_id"], "left_anti")
+        rows = outside.groupBy("kept", "row_id").agg(F.sort_array(F.collect_list("col_id")).alias("cells"))
+        covers = mains.groupBy("kept").agg(F.sort_array(F.collect_list("i")).alias("cells"))
+        grid = GRID if (mains.groupBy("kept").count().agg(F.max("count")).first()[0] or 0) > GRID[0] else None
+        met = F.lit(True).alias("met")
+        for order, names in ((2, ["i", "j"]), (3, ["i", "j", "k"]))[: depth - 1]:
+            number = (pair_id if order == 2 else triple_id)(*(F.col(c) for c in names), p)
+            spoiled = products(rows, order, distance, True, ["kept"]).select("kept", *names).distinct()
+            made = products(covers, order, distance, True, ["kept"], grid).select("kept", *names).join(spoiled.select("kept", *names, met), ["kept", *names], "left")
+            out = out.unionAll(made.select("kept", F.lit(order), number, F.col("met").isNull()))
+    out = scratch.put(out)
+    scratch.drop(mains)
+    return out.filter("same").drop("same"), out.count()
+
+
+def classes_of(members: DataFrame) -> DataFrame:
+    """``id, ord, rep, members`` from ``kept, ord, id``, as ``classes`` has them."""
+    reps = members.groupBy("kept").agg(F.min(F.struct("ord", "id")).alias("m"), F.count("*").alias("members"))
+    return members.join(reps, "kept").select("id", "ord", F.col("m.id").alias("rep"), "members").distinct()
+
+
 def like(marked: DataFrame, some: DataFrame) -> DataFrame:
     """Of the prints those that any of ``some(id)`` has."""
     own = ["nz", "one", "two"]

@@ -4,7 +4,9 @@ Two forms give the same result. The array form holds each row's columns as one
 sorted array with the row's response; the first column of a product is exploded
 from it, then the next from what is left of the array, so that a task never
 holds more than one row's columns and nothing moves before the partial
-aggregation. The join form is a band self-join on the row; it has no array to
+aggregation. A long row is cut into blocks of columns first; each pair or triple
+of its blocks is a key of its own, so that many tasks share its products. The
+join form is a band self-join on the row; it has no array to
 outgrow a task's memory, and adaptive execution may split long rows' partitions.
 """
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Parts into which columns are dealt where all pairs of them are listed.
 PARTS = 64
+#: Columns of a row beyond which it is cut, and columns of a block; tasks that the blocks go to at least.
+GRID, TASKS = (512, 128), 64
 _NAMES = ("i", "j", "k")
 
 
@@ -28,12 +32,17 @@ def packed(x: DataFrame, binary: bool) -> DataFrame:
     return x.groupBy("row_id").agg(F.sort_array(F.collect_list("col_id" if binary else F.struct("col_id", "val"))).alias("cells"))
 
 
-def products(rows: DataFrame, order: int, distance: int | None, binary: bool, carried: list[str]) -> DataFrame:
+def products(rows: DataFrame, order: int, distance: int | None, binary: bool, carried: list[str], grid: tuple[int, int] | None = None) -> DataFrame:
     """``i[, j[, k]], v`` and the ``carried`` columns, for all products of ``order`` columns within each row of ``rows(cells, ...)``.
 
     Columns of a row are distinct whole numbers, so that no more than
-    ``distance`` of them lie within the distance of another one.
+    ``distance`` of them lie within the distance of another one. With ``grid``
+    rows of more columns than its first number are dealt out by blocks of as
+    many as its second one.
     """
+    if grid and order > 1:
+        short = products(rows.filter(F.size("cells") <= grid[0]), order, distance, binary, carried)
+        return short.unionAll(_block_products(rows.filter(F.size("cells") > grid[0]), order, distance, binary, carried, grid[1]))
     column = lambda cell: F.col(cell) if binary else F.col(f"{cell}.col_id")
     value = lambda cell: F.lit(1.0) if binary else F.col(f"{cell}.val")
     out = rows.select(*carried, "cells", F.posexplode("cells").alias("q", "c")).select(*carried, "cells", "q", column("c").alias("i"), value("c").alias("v"))
@@ -47,24 +56,56 @@ def products(rows: DataFrame, order: int, distance: int | None, binary: bool, ca
     return out.select(*carried, *_NAMES[:order], "v")
 
 
+def _block_products(rows: DataFrame, order: int, distance: int | None, binary: bool, carried: list[str], wide: int) -> DataFrame:
+    """The same from blocks of each row's columns, ascending within a block and from one to the next.
+
+    A row's blocks are copied once for each key that they are part of; the
+    products are made after these have been dealt out. The number of tasks is
+    fixed, as the blocks are small for the products that come of them.
+    """
+    column = lambda cell: F.col(cell) if binary else F.col(f"{cell}.col_id")
+    value = lambda cell: F.lit(1.0) if binary else F.col(f"{cell}.val")
+    ends = lambda block, at: F.element_at(block, at) if binary else F.element_at(block, at)["col_id"]
+    places, blocks = [f"p{k}" for k in range(order)], [f"b{k}" for k in range(order)]
+    last = F.ceil(F.size("cells") / wide).cast("int") - 1
+    out = rows.select(*carried, "cells")
+    for k, place in enumerate(places):
+        out = out.select(*carried, "cells", *places[:k], F.explode(F.sequence(F.lit(0) if not k else F.col(places[k - 1]), last)).alias(place))
+    cut = [F.slice("cells", F.col(place) * wide + 1, F.lit(wide)).alias(block) for place, block in zip(places, blocks, strict=True)]
+    out = out.select(*carried, *places, *cut)
+    if distance is not None:
+        out = out.filter((F.col(places[0]) == F.col(places[-1])) | (ends(F.col(blocks[-1]), 1) - ends(F.col(blocks[0]), -1) <= distance))
+    tasks = max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = out.repartition(tasks, *places, *blocks).withColumn("v", F.lit(1.0))
+    for k, block in enumerate(blocks):
+        have = [c for c in out.columns if c != block]
+        out = out.select(*have, F.explode(block).alias("c"))
+        if k:
+            out = out.filter(column("c") > F.col(_NAMES[k - 1]))
+        if k and distance is not None:
+            out = out.filter(column("c") - F.col("i") <= distance)
+        out = out.select(*[c for c in have if c != "v"], column("c").alias(_NAMES[k]), (F.col("v") * value("c")).alias("v"))
+    return out.select(*carried, *_NAMES[:order], "v")
+
+
 def _summed(exploded: DataFrame, keys: list[str], binary: bool) -> DataFrame:
     weighed = F.col("y") if binary else F.col("v") * F.col("y")
     return exploded.groupBy(*keys).agg(F.count("*").alias("nz"), F.sum(weighed).alias("s"))
 
 
-def _array_screen(x: DataFrame, y: DataFrame, order: int, distance: int | None, value: str, binary: bool) -> DataFrame:
+def _array_screen(x: DataFrame, y: DataFrame, order: int, distance: int | None, value: str, binary: bool, grid: tuple[int, int] | None) -> DataFrame:
     rows = packed(x, binary).join(y.select("row_id", F.col(value).alias("y")), "row_id")
-    return _summed(products(rows, order, distance, binary, ["y"]), list(_NAMES[:order]), binary)
+    return _summed(products(rows, order, distance, binary, ["y"], grid), list(_NAMES[:order]), binary)
 
 
-def pair_screen(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True) -> DataFrame:
-    """``i, j, nz, s`` for every pair i < j of columns that share a row, at most ``distance`` apart."""
-    return _array_screen(x, y, 2, distance, value, binary)
+def pair_screen(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True, grid: tuple[int, int] | None = None) -> DataFrame:
+    """``i, j, nz, s`` for every pair i < j of columns that share a row, at most ``distance`` apart; ``grid`` for long rows."""
+    return _array_screen(x, y, 2, distance, value, binary, grid)
 
 
-def triple_screen(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True) -> DataFrame:
+def triple_screen(x: DataFrame, y: DataFrame, distance: int | None = None, value: str = "y", binary: bool = True, grid: tuple[int, int] | None = None) -> DataFrame:
     """``i, j, k, nz, s`` for every triple i < j < k that shares a row; the distance is from the first to the last."""
-    return _array_screen(x, y, 3, distance, value, binary)
+    return _array_screen(x, y, 3, distance, value, binary, grid)
 
 
 def pairs_by_join(x: DataFrame, distance: int | None = None, later: DataFrame | None = None) -> DataFrame:

@@ -13,12 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.ids import effect_columns
+from weft.functions.ids import decode, effect_columns, order_of
 from weft.functions.scalar import soft
-
-#: Active effects that the driver solves for at most; their inner products take 8 bytes each.
-MOST_ACTIVE = 5000
-
+from weft.sources.scratch import Scratch
 
 @dataclass
 class Gram:
@@ -70,6 +67,24 @@ def effect_rows(x: DataFrame, effects: list[int], p: int) -> DataFrame:
     return z
 
 
+def rows_of_effects(x: DataFrame, effects: DataFrame, p: int) -> DataFrame:
+    """``id, row_id, val`` of ``effects(id)``, of which there may be any number."""
+    names = ("i", "j", "k")
+    asked = effects.select("id", order_of(F.col("id"), p).alias("ord"), *(c.cast("int").alias(n) for c, n in zip(decode(F.col("id"), p), names, strict=True)))
+    out = None
+    for order in (1, 2, 3):
+        z = asked.filter(F.col("ord") == order)
+        for k, name in enumerate(names[:order]):
+            cells = x.select("row_id", F.col("col_id").alias(name), F.col("val").alias(f"v{k}"))
+            z = z.join(cells, name if not k else ["row_id", name])
+        value = F.col("v0")
+        for k in range(1, order):
+            value = value * F.col(f"v{k}")
+        z = z.select("id", "row_id", value.alias("val"))
+        out = z if out is None else out.unionAll(z)
+    return out
+
+
 def inner_products(z: DataFrame) -> DataFrame:
     """``p, q, g`` for effects p <= q of ``z(id, row_id, val)`` that share a row."""
     a, b = z.alias("a"), z.alias("b")
@@ -79,8 +94,6 @@ def inner_products(z: DataFrame) -> DataFrame:
 
 def gram(z: DataFrame, y: DataFrame, ids: list[int], totals: tuple[int, float, float]) -> Gram:
     """One job over the rows of the active effects; the driver gets a number for each pair of them."""
-    if len(ids) > MOST_ACTIVE:
-        raise ValueError(f"{len(ids)} active effects; {MOST_ACTIVE} at most are solved for")
     place = {e: k for k, e in enumerate(ids)}
     g = np.zeros((len(ids), len(ids)))
     c, sums = np.zeros(len(ids)), np.zeros(len(ids))
@@ -92,6 +105,57 @@ def gram(z: DataFrame, y: DataFrame, ids: list[int], totals: tuple[int, float, f
     return Gram(list(ids), g, c, sums, n, y_sum, yy)
 
 
+class BlockGram:
+    """Inner products of more effects than the driver holds, as a table in blocks of ``block`` effects, and what sweeps need of it.
+
+    A sweep takes the blocks in turn. Of a block's rows the driver gets the
+    products within the block and, summed by Spark, what the other effects'
+    strengths come to; the coordinates of the block then follow one another as
+    in any sweep. The driver also has three numbers for each effect.
+    """
+
+    def __init__(self, z: DataFrame, y: DataFrame, ids: list[int], totals: tuple[int, float, float], block: int, scratch: Scratch) -> None:
+        self.ids, self.block, self.spark = list(ids), block, z.sparkSession
+        self.n, self.y_sum, self.yy = totals
+        place = {e: k for k, e in enumerate(ids)}
+        at = F.broadcast(self.spark.createDataFrame(list(place.items()), "e long, at int"))
+        half = inner_products(z)
+        full = half.unionAll(half.filter("p <> q").select("q", "p", "g"))
+        full = full.join(at.withColumnsRenamed({"e": "p", "at": "row"}), "p").join(at.withColumnsRenamed({"e": "q", "at": "col"}), "q")
+        path = scratch.path()
+        full.select("row", "col", "g", F.floor(F.col("row") / block).cast("int").alias("part")).repartition("part", "row").write.partitionBy("part").parquet(path)
+        self.table = self.spark.read.parquet(path)
+        self.c, self.sums, self.size = (np.zeros(len(ids)) for _ in range(3))
+        for e, value, total in z.join(y, "row_id").groupBy("id").agg(F.sum(F.col("val") * F.col("y")), F.sum("val")).collect():
+            self.c[place[e]], self.sums[place[e]] = value, total
+        for k, g in self.table.filter("row = col").select("row", "g").collect():
+            self.size[k] = g
+
+    def _strengths(self, beta: np.ndarray) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame([(int(k), float(beta[k])) for k in np.flatnonzero(beta)], "col int, b double"))
+
+    def sweep(self, beta: np.ndarray, intercept: float, limit: float, use_intercept: bool) -> float:
+        if use_intercept and self.n:
+            intercept = (self.y_sum - float(self.sums @ beta)) / self.n
+        for part in range(-(-len(beta) // self.block)):
+            low, high = part * self.block, min((part + 1) * self.block, len(beta))
+            rows = self.table.filter(F.col("part") == part)
+            inside = F.col("col").between(low, high - 1)
+            g, rest = np.zeros((high - low, high - low)), np.zeros(high - low)
+            own = rows.filter(inside).select("row", "col", "g").toArrow()
+            g[own.column("row").to_numpy() - low, own.column("col").to_numpy() - low] = own.column("g").to_numpy()
+            others = rows.filter(~inside).join(self._strengths(beta), "col").groupBy("row").agg(F.sum(F.col("g") * F.col("b")).alias("s")).toArrow()
+            rest[others.column("row").to_numpy() - low] = others.column("s").to_numpy()
+            sweep(Gram(self.ids[low:high], g, self.c[low:high] - rest, self.sums[low:high], self.n, self.y_sum, self.yy), beta[low:high], intercept, limit, False)
+        return intercept
+
+    def norm(self, beta: np.ndarray, intercept: float) -> float:
+        b = self._strengths(beta)
+        both = self.table.join(b, "col").join(b.withColumnsRenamed({"col": "row", "b": "a"}), "row").agg(F.sum(F.col("g") * F.col("a") * F.col("b"))).first()[0] or 0.0
+        fit = self.yy - 2 * self.c @ beta + both + intercept * (intercept * self.n + 2 * self.sums @ beta - 2 * self.y_sum)
+        return float(np.sqrt(max(fit, 0.0)))
+
+
 @dataclass
 class Solution:
     beta: np.ndarray
@@ -101,11 +165,29 @@ class Solution:
     trace: list[float] = field(default_factory=list)
 
 
-def residual_norm(m: Gram, beta: np.ndarray, intercept: float) -> float:
+def residual_norm(m: Gram | BlockGram, beta: np.ndarray, intercept: float) -> float:
+    if isinstance(m, BlockGram):
+        return m.norm(beta, intercept)
     fit = m.yy - 2 * m.c @ beta + beta @ m.g @ beta + intercept * (intercept * m.n + 2 * m.sums @ beta - 2 * m.y_sum)
     return float(np.sqrt(max(fit, 0.0)))
 
 
+def residual_change(m: Gram | BlockGram | None, before: dict[int, float], intercept: float, after: dict[int, float], then: float, n: int) -> float | None:
+    """The norm of the difference of two fits' residuals; none where an effect's inner products aren't at hand."""
+    moved = {e: after.get(e, 0.0) - before.get(e, 0.0) for e in before.keys() | after.keys()}
+    moved = {e: d for e, d in moved.items() if d}
+    shift = then - intercept
+    if not moved:
+        return abs(shift) * float(np.sqrt(n))
+    if not isinstance(m, Gram) or not moved.keys() <= set(m.ids):
+        return None
+    place = {e: k for k, e in enumerate(m.ids)}
+    d = np.zeros(len(m.ids))
+    for e, x in moved.items():
+        d[place[e]] = x
+    return float(np.sqrt(max(d @ m.g @ d + 2 * shift * m.sums @ d + n * shift**2, 0.0)))
+
+
 def residual_sums(r: DataFrame, value: str = "r") -> DataFrame:
     """``n, total, norm`` of residuals: their count, their sum, and the root of the sum of their squares."""
     v = F.col(value).cast("double")
@@ -117,8 +199,10 @@ def plain_limit(penalty: float, n: int) -> float:
     return penalty * n
 
 
-def sweep(m: Gram, beta: np.ndarray, intercept: float, limit: float, use_intercept: bool) -> float:
+def sweep(m: Gram | BlockGram, beta: np.ndarray, intercept: float, limit: float, use_intercept: bool) -> float:
     """One pass over all coordinates in order, in place; the intercept first and without penalty."""
+    if isinstance(m, BlockGram):
+        return m.sweep(beta, intercept, limit, use_intercept)
     if use_intercept and m.n:
         intercept = (m.y_sum - float(m.sums @ beta)) / m.n
     for k in range(len(beta)):
@@ -130,7 +214,7 @@ def sweep(m: Gram, beta: np.ndarray, intercept: float, limit: float, use_interce
     return intercept
 
 
-def descend(m: Gram, beta: np.ndarray, intercept: float, limit: float, halt: float, use_intercept: bool = True, most: int = 100) -> Solution:
+def descend(m: Gram | BlockGram, beta: np.ndarray, intercept: float, limit: float, halt: float, use_intercept: bool = True, most: int = 100) -> Solution:
     """Sweeps until the norm of the residuals falls by less than the factor ``halt``, ``most`` at most."""
     beta = beta.copy()
     before = residual_norm(m, beta, intercept)
@@ -143,8 +227,10 @@ def descend(m: Gram, beta: np.ndarray, intercept: float, limit: float, halt: flo
     return Solution(beta, intercept, residual_norm(m, beta, intercept), done if most else 0)
 
 
-def least_squares(m: Gram, use_intercept: bool = True) -> Solution:
-    """The unpenalised fit by normal equations; of several, the shortest."""
+def least_squares(m: Gram | BlockGram, use_intercept: bool = True) -> Solution:
+    """The unpenalised fit by normal equations; of several, the shortest. In blocks, by sweeps."""
+    if isinstance(m, BlockGram):
+        return descend(m, np.zeros(len(m.ids)), 0.0, 0.0, 1 + 1e-9, use_intercept)
     if use_intercept:
         g = np.block([[m.g, m.sums[:, None]], [m.sums[None, :], np.array([[float(m.n)]])]])
         solved = np.linalg.lstsq(g, np.append(m.c, m.y_sum), rcond=None)[0]

@@ -23,3 +23,11 @@ def distances(path: DataFrame) -> DataFrame:
 
 def may_continue(path: DataFrame, bound: float = BOUND) -> bool:
     return distances(path).filter(F.col("ratio") > bound).isEmpty()
+
+
+def agree(trail: list[tuple[float, dict[int, float]]], penalty: float, solution: dict[int, float], bound: float = BOUND) -> bool:
+    """Whether a new solution differs from none of the earlier ones by more than ``bound`` times the sum of both penalties, in any strength.
+
+    Solutions hold active effects only, and only the new pairs of steps are looked at.
+    """
+    return all(max((abs(solution.get(e, 0.0) - b.get(e, 0.0)) for e in solution.keys() | b.keys()), default=0.0) <= bound * (penalty + lam) for lam, b in trail)

@@ -5,70 +5,30 @@ with Spark queries at the present residuals, adds what exceeds the threshold to
 the active set, and solves for the active set on its inner products. The
 threshold is the penalty times the norm of the residuals at the end of the step
 before. If all effects that have rows are few, their inner products are computed
-once and screen every step.
+once and screen every step. A step needs no screen where the last one's sums and
+the residuals' change since tell that nothing new can exceed the threshold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.ids import effect_columns, effect_number
+from weft.functions.ids import effect_columns
 from weft.functions.scalar import default_lambda_min
-from weft.operators import dedupe, encode, prune, report, screen, solve
-from weft.sources.scratch import Scratch
-
-SHRINK = 0.95
-#: Earlier steps whose residuals bound the products of columns.
-KEPT = 3
-
-
-@dataclass
-class FitConfig:
-    """Options of a fit; ``None`` is the default or no limit."""
-
-    depth: int = 2
-    lambda_min: float | None = None
-    lambda_max: float | None = None
-    halt_error_diff: float = 1.01
-    max_interaction_distance: int | None = None
-    max_nz_beta: int | None = None
-    max_lambdas: int = 200
-    estimate_unbiased: bool = False
-    use_intercept: bool = True
-    hierarchy: str | None = None  # "compat": larger columns are non-zero mains; "strong": all are
-    check_duplicates: bool = False
-    continuous: bool = False
-    compat: bool = True
-    #: Effects for which inner products are computed ahead, at most.
-    ahead: int = 2000
-
-    def __post_init__(self) -> None:
-        if self.depth not in (1, 2, 3):
-            raise ValueError("depth is 1, 2 or 3")
-        if self.hierarchy not in (None, "compat", "strong"):
-            raise ValueError("hierarchy is None, 'compat' or 'strong'")
-        if self.max_interaction_distance is not None and self.max_interaction_distance < 1:
-            raise ValueError("max_interaction_distance is positive or None")
-        if self.continuous:
-            self.check_duplicates = False
+from weft.operators import dedupe, report, screen, solve
+from weft.plans.calibration import agree
+from weft.plans.search import Search as _Search
+from weft.plans.state import FitConfig, FitState
 
+__all__ = ["FitConfig", "FitResult", "FitState", "fit", "lambda_grid", "lambda_max"]
 
-@dataclass
-class FitState:
-    """What a step leaves behind and the next needs; enough to resume."""
-
-    beta: dict[int, float] = field(default_factory=dict)
-    active: list[int] = field(default_factory=list)
-    intercept: float = 0.0
-    lam: float = 0.0
-    sigma: float = 0.0
-    step: int = 0  # penalties so far
-    counted: int = 0  # those at which anything was active
+SHRINK = 0.95
 
 
 @dataclass
@@ -82,6 +42,10 @@ class FitResult:
     path: list[tuple[int, float, int, float]]  # step, lambda, id, strength
     unbiased: DataFrame | None = None
     unbiased_intercept: float | None = None
+    screens: int = 0  # steps that queried the product space
+    looked: int = 0  # effects that the search for equivalents looked at
+    most_at_once: int = 0  # active effects
+    ended_by_calibration: bool = False
 
     def tables(self, names: DataFrame, p: int) -> dict[str, DataFrame]:
         """``main``, ``pairwise`` and ``triple`` effects by the names of ``names(col_id, name)``, each with the names of its equivalents."""
@@ -115,204 +79,43 @@ def _effects_frame(spark: SparkSession, beta: dict[int, float], p: int) -> DataF
     return spark.createDataFrame(rows, "ord int, id long, i int, j int, k int, strength double")
 
 
-class _Search:
-    """The product space of one matrix; tells which effects exceed a threshold.
-
-    If all effects that have rows are few, their inner products are computed
-    once and tell the sums at every step. Else a step sums the residuals over
-    each column, which also bounds the sums of all products with it; only
-    columns whose bound exceeds the threshold are multiplied, and at depth 3
-    only triples of which all pairs' bounds do. What a column's products came to
-    is remembered with the step, and the residuals of the last few such steps
-    are made again from their effects, together with the present ones.
-    """
-
-    def __init__(self, x: DataFrame, y: DataFrame, p: int, config: FitConfig) -> None:
-        self.x, self.y, self.p, self.config = x.repartition("row_id").persist(), y.persist(), p, config
-        self.spark, self.scratch = x.sparkSession, Scratch(x.sparkSession)
-        self.totals = solve.response_sums(self.y)
-        self.whole: solve.Gram | None = None
-        self.history: list[tuple[int, dict[int, float], float]] = []
-        self.columns: DataFrame | None = None
-        self.pairs: DataFrame | None = None
-        #: For each step that looked at products: columns that were multiplied, and all columns.
-        self.looked: list[tuple[int, int]] = []
-        self.reach = None
-        found = self._all_effects()
-        if found is not None:
-            z = solve.effect_rows(self.x, found, p)
-            self.whole = solve.gram(z, self.y, found, self.totals)
-            self.place = {e: k for k, e in enumerate(found)}
-        elif config.continuous:
-            most = encode.overall_max(self.x).first()[0] or 0.0
-            self.reach = float(max(most, most**2) if config.depth == 3 else most)
-
-    def close(self) -> None:
-        self.x.unpersist()
-        self.y.unpersist()
-        self.scratch.drop(self.columns, self.pairs)
-
-    def _all_effects(self) -> list[int] | None:
-        """All effects that have rows, in order, if they are few enough."""
-        c, binary = self.config, not self.config.continuous
-        if self.p > c.ahead:
-            return None
-        out: list[int] = []
-        for screened in (screen.main_screen, screen.pair_screen, screen.triple_screen)[: c.depth]:
-            whole = screened(self.x, self.y) if screened is screen.main_screen else screened(self.x, self.y, c.max_interaction_distance, binary=binary)
-            rows = whole.drop("nz", "s").limit(c.ahead + 1).collect()
-            out += [effect_number(tuple(r), self.p) for r in rows]
-            if len(out) > c.ahead:
-                return None
-        return sorted(out)
-
-    def over(self, state: FitState, limit: float) -> tuple[list[int], float]:
-        """Numbers of the effects whose sum of residuals exceeds the limit, and a value that no sum of any effect exceeds."""
-        if self.whole is not None:
-            m = self.whole
-            beta = np.zeros(len(m.ids))
-            for e, b in state.beta.items():
-                beta[self.place[e]] = b
-            sums = np.abs(m.g @ beta + state.intercept * m.sums - m.c)
-            allowed = np.array([self._allowed(e, state) for e in m.ids], dtype=bool)
-            sums = np.where(allowed, sums, 0.0)
-            return [m.ids[k] for k in np.flatnonzero(sums > limit)], float(sums.max(initial=0.0))
-        steps = [t for t, _, _ in self.history]
-        told = self.scratch.put(solve.residuals(self.x, self.y, [(state.beta, state.intercept), *((b, a) for _, b, a in self.history)], self.p))
-        alphas = self._alphas(told, len(steps))
-        weight = F.col("r0") if self.reach is None else F.col("val") * F.col("r0")
-        per = self.x.join(told, "row_id").groupBy("col_id").agg(F.count("*").alias("nz"), F.sum(weight).alias("s"), *prune.rests(alphas, "val", self.reach))
-        columns = self.scratch.put(prune.bounds(per, self.columns, ["col_id"], steps, alphas))
-        n, live, top, closed = columns.agg(F.count("*"), F.sum((F.col("bound") > limit).cast("long")), F.max(F.abs("s")), F.max(F.when(F.col("bound") <= limit, F.col("bound")))).first()
-        top = float(top or 0.0)
-        found = [r["col_id"] for r in self._few(screen.over_threshold(columns, limit).select("col_id", "s"))] if top > limit else []
-        if self.config.depth > 1 and n:
-            if self.config.hierarchy:
-                more, highest = self._below_mains(state, told, limit)
-            else:
-                top = max(top, float(closed or 0.0))
-                self.looked.append((int(live or 0), int(n)))
-                more, highest = self._multiply(state, columns, told, limit, steps, alphas, float(closed or 0.0)) if live else ([], 0.0)
-            found, top = found + more, max(top, highest)
-        self.scratch.drop(told, columns)
-        return sorted(found), top
-
-    def _few(self, rows: DataFrame) -> list:
-        return rows.orderBy(F.desc(F.abs("s"))).limit(solve.MOST_ACTIVE + 1).collect()
-
-    def _alphas(self, told: DataFrame, earlier: int) -> list[float]:
-        """How much of the residuals of each earlier step is in the present ones."""
-        if not earlier:
-            return []
-        got = told.agg(*(F.sum(F.col("r0") * F.col(f"r{k}")) for k in range(1, earlier + 1)), *(F.sum(F.col(f"r{k}") ** 2) for k in range(1, earlier + 1))).first()
-        return [float(got[k] or 0.0) / float(got[earlier + k]) if got[earlier + k] else 0.0 for k in range(earlier)]
-
-    def _below_mains(self, state: FitState, told: DataFrame, limit: float) -> tuple[list[int], float]:
-        """Products whose later columns, or all of them, are among the non-zero mains; others are never made."""
-        c, binary = self.config, not self.config.continuous
-        mains = [(e,) for e, b in state.beta.items() if e < self.p and b]
-        if not mains:
-            return [], 0.0
-        later = self.x.join(F.broadcast(self.spark.createDataFrame(mains, "col_id int")), "col_id", "left_semi")
-        first, now = later if c.hierarchy == "strong" else self.x, told.select("row_id", F.col("r0").alias("y"))
-        none = F.lit(None).cast("int")
-        screened = screen.pair_screen_by_join(first, now, c.max_interaction_distance, binary=binary, later=later).select("i", "j", none.alias("k"), "s")
-        if c.depth > 2:
-            screened = screened.unionAll(screen.triple_screen_by_join(first, now, c.max_interaction_distance, binary=binary, later=later).select("i", "j", "k", "s"))
-        screened = self.scratch.put(screened)
-        top = screened.agg(F.max(F.abs("s"))).first()[0] or 0.0
-        found = self._few(screen.over_threshold(screened, limit))
-        self.scratch.drop(screened)
-        return [effect_number(tuple(v for v in r[:3] if v is not None), self.p) for r in found], float(top)
-
-    def _multiply(self, state: FitState, columns: DataFrame, told: DataFrame, limit: float, steps: list[int], alphas: list[float], closed: float) -> tuple[list[int], float]:
-        """The products of the columns that may have one over the limit; brings what is remembered up to date.
-
-        Over-limit effects and the largest sum of each column come out of one
-        query, whose aggregate by effect is shuffled once and read twice.
-        """
-        c, binary = self.config, not self.config.continuous
-        live = prune.updateable(columns, limit)
-        narrow = self.x.join(live, "col_id", "left_semi")
-        weight = F.col("r0") if binary else F.col("v") * F.col("r0")
-        carried = [f"r{k}" for k in range(len(steps) + 1)]
-        rows = screen.packed(narrow, binary).join(told, "row_id")
-        made = screen.products(rows, 2, c.max_interaction_distance, binary, carried)
-        none = F.lit(None).cast("int")
-        pairs, open_pairs = made.groupBy("i", "j").agg(F.sum(weight).alias("s"), *(prune.rests(alphas, "v", self.reach) if c.depth > 2 else [])), None
-        effects = pairs.select("i", "j", none.alias("k"), "s")
-        if c.depth > 2:
-            pairs = self.scratch.put(prune.bounds(pairs, self.pairs, ["i", "j"], steps, alphas))
-            open_pairs = prune.updateable(pairs, limit, "i", "j")
-            near = screen.pairs_by_join(narrow, c.max_interaction_distance).join(open_pairs, ["i", "j"], "left_semi")
-            three = screen.triples_of_pairs(near, open_pairs, c.max_interaction_distance).join(told.select("row_id", "r0"), "row_id")
-            effects = pairs.select("i", "j", none.alias("k"), "s").unionAll(three.groupBy("i", "j", "k").agg(F.sum(weight).alias("s")))
-        over = screen.over_threshold(effects, limit).select(F.lit(0).alias("what"), "i", "j", "k", "s")
-        each = effects.select(F.explode(F.array("i", "j", "k")).alias("col_id"), F.abs("s").alias("s")).filter("col_id IS NOT NULL")
-        parts = [over, each.groupBy("col_id").agg(F.max("s").alias("s")).select(F.lit(1), "col_id", none, none, "s")]
-        if open_pairs is not None:
-            inner = effects.filter("k IS NOT NULL").select(F.explode(F.array(F.struct("i", "j"), F.struct("i", F.col("k").alias("j")), F.struct(F.col("j").alias("i"), F.col("k").alias("j")))).alias("p"), F.abs("s").alias("s"))
-            parts.append(inner.groupBy("p").agg(F.max("s").alias("s")).select(F.lit(2), "p.i", "p.j", none, "s"))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionAll(part)
-        seen = self.scratch.put(out)
-        top = float(seen.filter("what > 0").agg(F.max("s")).first()[0] or 0.0)
-        found = self._few(seen.filter("what = 0").select("i", "j", "k", "s")) if top > limit else []
-
-        # products with what was left out are known to stay below the limit
-        floor, step = F.lit(closed if c.depth == 2 else limit), F.lit(state.step).alias("step")
-        largest = F.greatest(F.coalesce("s", F.lit(0.0)), floor).alias("last_max")
-        now = live.join(seen.filter("what = 1").select(F.col("i").alias("col_id"), "s"), "col_id", "left").select("col_id", step, largest)
-        before, self.columns = self.columns, self.scratch.put(prune.remembered(self.columns, now))
-        self.scratch.drop(before)
-        if open_pairs is not None:
-            now = open_pairs.join(seen.filter("what = 2").select("i", "j", "s"), ["i", "j"], "left").select("i", "j", step, largest)
-            before, self.pairs = self.pairs, self.scratch.put(prune.remembered(self.pairs, now, "i", "j"))
-            self.scratch.drop(before, pairs)
-        self.scratch.drop(seen)
-        self.history = [*self.history, (state.step, dict(state.beta), state.intercept)][-KEPT:]
-        return [effect_number(tuple(v for v in r[:3] if v is not None), self.p) for r in found], top
-
-    def _allowed(self, e: int, state: FitState) -> bool:
-        if self.config.hierarchy is None or e < self.p:
-            return True
-        columns = effect_columns(e, self.p)
-        return all(state.beta.get(c) for c in (columns if self.config.hierarchy == "strong" else columns[1:]))
-
-    def gram(self, ids: list[int]) -> solve.Gram:
-        if self.whole is not None:
-            return self.whole.part(ids)
-        return solve.gram(solve.effect_rows(self.x, ids, self.p), self.y, ids, self.totals)
-
-
-def _without_shadowed(m: solve.Gram, state: FitState) -> tuple[solve.Gram, dict[int, int]]:
-    """The active effects without those equal to one of less order or number, and what stands for these.
+def _without_shadowed(m: solve.Gram, state: FitState) -> dict[int, int]:
+    """Active effects equal to one of less order or number, and what stands for these.
 
     Columns of ones and zeros are equal where both counts and the inner product
-    are the same. A shadowed effect leaves the active set and its strength goes
-    to the other one, so that residuals stay as they are.
+    are the same.
     """
-    size, gone = np.diag(m.g), {}
+    size, ids, gone = np.diag(m.g), np.array(m.ids), {}
     for k, e in enumerate(m.ids):
-        same = np.flatnonzero((size[:k] == size[k]) & (m.g[k, :k] == size[k]))
+        same = ids[(ids < e) & (size == size[k]) & (m.g[k] == size[k])]
         if len(same):
-            gone[e] = m.ids[int(same[0])]
-    if not gone:
-        return m, gone
+            gone[e] = int(same.min())
+    return gone
+
+
+def _stand_for(state: FitState, gone: dict[int, int]) -> None:
+    """Shadowed effects leave the active set; their strength goes to what stands for them, so that residuals stay as they are."""
     for e, rep in gone.items():
         if b := state.beta.pop(e, 0.0):
             state.beta[rep] = state.beta.get(rep, 0.0) + b
-    state.active = [e for e in m.ids if e not in gone]
-    return m.part(state.active), gone
+    state.active = [e for e in state.active if e not in gone]
 
 
-def fit(x: DataFrame, y: DataFrame, p: int, config: FitConfig | None = None, resume: FitState | None = None, save: Callable[[FitState], None] | None = None) -> FitResult:
+def sweep_order(effects: list[int], seed: int | None) -> list[int]:
+    """Effects in the order in which sweeps take them: by number, or by a hash of seed and number that is the same in every run."""
+    if seed is None:
+        return sorted(effects)
+    return sorted(effects, key=lambda e: (hashlib.blake2b(f"{seed}:{e}".encode(), digest_size=8).digest(), e))
+
+
+def fit(x: DataFrame, y: DataFrame, p: int, config: FitConfig | None = None, resume: FitState | None = None, save: Callable[[FitState], bool | None] | None = None) -> FitResult:
     """Fit ``y(row_id, y)`` on ``x(row_id, col_id, val)`` with ``p`` columns.
 
     ``save`` is called after every penalty; its last state, given as
-    ``resume``, goes on where it stopped. Rows without any column count with
-    their response. Nulls in either table are an error.
+    ``resume``, goes on where it stopped. If it returns true it has stored the
+    state's tables, which may then go; else they stay until the application
+    ends. Rows without any column count with their response. Nulls in either
+    table are an error.
     """
     config = config or FitConfig()
     bad = x.filter("row_id IS NULL OR col_id IS NULL OR val IS NULL").limit(1).count() + y.filter("row_id IS NULL OR y IS NULL").limit(1).count()
@@ -321,22 +124,42 @@ def fit(x: DataFrame, y: DataFrame, p: int, config: FitConfig | None = None, res
     x = x.select("row_id", F.col("col_id").cast("int").alias("col_id"), F.col("val").cast("double").alias("val")).filter("val <> 0")
     if not config.continuous:
         x = x.withColumn("val", F.lit(1.0))
-    search = _Search(x, y, p, config)
+    search = _Search(x, y, p, config, resume)
     try:
         return _fit(search, x.sparkSession, p, config, resume, save)
     finally:
         search.close()
 
 
-def _fit(search: _Search, spark: SparkSession, p: int, config: FitConfig, resume: FitState | None, save: Callable[[FitState], None] | None) -> FitResult:
+def _solved(m: solve.Gram | solve.BlockGram, state: FitState, limit: float, config: FitConfig) -> None:
+    """Sweeps over the active effects, from and into the state."""
+    start = np.array([state.beta.get(e, 0.0) for e in m.ids])
+    done = solve.descend(m, start, state.intercept, limit, config.halt_error_diff, config.use_intercept)
+    state.beta = {e: float(b) for e, b in zip(m.ids, done.beta, strict=True) if b}
+    state.intercept, state.sigma = done.intercept, done.error
+
+
+def _fit(search: _Search, spark: SparkSession, p: int, config: FitConfig, resume: FitState | None, save: Callable[[FitState], bool | None] | None) -> FitResult:
     n, _, yy = search.totals
     state = resume or FitState(lam=config.lambda_max if config.lambda_max is not None else lambda_max(search.x, search.y), sigma=float(np.sqrt(yy)))
+    state = replace(state, beta=dict(state.beta), active=sweep_order(state.active, config.sweep_seed), idle=dict(state.idle), evicted=list(state.evicted), trail=list(state.trail), tables={}, history=[])
     lowest = config.lambda_min if config.lambda_min is not None else default_lambda_min(n, p, config.depth, config.compat)
     most_nz = config.max_nz_beta if config.max_nz_beta is not None else np.inf
     path: list[tuple[int, float, int, float]] = []
     fitted, m = state.lam, search.gram(state.active) if state.active else None
-    top, shadowed = None, {}
-    while state.lam > lowest and state.counted < config.max_lambdas:
+    top, shadowed, most, ended = None, set(), len(state.active), False
+
+    def admit(new: list[int]) -> None:
+        nonlocal m, shadowed
+        state.active = sweep_order([*state.active, *new], config.sweep_seed)
+        state.evicted = [e for e in state.evicted if e not in new]
+        m = search.gram(state.active)
+        if config.check_duplicates and isinstance(m, solve.Gram) and (gone := _without_shadowed(m, state)):
+            _stand_for(state, gone)
+            shadowed |= gone.keys()
+            m = m.part(state.active)
+
+    while state.lam > lowest and state.counted < config.max_lambdas and not ended:
         if sum(1 for b in state.beta.values() if b) >= most_nz or state.sigma <= 1e-9 * np.sqrt(yy):
             break
         limit = state.lam * state.sigma
@@ -345,40 +168,51 @@ def _fit(search: _Search, spark: SparkSession, p: int, config: FitConfig, resume
             state.lam *= SHRINK
             state.step += 1
             continue
-        found, top = search.over(state, limit)
-        known = set(state.active) | shadowed.keys()
-        new = [e for e in found if e not in known]
-        if new:
-            state.active = sorted([*state.active, *new])
-            m = search.gram(state.active)
-            if config.check_duplicates:
-                m, gone = _without_shadowed(m, state)
-                shadowed |= gone
+        if not search.still(state, limit, m):
+            found, replaced, top = search.over(state, limit)
+            if replaced:
+                _stand_for(state, replaced)
+            new = [e for e in found if e not in shadowed]
+            if new or replaced:
+                admit(new)
         if m is None:
             m = search.gram([])
-        start = np.array([state.beta.get(e, 0.0) for e in state.active])
-        done = solve.descend(m, start, state.intercept, limit, config.halt_error_diff, config.use_intercept)
+        before = state.intercept
+        _solved(m, state, limit, config)
+        while state.evicted and (back := [e for e, s in search.sums([e for e in state.evicted if search.allowed(e, state)], state).items() if abs(s) > limit]):
+            admit(back)
+            _solved(m, state, limit, config)
+        most = max(most, len(state.active))
         if not state.active:
-            top = None if done.intercept != state.intercept else top
-        state.beta = {e: float(b) for e, b in zip(state.active, done.beta, strict=True) if b}
-        state.intercept, state.sigma = done.intercept, done.error
+            top = None if state.intercept != before else top
         fitted = state.lam
         path += [(state.step, state.lam, e, b) for e, b in state.beta.items()]
+        if config.calibrate is not None:
+            ended = not agree(state.trail, state.lam, state.beta, config.calibrate)
+            state.trail.append((state.lam, dict(state.beta)))
         state.lam *= SHRINK
         state.step += 1
         state.counted += bool(state.active)
+        if config.evict_after is not None:
+            state.idle = {e: 0 if e in state.beta else state.idle.get(e, 0) + 1 for e in state.active}
+            if gone := [e for e in state.active if state.idle[e] >= config.evict_after]:
+                state.evicted = sorted({*state.evicted, *gone})
+                state.active = [e for e in state.active if state.idle[e] < config.evict_after]
+                m = m.part(state.active) if isinstance(m, solve.Gram) else search.gram(state.active)
         if save:
-            save(FitState(**asdict(state)))
-    equivalent, beta = None, dict(state.beta)
+            kept = replace(state, beta=dict(state.beta), active=list(state.active), trail=list(state.trail), history=list(search.history), tables=search.tables())
+            search.shared = not save(kept)
+    equivalent, beta, looked = None, dict(state.beta), 0
     if config.check_duplicates and beta:
         kept = spark.createDataFrame([(e, b) for e, b in beta.items()], "id long, strength double")
-        marked = dedupe.like(dedupe.prints(search.x, p, config.depth), kept)
-        classed = search.scratch.put(dedupe.classes(marked))
+        members, looked = dedupe.contained(search.full, solve.effect_rows(search.full, list(beta), p), p, config.depth, config.max_interaction_distance, search.scratch)
+        classed = search.scratch.put(dedupe.classes_of(members))
         beta = {r["id"]: r["strength"] for r in dedupe.fold(kept, classed).collect()}
         equivalent = dedupe.equivalents(classed)
-    result = FitResult(_effects_frame(spark, beta, p), equivalent, state.intercept, state.lam, fitted, state.sigma, path)
+    result = FitResult(_effects_frame(spark, beta, p), equivalent, state.intercept, state.lam, fitted, state.sigma, path, screens=search.screens, looked=looked, most_at_once=most, ended_by_calibration=ended)
     if config.estimate_unbiased and beta:
-        plain = solve.least_squares(search.gram(sorted(beta)), config.use_intercept)
-        result.unbiased = _effects_frame(spark, dict(zip(sorted(beta), plain.beta.tolist(), strict=True)), p)
+        ids = sorted(beta)
+        plain = solve.least_squares(search.gram(ids), config.use_intercept)
+        result.unbiased = _effects_frame(spark, dict(zip(ids, plain.beta.tolist(), strict=True)), p)
         result.unbiased_intercept = plain.intercept
     return result

@@ -27,7 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).delete(target, True)
@@ -62,11 +63,11 @@ class Scratch:
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if path := self._paths.pop(id(t), None):
-                _remove(self.spark, path)
+                remove(self.spark, path)
 
     def _close(self) -> None:
         if self.spark.sparkContext._jsc is not None and self._n:
             try:
-                _remove(self.spark, self.root)
+                remove(self.spark, self.root)
             except Exception:  # the JVM may be gone already
                 return
