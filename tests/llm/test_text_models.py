@@ -74,8 +74,8 @@ def test_features_of_long_texts_add_up():
 
 def test_pieces_and_spans():
     column = pa.array(["a bc", "", "def g", None, "h"])
-    (data, offsets, first), *rest = list(pieces(column))
-    assert first == 0 and not rest
+    (data, offsets, first, low, high), *rest = list(pieces(column))
+    assert (first, low, high) == (0, 0, len(data)) and not rest
     starts, ends, rows = spans(data, offsets, SPACES)
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == ["a", "bc", "def", "g", "h"]
     assert rows.tolist() == [0, 0, 2, 2, 4]
@@ -168,3 +168,29 @@ def test_trees_match_plain_splits():
             assert leaf[k] == pytest.approx(0.15 * g[own].sum() / (h[own].sum() + 1))
             margin[own] += leaf[k]
     assert trees.margin(x) == pytest.approx(margin)
+
+
+@pytest.mark.parametrize("piece", [1, 23, 64, 500])
+def test_no_feature_depends_on_where_a_text_is_cut(monkeypatch, piece):
+    """Nearness, word pairs, repeats and letter triples across a cut count as anywhere else."""
+    from weft.llm import quality, textcounts
+
+    rng = random.Random(9)
+    bits = ["you", "idiot", "m0ron", "your", "fine", "HELLO", "it's", "w*rd", "a", "a", "the-end", "\n", "  ", "ß"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(0, 400))) for _ in range(25)]
+    texts += ["x" * 700 + " you idiot " + "y" * 300, "you " + "fill " * 48 + "idiot", "idiot " + "fill " * 51 + "you", " " * 300, "a,b" * 200, None]
+    column = pa.array(texts)
+    want = features(column, lexicon({0: 0.0})), quality.term_counts(column)
+    monkeypatch.setattr(textcounts, "PIECE", piece)
+    assert np.allclose(features(column, lexicon({0: 0.0})), want[0], rtol=1e-12)
+    assert np.allclose(quality.term_counts(column), want[1], rtol=1e-6)
+
+
+def test_nearest_neighbours_of_ties_are_the_first():
+    from weft.llm.quality import nearest
+
+    rng = np.random.default_rng(3)
+    cosine = rng.integers(0, 6, (50, 40)) / 8
+    for k in (1, 7, 40):
+        want = [sorted(sorted(range(40), key=lambda j, row=row: (-row[j], j))[:k]) for row in cosine]
+        assert nearest(cosine, k).tolist() == want

@@ -42,7 +42,7 @@ def term_counts(column: pa.Array) -> np.ndarray:
     """Damped counts of the hashed terms, one row for each text."""
     out = np.zeros((len(column), TERMS), dtype=np.float32)
     words, again = np.zeros(len(column)), np.zeros((len(column), REPEATS))
-    for data, offsets, first in pieces(column):
+    for data, offsets, first, low, high in pieces(column, margin=REPEATS):
         rows = len(offsets) - 1
         if not len(data):
             continue
@@ -50,10 +50,12 @@ def term_counts(column: pa.Array) -> np.ndarray:
         of_byte = np.repeat(np.arange(rows), np.diff(offsets))
         if len(data) > 2:
             inside = of_byte[:-2] == of_byte[2:]
+            inside[:low] = inside[high:] = False
             triple = ((small[:-2] << np.uint32(16)) | (small[1:-1] << np.uint32(8)) | small[2:]) * np.uint32(0x9E3779B1)
             at = of_byte[:-2] * TRIPLES + (triple >> np.uint32(21)).astype(np.int64)
             out[first : first + rows, :TRIPLES] += np.bincount(at[inside], minlength=rows * TRIPLES).reshape(rows, TRIPLES)
         starts, ends, row = spans(data, offsets, SPACES)
+        own = (starts >= low) & (starts < high)
         # a shape is the classes of a word's bytes, each run of one class once
         kind = _CLASS[data]
         new = np.ones(len(data), dtype=bool)
@@ -61,12 +63,12 @@ def term_counts(column: pa.Array) -> np.ndarray:
         new[starts] = True
         kept = np.flatnonzero(new & (kind > 0))
         shape = Hasher(data[kept], _CLASS_VALUES)(np.searchsorted(kept, starts), np.searchsorted(kept, ends))
-        at = row * SHAPES + (shape % np.uint64(SHAPES)).astype(np.int64)
+        at = (row * SHAPES + (shape % np.uint64(SHAPES)).astype(np.int64))[own]
         out[first : first + rows, TRIPLES : TRIPLES + SHAPES] += np.bincount(at, minlength=rows * SHAPES).reshape(rows, SHAPES)
         word = Hasher(data, _WORD_VALUES)(starts, ends)
-        words[first : first + rows] += np.bincount(row, minlength=rows)
+        words[first : first + rows] += np.bincount(row[own], minlength=rows)
         for k in range(REPEATS):
-            same = (word[k + 1 :] == word[: -k - 1]) & (row[k + 1 :] == row[: -k - 1])
+            same = (word[k + 1 :] == word[: -k - 1]) & (row[k + 1 :] == row[: -k - 1]) & own[k + 1 :]
             again[first : first + rows, k] += np.bincount(row[k + 1 :][same], minlength=rows)
     out = np.log1p(out)
     for k in range(REPEATS):
@@ -83,6 +85,14 @@ def weighed(counts: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return x
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest values of each row, in ascending order; of equal values those of least place."""
+    edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, tied = cosine > edge, cosine == edge
+    free = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= free)))[1].reshape(len(cosine), k)
+
+
 @dataclass
 class QualityModel:
     rarity: np.ndarray
@@ -102,7 +112,7 @@ class QualityModel:
         k = min(NEIGHBOURS, len(self.labels))
         for start in range(0, len(column), BLOCK):
             cosine = self.project(term_counts(column.slice(start, BLOCK))) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS + 1e-9
             out[start : start + len(cosine)] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return out
@@ -117,9 +127,11 @@ def leading_directions(blocks: Callable[[], Iterator[np.ndarray]], width: int, d
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", limit: int = SAMPLE) -> QualityModel:
-    """Fit on at most ``limit`` labelled rows for which ``train`` holds; without any, all scores are even.
+    """Fit on at most ``limit`` labelled rows for which ``train`` holds; without any, as for empty tables, all scores are even.
 
-    The counts of the sample are made where its texts are; the driver gets them
+    Repeated rows and labels are as ``labelled_sample`` has them. Texts of any
+    length are whole. Of neighbours that are as near, those of least doc_id
+    vote. The counts of the sample are made where its texts are; the driver gets them
     in half precision, bounded by the sample, and broadcasts ``limit`` vectors.
     """
     scratch = Scratch(docs.sparkSession)

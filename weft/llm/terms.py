@@ -41,7 +41,7 @@ class Words:
 
 def words(column: pa.Array) -> Iterator[Words]:
     before = -1
-    for data, offsets, first in pieces(column, BETWEEN):
+    for data, offsets, first, _, _ in pieces(column, BETWEEN):
         starts, ends, rows = spans(data, offsets, BETWEEN) if len(data) else (np.zeros(0, dtype=np.int64),) * 3
         last = first + len(offsets) - 2
         yield Words(LOWER[data], starts, ends, rows + first, first, last, first == before)

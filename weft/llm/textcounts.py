@@ -28,22 +28,52 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(column: pa.Array, separator: np.ndarray = SPACES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """``data, offsets, first``: runs of rows of about ``PIECE`` bytes, or parts of one long row, cut at a ``separator``."""
+def _reach(data: np.ndarray, separator: np.ndarray, words: int) -> int:
+    """Bytes from the start of ``data`` that hold so many words and what stands between them, to a separator or the end."""
+    size = 256
+    while True:
+        solid = ~separator[data[:size]]
+        ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+        if len(ends) >= words:
+            return int(ends[words - 1])
+        if size >= len(data):
+            return len(data)
+        size *= 2
+
+
+def pieces(column: pa.Array, separator: np.ndarray = SPACES, margin: int = 0, inner: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
+    """``data, offsets, first, low, high``: runs of rows of about ``PIECE`` bytes, or parts of one long row, cut at a ``separator``.
+
+    What begins at ``low`` and before ``high`` belongs to the part. Around that a
+    part of a long row also has ``margin`` words of its neighbours, so that what
+    stands across a cut is seen by the part in which it begins. ``inner``
+    separates the words that are counted there, where these are parts of those
+    between separators.
+    """
     data, offsets = text_bytes(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
         at, end = int(offsets[row]), int(offsets[last])
         if last > row + 1 or end - at <= PIECE:
-            yield data[at:end], offsets[row : last + 1] - at, row
+            yield data[at:end], offsets[row : last + 1] - at, row, 0, end - at
         else:
+            start = at
             while at < end:
                 stop = min(at + PIECE, end)
                 while stop < end and not separator[data[stop]]:
                     step = separator[data[stop : min(stop + 4096, end)]]
                     stop += int(step.argmax()) if step.any() else len(step)
-                yield data[at:stop], np.array([0, stop - at]), row
+                left, right = at, stop
+                if margin:
+                    # to the next separator, so that no margin begins or ends within a word
+                    left -= _reach(data[start:at][::-1], separator if inner is None else inner, margin)
+                    while left > start and not separator[data[left - 1]]:
+                        left -= 1
+                    right += _reach(data[stop:end], separator if inner is None else inner, margin)
+                    while right < end and not separator[data[right]]:
+                        right += 1
+                yield data[left:right], np.array([0, right - left]), row, at - left, stop - left
                 at = stop
         row = last
 

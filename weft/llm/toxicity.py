@@ -35,7 +35,8 @@ LEARNED, STANDS_OUT = 4096, 5.9
 FOLDS = 3
 #: Bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6)
-NEAR = 5
+#: Words within which an insult counts as near a second person, and beyond which nearness is none.
+NEAR, FAR = 5, 50
 
 _PLAIN = LOWER.copy()
 _PLAIN[~(LETTERS | DIGITS)] = 0
@@ -90,59 +91,62 @@ def _kinds(hasher: Hasher, starts: np.ndarray, ends: np.ndarray) -> list[np.ndar
 def features(column: pa.Array, learned: Lexicon) -> np.ndarray:
     """A row of densities and nearnesses for each text."""
     rows = len(column)
-    sums, near = np.zeros((rows, 16)), np.full(rows, 50.0)
+    sums, near = np.zeros((rows, 16)), np.full(rows, float(FAR))
 
     def add(k: int, at: np.ndarray, weights: np.ndarray | None = None) -> None:
         sums[first : first + n, k] += np.bincount(at, weights, n)
 
-    for data, offsets, first in pieces(column):
+    for data, offsets, first, low, high in pieces(column, margin=FAR, inner=_SPLITS):
         n = len(offsets) - 1
         if not len(data):
             continue
         starts, ends, row = spans(data, offsets, _SPLITS)
+        own = (starts >= low) & (starts < high)
         hasher = Hasher(data, _VALUES)
         kinds = _kinds(hasher, starts, ends)
         fixed = _FIXED.weight(kinds[0])
         word, begin = learned.weight(kinds[0]), np.max([learned.weight(h) for h in kinds[1:]], axis=0)
-        hit = (fixed > 0) | (word > 0) | (begin > 0)
+        hit = ((fixed > 0) | (word > 0) | (begin > 0)) & own
         you = _YOU.weight(kinds[0]) > 0
-        add(0, row)
-        add(1, row, fixed)
-        add(2, row, word)
-        add(3, row, (word > 0).astype(float))
-        add(4, row, begin)
-        add(5, row, (begin > 0).astype(float))
-        add(6, row, you.astype(float))
+        mine = row[own]
+        add(0, mine)
+        add(1, mine, fixed[own])
+        add(2, mine, word[own])
+        add(3, mine, (word > 0)[own].astype(float))
+        add(4, mine, begin[own])
+        add(5, mine, (begin > 0)[own].astype(float))
+        add(6, mine, you[own].astype(float))
         np.maximum.at(sums[:, 7], first + row[hit], np.maximum(word, begin)[hit])
+        # words are counted along with the margin, so that persons beyond a cut are as near as they are
         places, persons = np.flatnonzero(hit), np.flatnonzero(you)
         if len(places) and len(persons):
             k = np.searchsorted(persons, places)
-            distance = np.full(len(places), 50.0)
+            distance = np.full(len(places), float(FAR))
             for other in (persons[np.minimum(k, len(persons) - 1)], persons[np.maximum(k - 1, 0)]):
                 same = row[other] == row[places]
                 distance[same] = np.minimum(distance[same], np.abs(other - places)[same])
             np.minimum.at(near, first + row[places], distance)
             add(8, row[places], (distance <= NEAR).astype(float))
-        of_byte = np.repeat(np.arange(n), np.diff(offsets))
+        of_byte = np.repeat(np.arange(n), np.diff(offsets))[low:high]
         letter, upper, digit, space = LETTERS[data], UPPER[data], DIGITS[data], SPACES[data]
         capital = np.concatenate([[0], np.cumsum(upper)])
         all_caps = (capital[ends] - capital[starts] == ends - starts) & (ends - starts > 2)
-        add(9, row, all_caps.astype(float))
-        add(10, of_byte, upper.astype(float))
-        add(11, of_byte, letter.astype(float))
-        add(12, of_byte, (data == 33).astype(float))
+        add(9, mine, all_caps[own].astype(float))
+        add(10, of_byte, upper[low:high].astype(float))
+        add(11, of_byte, letter[low:high].astype(float))
+        add(12, of_byte, (data == 33)[low:high].astype(float))
         mark = ~(letter | digit | space)
-        add(13, of_byte, mark.astype(float))
+        add(13, of_byte, mark[low:high].astype(float))
         inner = np.zeros(len(data), dtype=bool)
         inner[1:-1] = letter[:-2] & letter[2:] & (mark | digit)[1:-1] & (data[1:-1] != 39) & (data[1:-1] != 45)
         # the first and the last byte of a row have a neighbour in another one
         some = np.diff(offsets) > 0
         inner[offsets[:-1][some]] = inner[offsets[1:][some] - 1] = False
-        add(14, of_byte, inner.astype(float))
+        add(14, of_byte, inner[low:high].astype(float))
         # words between spaces whose disguised letters spell a word of the lexicon
         b, e, r = spans(data, offsets, SPACES)
         odd = np.concatenate([[0], np.cumsum(~letter)])
-        some = odd[e] > odd[b]
+        some = (odd[e] > odd[b]) & (b >= low) & (b < high)
         if some.any():
             h = Hasher(data, _LEET_VALUES)(b[some], e[some])
             plain = hasher(b[some], e[some])
@@ -188,17 +192,18 @@ def _learn_lexicons(sample: DataFrame) -> list[Lexicon]:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            hashes, rows = [], []
-            for data, offsets, first in pieces(batch.column(0)):
+            held = [np.zeros((2, 0), dtype=np.uint64)]
+            for data, offsets, first, _, _ in pieces(batch.column(0)):
                 starts, ends, row = spans(data, offsets, _SPLITS)
                 for h in _kinds(Hasher(data, _VALUES), starts, ends):
-                    one = np.unique(np.stack([row.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), dtype=np.uint64)
-                    one = one[:, one[1] != 0]
-                    hashes.append(one[1].astype(np.int64))
-                    rows.append(first + one[0].astype(np.int64))
-            if hashes:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(1).take(at), batch.column(2).take(at)], names=["h", "y", "turn"])
+                    one = np.stack([(first + row).astype(np.uint64), h])[:, h != 0]
+                    held.append(np.unique(one, axis=1) if one.shape[1] else one)
+            # a text counts once for a word, however many parts it was taken in
+            once = np.concatenate(held, axis=1)
+            once = np.unique(once, axis=1) if once.shape[1] else once
+            if once.shape[1]:
+                at = pa.array(once[0].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(once[1].astype(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], names=["h", "y", "turn"])
 
     per = {r["turn"]: (r["n"], r["t"]) for r in sample.groupBy("turn").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()}
     folds = [F.sum((F.col("turn") == f).cast("int")).alias(f"n{f}") for f in range(FOLDS)] + [F.sum(F.when(F.col("turn") == f, F.col("y")).otherwise(0.0)).alias(f"t{f}") for f in range(FOLDS)]
@@ -222,7 +227,11 @@ def _learn_lexicons(sample: DataFrame) -> list[Lexicon]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", limit: int = SAMPLE) -> ToxicityModel:
-    """Fit on at most ``limit`` labelled rows for which ``train`` holds; without any, all scores are even."""
+    """Fit on at most ``limit`` labelled rows for which ``train`` holds; without any, as for empty tables, all scores are even.
+
+    Repeated rows and labels are as ``labelled_sample`` has them; ties of hash
+    go by doc_id. Texts of any length are whole.
+    """
     scratch = Scratch(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, train, limit, scratch)
     lexicons = _learn_lexicons(sample)
@@ -247,7 +256,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 
 
 def score_texts(docs: DataFrame, model, name: str = "score") -> DataFrame:
-    """``docs`` with a score of the whole ``text``; a null text counts as empty."""
+    """``docs`` with a score of the whole ``text``; a null text counts as empty.
+
+    Every row is scored by its text alone: repeated rows alike, an empty table
+    not at all, and a text of any length as a whole, in parts that overlap.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
