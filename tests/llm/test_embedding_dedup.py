@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from weft.llm import embedding_dedup as e
 
@@ -87,3 +88,25 @@ def test_components_of_any_finite_size(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.embedding_near_duplicates(df).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
+@pytest.mark.parametrize("dims", [64, 384, 1024])
+@pytest.mark.parametrize("typical", [0.9805, 0.985])
+def test_recall_in_one_tight_cluster(dims, typical):
+    """Pairs at the threshold of vectors that hardly spread share a part of some table; a sample's own axes don't deceive."""
+    rng = np.random.default_rng(dims)
+    base = rng.standard_normal(dims)
+    base /= np.linalg.norm(base)
+    x = base + rng.standard_normal((2400, dims)) * np.sqrt((1 / typical - 1) / dims)
+    keys = e.table_keys(x, *e.learn_rotation(x), e.TABLES)
+    a, b = e.close_pairs(x, None, 0.98)
+    assert len(a) > 1000
+    assert (keys[a] == keys[b]).any(axis=1).mean() >= 0.95
+
+
+def test_spread_clusters_keep_long_codes():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 1, 64)) + 0.01 * rng.standard_normal((400, 5, 64))
+    labels = np.repeat(np.arange(4), 500)
+    _, projection = e.learn_rotation(x.reshape(2000, 64), labels=labels)
+    assert projection.shape[1] >= 40

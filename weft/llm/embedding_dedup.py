@@ -14,6 +14,7 @@ each vector its number of links and one vector that it is connected with.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ ROUNDS = 40
 BITS, TABLES = 64, 6
 #: Bits in which a pair at the threshold is expected to differ at most.
 FLIPS = 4.2
+#: The share of a sample's pairs at the threshold that must share a part of the code, and vectors among which these pairs are looked for.
+RECALL, JUDGED = 0.975, 4096
 #: Vectors that one comparison holds at once; larger buckets are compared block by block.
 BLOCK = 1024
 
@@ -40,7 +43,8 @@ def bits_worth(variances: np.ndarray, threshold: float, most: int = BITS) -> int
 
     Such a pair is ``sqrt(2 - 2 t)`` apart, over all axes alike. Where the
     vectors spread little, bits would tell noise apart; then codes are short,
-    buckets large and comparisons many, but links aren't lost.
+    buckets large and comparisons many. This is where ``learn_rotation`` begins;
+    what the pairs of a sample share then says whether fewer bits are needed.
     """
     d = len(variances)
     step = np.sqrt(max(2 - 2 * threshold, 0.0) / d)
@@ -73,24 +77,58 @@ def rows_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def learn_rotation(sample: np.ndarray, threshold: float = 0.98, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """``mean, projection``: the signs of ``(unit vector - mean) @ projection`` are the code."""
+def _rotation(x: np.ndarray, axes: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """The axes turned so that the signs of the centred ``x`` are balanced and near to it."""
+    z, bits = x @ axes, axes.shape[1]
+    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
+    for _ in range(rounds):
+        u, _, vt = np.linalg.svd(np.where(z @ rotation >= 0, 1.0, -1.0).T @ z)
+        rotation = (u @ vt).T
+    return axes @ rotation
+
+
+def close_pairs(vectors: np.ndarray, labels: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one label whose cosine reaches the threshold."""
+    v, found = unit(vectors), [np.zeros((2, 0), dtype=np.int64)]
+    for k in range(0, len(v), BLOCK):
+        a, b = np.nonzero(v[k : k + BLOCK] @ v.T >= threshold)
+        a = a + k
+        some = a < b if labels is None else (a < b) & (labels[a] == labels[b])
+        found.append(np.stack([a[some], b[some]]))
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
+def learn_rotation(sample: np.ndarray, threshold: float = 0.98, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0, labels: np.ndarray | None = None, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+    """``mean, projection``: the signs of ``(unit vector - mean) @ projection`` are the code.
+
+    Of a sample of some size one half teaches and the other one judges: bits
+    are taken away until of its pairs at the threshold a share of ``RECALL``
+    agrees in the part of some table. Leading axes of a sample spread more in it
+    than elsewhere, which only vectors that didn't teach can tell. With fewer
+    bits than tables some parts are empty and all vectors of a label meet.
+    """
     d = sample.shape[1]
     if len(sample) < 2:
         return np.zeros(d), np.eye(d)[:, : min(bits, d)]
-    x = unit(sample)
+    judged, taught = (sample[::2], sample[1::2]) if len(sample) >= 200 else (sample, sample)
+    labels = None if labels is None else labels[::2] if len(sample) >= 200 else labels
+    x = unit(taught)
     mean = x.mean(axis=0)
     x = x - mean
     values, axes = np.linalg.eigh(x.T @ x / len(x))
     order = np.argsort(-values, kind="stable")
     bits = bits_worth(values[order], threshold, min(bits, d))
-    axes = axes[:, order[:bits]]
-    z = x @ axes
-    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.where(z @ rotation >= 0, 1.0, -1.0).T @ z)
-        rotation = (u @ vt).T
-    return mean, axes @ rotation
+    judged = judged[:JUDGED]
+    a, b = close_pairs(judged, labels, threshold)
+    while True:
+        projection = _rotation(x, axes[:, order[:bits]], rounds, seed)
+        if bits == 1 or not len(a):
+            return mean, projection
+        keys = table_keys(judged, mean, projection, tables)
+        if (keys[a] == keys[b]).any(axis=1).mean() >= RECALL:
+            return mean, projection
+        bits = bits - 1 if bits <= 2 * tables else bits * 7 // 8
 
 
 def table_keys(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int) -> np.ndarray:
@@ -179,9 +217,11 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.98, table
     usable = rows.filter(sound)
     classes = scratch.put(usable.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
 
-    taken = classes.select("vector", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("vector").toArrow().column("vector")
-    width = max(int(pc.max(pc.list_value_length(taken)).as_py() or 1), 1) if len(taken) else 1
-    codes = spark.sparkContext.broadcast(learn_rotation(rows_of(taken, width), threshold))
+    taken = classes.select("vector", "label", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("vector", "label").toArrow()
+    width = max(int(pc.max(pc.list_value_length(taken.column("vector"))).as_py() or 1), 1) if taken.num_rows else 1
+    # a part's values grow with the number of vectors, so that a bucket doesn't
+    bits = max(BITS, tables * math.ceil(math.log2(max(2, classes.count() / BLOCK))))
+    codes = spark.sparkContext.broadcast(learn_rotation(rows_of(taken.column("vector"), width), threshold, bits, labels=taken.column("label").to_numpy(), tables=tables))
     del taken
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
