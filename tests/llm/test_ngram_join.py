@@ -143,3 +143,13 @@ def test_buckets_that_may_hold_a_pair_are_kept(spark, num, den):
     meet = lambda x, y: min(x[0] - x[1], y[0] - y[1]) * (num + den) >= (x[0] + y[0]) * num
     want = {s for s, e in at.items() if any(meet(x, y) for k, x in enumerate(e) for y in e[:k])}
     assert want <= got <= {s for s, e in at.items() if len(e) > 1}
+
+
+def test_an_empty_row_beside_a_full_one(spark):
+    """Rows that share a doc_id have one component, that of their texts, whichever of them has words."""
+    same = " ".join(f"w{i}" for i in range(200))
+    docs = [(3, same), (3, ""), (0, same + " more"), (5, None), (5, " "), (6, ""), (6, "other words than these"), (None, "")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_jaccard_join(spark.createDataFrame(docs, SCHEMA), 3, 90, 100).collect()}
+    assert got == {(3, 198): 0, (3, 0): 0, (0, 199): 0, (5, 0): 5, (6, 0): 6, (6, 2): 6, (None, 0): None}
+    roots = plain_components(docs, 3, 90, 100)
+    assert all(root == roots.get(d) for (d, _), root in got.items())

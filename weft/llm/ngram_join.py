@@ -309,13 +309,14 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     rest = _open_pairs(members, prints, num, den)
     for earlier in done:
         rest = rest.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
-    rest = scratch.put(rest)
+    rest, later = scratch.put(rest), []
     if not rest.isEmpty():
         near = scratch.put(_nearest(rest))
         found = _links(near, docs, repeated, words, num, den, shared, cuts, scratch)
         joined = scratch.put(components(edges.unionAll(found), scratch))
         edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         apart = scratch.put(_still_open(rest, joined).join(near, near.columns, "left_anti"))
+        later = [near, apart]
         if not apart.isEmpty():
             edges = edges.unionAll(_links(apart, docs, repeated, words, num, den, shared, cuts, scratch))
     # classes stand for their documents; a document that stands in several joins these
@@ -324,8 +325,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     across = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     last = components(edges.unionAll(across), scratch).select(F.col("node").alias("rep"), "root")
     roots = classes.join(last, "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("class_root"))
-    placed = sets.join(scratch.put(roots), ["f1", "f2", "n"], "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_root", "doc_id")).alias("component_id"))
+    roots = scratch.put(roots)
+    scratch.drop(prints, shared_by, buckets, members, rest, repeated, classes, *done, *later)
+    # a row without words goes where its doc_id's other texts are
+    wordless = "n = 0 OR doc_id IS NULL"
+    empty = sets.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    beside = known.join(empty, "doc_id", "left_semi").join(roots, ["f1", "f2", "n"]).groupBy("doc_id").agg(F.min("class_root").alias("class_root"))
+    out = sets.filter(f"NOT ({wordless})").join(roots, ["f1", "f2", "n"], "left").select("doc_id", "n", "class_root")
+    out = out.unionByName(sets.filter(wordless).join(beside, "doc_id", "left").select("doc_id", "n", "class_root"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_root", "doc_id")).alias("component_id"))
 
 
 def _shared_shingles(prints: DataFrame, num: int, den: int) -> DataFrame:
