@@ -70,3 +70,18 @@ def test_clashing_columns(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/c{_.replace(' ', '')}")
     kept = docs.collect()
     assert kept and all(r["score"] == 0.5 and r["times"] == 7 and r["copy"] == "t" and r["a-b"] == r["doc_id"] for r in kept)
+
+
+def test_mixture_writes_the_words_that_it_takes(spark):
+    """Ids that repeat, with other texts too, and rows without one: each source gets what its target says."""
+    rng = random.Random(8)
+    rows = [(None if k % 5 == 0 else k // 4, " ".join("w" * rng.randrange(1, 30)).strip() if k % 7 else None, "en", "abc"[k % 3] if k % 11 else None, k) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken, written = {}, {}
+    for r in queries.mix_sources(docs).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    out = p.mixture(spark, docs, "")
+    assert out.columns == docs.columns
+    for r in out.collect():
+        written[r["source"]] = written.get(r["source"], 0) + len((r["text"] or "").split())
+    assert written == {s: n for s, n in taken.items() if n}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,32 +95,64 @@ def _quota(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"skey": pdf["skey"], "size": pdf["size"], "source_size": pdf["source_size"], "target": pdf["target"], "passes": passes, "quota": more})
 
 
-def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, text, source)``.
+def _skey() -> Column:
+    """A key for a source that is never null, so that joins and windows deal rows out alike."""
+    return F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))
 
-    ``size`` is the number of words, 0 for a null text; ``taken`` counts words
-    that the mix takes, a document at most ``most`` times. A null source is a
-    source. Documents without words take nothing. Repeated rows count each.
-    Which documents are taken depends on seed, doc_id and text alone. An empty
-    table gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession)
+
+def _keyed(docs: DataFrame, seed: int, *carried: Column) -> DataFrame:
+    """``doc_id, source, skey, size, order`` of each row, and ``carried``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    # a key that is never null, so that joins and windows deal rows out alike
-    skey = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    slim = scratch.put(docs.select("doc_id", "source", skey.alias("skey"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), order.alias("order")))
+    size, order = F.regexp_count(text, F.lit(WORD)).cast("long"), F.xxhash64(F.lit(seed), F.col("doc_id"), text)
+    return docs.select("doc_id", "source", _skey().alias("skey"), size.alias("size"), order.alias("order"), *carried)
+
+
+def _shares(slim: DataFrame, weights: tuple[int, ...], most: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``skey, size, bucket, source_size, target, passes, more``: of the rows of one source, length and bucket, how many are taken once more than all are; and the number of buckets."""
     parts = BUCKETS + slim.count() // PART_ROWS
-    slim = slim.withColumn("bucket", F.pmod("order", F.lit(parts)))
-    counts = scratch.put(slim.groupBy("source", "skey", "size", "bucket").agg(F.count("*").alias("n")))
+    counts = scratch.put(slim.groupBy("source", "skey", "size", F.pmod("order", F.lit(parts)).alias("bucket")).agg(F.count("*").alias("n")))
     lengths = counts.groupBy("source", "skey", "size").agg(F.sum("n").alias("n"))
-    targets = source_targets(counts.groupBy("source", "skey").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")).drop("skey"), weights, most)
-    targets = targets.withColumn("skey", skey).drop("source")
+    targets = source_targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most)
+    targets = targets.withColumn("skey", _skey()).drop("source")
     plan = lengths.drop("source").join(targets, "skey").groupBy("skey").applyInPandas(_quota, "skey string, size long, source_size long, target double, passes long, quota long")
-
     line = W.partitionBy("skey", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     share = counts.drop("source").withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0))).join(plan, ["skey", "size"])
-    share = share.select("skey", "size", "bucket", "source_size", "target", "passes", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("before"))).alias("more"))
+    more = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("before"))).alias("more")
+    return share.select("skey", "size", "bucket", "source_size", "target", "passes", more), parts
+
+
+def _times(rows: DataFrame, share: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with ``source_size``, ``target`` and ``times``, how often each is taken."""
     place = F.row_number().over(W.partitionBy("skey", "size", "bucket").orderBy("order", "doc_id"))
-    chosen = slim.join(share, ["skey", "size", "bucket"]).withColumn("place", place)
-    return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0))).alias("taken"))
+    chosen = rows.withColumn("bucket", F.pmod("order", F.lit(parts))).join(share, ["skey", "size", "bucket"]).withColumn("place", place)
+    times = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("place") <= F.col("more"), 1).otherwise(0)).otherwise(0)
+    return chosen.withColumn("times", times.cast("long"))
+
+
+def mix_sources(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, text, source)``.
+
+    ``size`` is the number of words, 0 for a null text; ``taken`` counts words
+    that the mix takes, a document at most ``most`` times. A null source is a
+    source. Documents without words take nothing. Repeated rows count each, and
+    so do rows without doc_id. Which documents are taken depends on seed, doc_id
+    and text alone. An empty table gives an empty result. Other columns aren't
+    read.
+    """
+    scratch = Scratch(docs.sparkSession)
+    slim = scratch.put(_keyed(docs, seed))
+    share, parts = _shares(slim, weights, most, scratch)
+    return _times(slim, share, parts).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of the mix itself, with all columns of ``docs``, each as often as ``mix_sources`` takes it.
+
+    Rows go through the selection as they are, so that the words written are
+    those taken, whatever ids repeat or are null.
+    """
+    scratch = Scratch(docs.sparkSession)
+    share, parts = _shares(scratch.put(_keyed(docs, seed)), weights, most, scratch)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    taken = _times(_keyed(docs, seed, row), scratch.put(share), parts).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
