@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import Scratch, crc_of_id, free_name, table
-from weft.llm.mixing import mix_sources
+from weft.llm.mixing import mixed_rows
 from weft.llm.ngram_join import ngram_jaccard_join
 from weft.llm.quality import fit_quality
 from weft.llm.queries import PIECES, THRESHOLD
@@ -52,14 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times.
-
-    Rows that share a doc_id are taken alike; rows without one, or without
-    words, aren't taken.
-    """
-    times, copy = free_name(docs, "times"), free_name(docs, "copy")
-    taken = mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.expr("cast(taken div size AS int)")).alias(times))
-    return docs.join(taken, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*_own(docs))
+    """Each row as often as the mix takes it, up to three times; rows without words aren't taken."""
+    return mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
