@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.llm.common import Scratch, bounded_batches, slices
@@ -51,6 +52,8 @@ PARITY = 8
 BITS_APART = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(PARITY))
 #: Rounds in which members of a bucket are held against one of them.
 HUBS = 1
+#: Earlier shared shingles by which a pair that meets again is known.
+BEFORE = 32
 #: Bytes of text for which sets are held at once.
 SLICE_BYTES = 2 << 20
 
@@ -306,7 +309,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int =
         joined = scratch.put(components(found if edges is None else edges.unionAll(found), scratch))
         edges = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         members = scratch.put(_open_members(buckets, joined))
-    rest = _open_pairs(members, prints, num, den)
+    rest = _open_pairs(_with_before(members, repeated), prints, num, den)
     for earlier in done:
         rest = rest.join(earlier.select("a", "b"), ["a", "b"], "left_anti")
     rest, later = scratch.put(rest), []
@@ -395,12 +398,27 @@ def _open_members(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     return labelled.join(main, "shingle").select("shingle", "doc_id", "n", "i", "root", "main")
 
 
+def _with_before(members: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``members`` with ``before``: up to ``BEFORE`` shingles that the document has open buckets for and that come just before in the order.
+
+    Two documents that share one of these have met in its bucket, where places
+    and sizes allow for no less than here. Documents with several sets have none.
+    """
+    line = W.partitionBy("doc_id").orderBy("i", "shingle").rowsBetween(-BEFORE, -1)
+    out = members.withColumn("before", F.collect_list("shingle").over(line))
+    if repeated is None:
+        return out
+    marked = out.join(repeated.withColumn("several", F.lit(True)), "doc_id", "left")
+    return marked.withColumn("before", F.when(F.col("several"), F.array().cast("array<long>")).otherwise(F.col("before"))).drop("several")
+
+
 def _open_pairs(members: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b, fa, fb, na, nb, far`` of every pair that shares a bucket, may meet the threshold, and isn't connected yet.
 
     ``far`` is how many bits of the prints differ for each element of the sets.
 
-    In each bucket the members outside its largest component are held against
+    A pair is made in the first bucket that both are in, as far as ``before``
+    tells. In each bucket the members outside its largest component are held against
     all the others; within a component no pair is made. Places, sizes and
     parity prints are part of the join's condition. A doc_id with several sets
     has each of its entries with each of them, the entry's own among these.
@@ -410,7 +428,7 @@ def _open_pairs(members: DataFrame, prints: DataFrame, num: int, den: int) -> Da
     sides = _may_meet(num, den, True)
     for name, column in (("na", "a.n"), ("nb", "b.n"), ("ia", "a.i"), ("ib", "b.i")):
         sides = sides.replace(name, column)
-    met = x.join(y, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {sides} AND {_different(num, den)}"))
+    met = x.join(y, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (b.root = b.main OR a.doc_id < b.doc_id) AND {sides} AND {_different(num, den)} AND NOT arrays_overlap(a.before, b.before)"))
     return met.selectExpr("least(a.doc_id, b.doc_id) a", "greatest(a.doc_id, b.doc_id) b", "if(a.doc_id < b.doc_id, a.f1, b.f1) fa", "if(a.doc_id < b.doc_id, b.f1, a.f1) fb", "if(a.doc_id < b.doc_id, a.n, b.n) na", "if(a.doc_id < b.doc_id, b.n, a.n) nb", f"({BITS_APART}) / (a.n + b.n) far").distinct()
 
 
