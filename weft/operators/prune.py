@@ -44,7 +44,7 @@ def rests(alphas: list[float], value: str, reach: float | None) -> list[Column]:
 
 
 def bounds(sums: DataFrame, known: DataFrame | None, keys: list[str], steps: list[int], alphas: list[float]) -> DataFrame:
-    """``sums`` with ``bound`` in place of its rests.
+    """``sums`` with ``bound`` in place of its rests, and ``step``, null for a key that isn't known.
 
     ``known(keys, step, last_max)`` says at which step a key was last looked
     at. A key that wasn't, or at a step that is none of ``steps``, has the
@@ -52,12 +52,12 @@ def bounds(sums: DataFrame, known: DataFrame | None, keys: list[str], steps: lis
     """
     rest = [c for c in sums.columns if c.startswith("rest")]
     if known is None or not steps:
-        return sums.withColumn("bound", F.col("rest0")).drop(*rest)
+        return sums.withColumn("bound", F.col("rest0")).withColumn("step", F.lit(None).cast("int")).drop(*rest)
     told = sums.join(known.select(*keys, "step", "last_max"), keys, "left")
     since = F.lit(None).cast("double")
     for k, (step, a) in enumerate(zip(steps, alphas, strict=True), 1):
         since = F.when(F.col("step") == step, F.abs(F.lit(a)) * F.col("last_max") + F.col(f"rest{k}")).otherwise(since)
-    return told.withColumn("bound", F.least("rest0", F.coalesce(since, F.col("rest0")))).drop(*rest, "step", "last_max")
+    return told.withColumn("bound", F.least("rest0", F.coalesce(since, F.col("rest0")))).drop(*rest, "last_max")
 
 
 def prunable(bounds: DataFrame, limit: float, key: str = "col_id") -> DataFrame:

@@ -195,3 +195,15 @@ def enumerate_pairs(columns: DataFrame, distance: int | None = None) -> DataFram
     left = columns.select(F.col("col_id").alias("i"), F.explode(F.array(F.floor(F.col("col_id") / width), F.floor(F.col("col_id") / width) + 1)).alias("block"))
     right = columns.select(F.col("col_id").alias("j"), F.floor(F.col("col_id") / width).alias("block"))
     return left.join(right, "block").filter(f"i < j AND j - i <= {distance}").select("i", "j")
+
+
+def candidate_count(columns: DataFrame, depth: int, distance: int | None = None) -> DataFrame:
+    """``n``: the effects of ``columns(col_id)`` up to ``depth`` whose first and last column are at most ``distance`` apart.
+
+    A column is the first of as many pairs, and of as many triples, as the
+    number of columns that follow it within the distance allows.
+    """
+    follow = enumerate_pairs(columns, distance).groupBy("i").agg(F.count("*").alias("m"))
+    of = columns.select(F.col("col_id").alias("i")).distinct().join(follow, "i", "left").select(F.coalesce("m", F.lit(0)).alias("m"))
+    first = F.lit(1) + (F.col("m") if depth > 1 else F.lit(0)) + (F.col("m") * (F.col("m") - 1) / 2 if depth > 2 else F.lit(0))
+    return of.agg(F.coalesce(F.sum(first), F.lit(0)).cast("long").alias("n"))

@@ -188,6 +188,18 @@ def residual_change(m: Gram | BlockGram | None, before: dict[int, float], interc
     return float(np.sqrt(max(d @ m.g @ d + 2 * shift * m.sums @ d + n * shift**2, 0.0)))
 
 
+def residual_products(m: Gram | BlockGram | None, fits: list[tuple[dict[int, float], float]], totals: tuple[int, float, float]) -> np.ndarray | None:
+    """Inner products of the residuals of ``fits``, effects and an intercept each; none where an effect's inner products aren't at hand."""
+    ids = m.ids if isinstance(m, Gram) else []
+    if not {e for beta, _ in fits for e, b in beta.items() if b} <= set(ids):
+        return None
+    n, y_sum, yy = totals
+    b, a = np.array([[beta.get(e, 0.0) for e in ids] for beta, _ in fits]).reshape(len(fits), len(ids)), np.array([x for _, x in fits])
+    g, c, sums = (m.g, m.c, m.sums) if ids else (np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+    s, t = b @ sums, b @ c + a * y_sum
+    return b @ g @ b.T + np.outer(a, s) + np.outer(s, a) + n * np.outer(a, a) - t[:, None] - t[None, :] + yy
+
+
 def residual_sums(r: DataFrame, value: str = "r") -> DataFrame:
     """``n, total, norm`` of residuals: their count, their sum, and the root of the sum of their squares."""
     v = F.col(value).cast("double")

@@ -165,11 +165,13 @@ def _fit(search: _Search, spark: SparkSession, p: int, config: FitConfig, resume
         limit = state.lam * state.sigma
         if not state.active and top is not None and top <= limit:
             # nothing is active and nothing would be: only the penalty changes
+            if config.calibrate is not None:
+                state.trail.append((state.lam, {}))
             state.lam *= SHRINK
             state.step += 1
             continue
         if not search.still(state, limit, m):
-            found, replaced, top = search.over(state, limit)
+            found, replaced, top = search.over(state, limit, m)
             if replaced:
                 _stand_for(state, replaced)
             new = [e for e in found if e not in shadowed]

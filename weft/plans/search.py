@@ -21,6 +21,17 @@ def _number(i: Column, j: Column, k: Column, p: int) -> Column:
     return F.when(j.isNull(), i.cast("long")).when(k.isNull(), pair_id(i, j, p)).otherwise(triple_id(i, j, k, p))
 
 
+def _row(what: int, a: Column, b: Column | None, s: Column, w: Column, when: Column | None = None) -> Column:
+    """A row of what a screen tells, or null unless ``when`` holds."""
+    cells = (F.lit(what).alias("what"), a.cast("long").alias("a"), (F.lit(None) if b is None else b).cast("long").alias("b"), s.cast("double").alias("s"), w.cast("double").alias("w"))
+    return F.struct(*cells) if when is None else F.when(when, F.struct(*cells))
+
+
+def _size(w: Column) -> Column:
+    """Sizes of about the same root together."""
+    return F.floor(2 * F.log2(w))
+
+
 class Search:
     """The product space of one matrix; tells which effects exceed a threshold.
 
@@ -56,6 +67,7 @@ class Search:
         self.history: list[tuple[int, dict[int, float], float]] = list(state.history) if state and tables else []
         self.columns, self.pairs, self.skip, self.marks = (self.scratch.put(tables[k]) if k in tables else None for k in ("columns", "pairs", "skip", "marks"))
         self.shared = False
+        self.stale: list[DataFrame | None] = []
         #: For each step that looked at products: columns that were multiplied, and all columns.
         self.looked: list[tuple[int, int]] = []
         self.screens = 0
@@ -105,8 +117,11 @@ class Search:
                 return None
         return sorted(out)
 
-    def over(self, state: FitState, limit: float) -> tuple[list[int], dict[int, int], float]:
-        """Numbers of the effects that aren't active and whose sum of residuals exceeds the limit; active ones that one of these is to stand for; and a value that no sum exceeds."""
+    def over(self, state: FitState, limit: float, inner: solve.Gram | solve.BlockGram | None = None) -> tuple[list[int], dict[int, int], float]:
+        """Numbers of the effects that aren't active and whose sum of residuals exceeds the limit; active ones that one of these is to stand for; and a value that no sum exceeds.
+
+        ``inner``, products of the active effects, saves a pass over the residuals.
+        """
         if self.whole is not None:
             m = self.whole
             beta = np.zeros(len(m.ids))
@@ -118,90 +133,102 @@ class Search:
             active = set(state.active)
             return [m.ids[k] for k in np.flatnonzero(sums > limit) if m.ids[k] not in active], {}, float(sums.max(initial=0.0))
         self.screens += 1
+        held: list[DataFrame] = []
+        try:
+            return self._over(state, limit, inner, held)
+        finally:
+            for t in held:
+                t.unpersist()
+            # only now nothing of the step can be asked to be made again from these
+            if not self.shared:
+                self.scratch.drop(*self.stale)
+            self.stale = []
+
+    def _over(self, state: FitState, limit: float, inner: solve.Gram | solve.BlockGram | None, held: list[DataFrame]) -> tuple[list[int], dict[int, int], float]:
         c = self.config
+        fits = [(state.beta, state.intercept), *((b, a) for _, b, a in self.history)]
         steps = [t for t, _, _ in self.history]
-        told = self.scratch.put(solve.residuals(self.x, self.y, [(state.beta, state.intercept), *((b, a) for _, b, a in self.history)], self.p))
-        alphas = self._alphas(told, len(steps))
+        told = self._hold(solve.residuals(self.x, self.y, fits, self.p), held)
+        alphas = self._alphas(told, fits, inner)
         weight = F.col("r0") if self.reach is None else F.col("val") * F.col("r0")
         per = self.x.join(told, "row_id").groupBy("col_id").agg(F.sum(F.col("val") * F.col("val")).alias("w"), F.sum(weight).alias("s"), *prune.rests(alphas, "val", self.reach))
-        columns = self.scratch.put(prune.bounds(per, self.columns, ["col_id"], steps, alphas))
-        n, live, top, closed = columns.agg(F.count("*"), F.sum((F.col("bound") > limit).cast("long")), F.max(F.abs("s")), F.max(F.when(F.col("bound") <= limit, F.col("bound")))).first()
-        top = float(top or 0.0)
-        active = self.spark.createDataFrame([(e,) for e in state.active], "id long")
-        over = screen.over_threshold(columns, limit).select(F.col("col_id").cast("long").alias("id"))
-        below = [self._unknown(columns.select(F.col("col_id").cast("long").alias("id"), "w", F.abs("s").alias("s")), active).filter(F.col("s") <= limit)]
-        made = []
+        columns = self._hold(prune.bounds(per, self.columns, ["col_id"], steps, alphas), held)
+        # a row for each step that columns go back to
+        open_ = F.col("bound") > limit
+        groups = columns.groupBy("step").agg(F.count("*").alias("n"), F.sum(open_.cast("long")).alias("live"), F.max(F.abs("s")).alias("top"), F.max(F.when(~open_, F.col("bound"))).alias("closed")).collect()
+        n, live = sum(r["n"] for r in groups), sum(r["live"] for r in groups)
+        top, closed = (float(max((r[k] for r in groups if r[k] is not None), default=0.0)) for k in ("top", "closed"))
+        known = self.spark.createDataFrame([(e,) for e in state.active], "id long")
+        known = (known if self.skip is None else known.unionAll(self.skip)).withColumn("known", F.lit(True))
+        grown = 1.0 if self.reach is None else max(1.0, self.reach**2)
+        numbered = columns.select(F.col("col_id").cast("long").alias("id"), "s", "w", "bound")
+        shut = _row(3, _size(F.col("w") * grown), None, F.col("bound"), F.col("w") * grown, (F.col("bound") <= limit) & (F.col("w") > 0) & F.lit(c.depth > 1 and not c.hierarchy))
+        # every column that is multiplied is told of, whether or not it has a product
+        tried = _row(1, F.col("id"), None, F.lit(0.0), F.lit(0.0), (F.col("bound") > limit) & F.lit(c.depth > 1 and not c.hierarchy))
+        parts, live = [self._tagged(numbered, known, limit, shut, tried)], live if c.depth > 1 and not c.hierarchy else 0
         if c.depth > 1 and n:
             if c.hierarchy:
-                seen, highest = self._below_mains(state, told, limit)
-                made = [seen]
-                over = over.unionAll(seen.select("id"))
+                parts.append(self._hold(self._tagged(self._below_mains(state, told), known, limit, _row(1, F.lit(0), None, F.abs("s"), F.lit(0.0))), held))
             else:
-                top = max(top, float(closed or 0.0))
-                self.looked.append((int(live or 0), int(n)))
-                grown = 1.0 if self.reach is None else max(1.0, self.reach**2)
-                below.append(columns.filter(F.col("bound") <= limit).select((F.col("w") * grown).alias("w"), F.col("bound").alias("s")))
-                highest = 0.0
+                top = max(top, closed)
+                self.looked.append((live, n))
                 if live:
-                    seen, highest = self._multiply(state, columns, told, limit, steps, alphas, float(closed or 0.0), active)
-                    made = [seen]
-                    over = over.unionAll(seen.filter("what = 0").select(_number(F.col("i"), F.col("j"), F.col("k"), self.p).alias("id")))
-                    below.append(seen.filter("what = 3").select("w", "s"))
-            top = max(top, highest)
-        # before the table of effects to skip is renewed, which these read
-        self.quiet = None if c.hierarchy else (self._largest(below), dict(state.beta), state.intercept)
-        found, replaced = self._new(over, active) if top > limit else ([], {})
-        self.scratch.drop(told, columns, *made)
+                    parts.append(self._multiply(columns, told, limit, steps, alphas, known, held))
+        # new effects, the largest sums below the limit by size, and the largest of all, in one query
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionAll(part)
+        summed = every.filter("what > 0").groupBy("what", F.when(F.col("what") == 3, F.col("a")).alias("a")).agg(F.max("s").alias("s"), F.max("w").alias("w"))
+        new = every.filter("what = 0").limit(1 if c.check_duplicates else MOST_FOUND + 1)
+        rows = summed.unionAll(new.select("what", "a", "s", "w")).collect()
+        top = max([top, *(r["s"] for r in rows if r["what"] in (1, 2) and r["s"] is not None)])
+        self.quiet = None if c.hierarchy else ([(r["w"], r["s"]) for r in rows if r["what"] == 3], dict(state.beta), state.intercept)
+        found, replaced = sorted(r["a"] for r in rows if r["what"] == 0), {}
+        if len(found) > MOST_FOUND and not c.check_duplicates:
+            raise ValueError(f"more than {MOST_FOUND} new effects exceed the threshold at one step")
+        if live:
+            self._remember(state, every, limit, closed, {r["step"]: r["n"] - r["live"] for r in groups})
+        if found and c.check_duplicates:
+            found, replaced = self._different(every.filter("what = 0").select(F.col("a").alias("id")), state)
         return found, replaced, top
 
-    def _unknown(self, effects: DataFrame, active: DataFrame) -> DataFrame:
-        """Without effects that are active, or known to equal one that is."""
-        out = effects.join(F.broadcast(active), "id", "left_anti")
-        return out if self.skip is None else out.join(self.skip, "id", "left_anti")
-
-    def _new(self, over: DataFrame, active: DataFrame) -> tuple[list[int], dict[int, int]]:
-        """Effects to become active, and active ones that they stand for; equal ones of larger number go to the table of those to skip."""
-        new = self.scratch.put(self._unknown(over, active))
-        many = new.count()
-        if not many:
-            self.scratch.drop(new)
-            return [], {}
-        replaced: dict[int, int] = {}
-        if not self.config.check_duplicates:
-            found = new
-        else:
-            own = ["nz", "one", "two"]
-            if self.marks is None and not active.isEmpty():
-                self.marks = self.scratch.put(dedupe.marks(solve.rows_of_effects(self.x, active, self.p)))
-            fresh = dedupe.marks(solve.rows_of_effects(self.x, new, self.p)).withColumn("old", F.lit(False))
-            both = fresh if self.marks is None else fresh.unionByName(self.marks.withColumn("old", F.lit(True)))
-            reps = both.groupBy(*own).agg(F.min("id").alias("rep"), F.min(F.when(F.col("old"), F.col("id"))).alias("was"))
-            told = self.scratch.put(fresh.join(reps, own))
-            found = told.filter("id = rep")
-            shadows = told.filter("id <> rep").select("id").unionAll(found.filter("was > id").select(F.col("was").alias("id")))
-            before, self.skip = self.skip, self.scratch.put(shadows if self.skip is None else shadows.unionAll(self.skip))
-            kept = found.select("id", *own)
-            if self.marks is not None:
-                kept = kept.unionByName(self.marks.join(found.select(F.coalesce("was", "id").alias("id")), "id", "left_anti"))
-            marks, self.marks = self.marks, self.scratch.put(kept)
-            if not self.shared:
-                self.scratch.drop(before, marks)
-        rows = found.select("id", *(["was"] if self.config.check_duplicates else [])).limit(MOST_FOUND + 1).collect()
+    def _hold(self, df: DataFrame, held: list[DataFrame]) -> DataFrame:
+        """Kept until the step ends; what is lost with an executor is made again."""
+        held.append(df.persist())
+        return df
+
+    def _tagged(self, effects: DataFrame, known: DataFrame, limit: float, *more: Column) -> DataFrame:
+        """``what, a, b, s, w`` from ``effects(id, s, w)``: numbers ``a`` of those over the limit (0), and by size ``a`` the largest sums below it (3), both without ``known(id, known)``; and ``more`` such rows."""
+        fresh, s = F.col("known").isNull(), F.abs("s")
+        own = [_row(0, F.col("id"), None, s, F.col("w"), fresh & (s > limit)), _row(3, _size(F.col("w")), None, s, F.col("w"), fresh & (s <= limit) & (F.col("w") > 0))]
+        each = effects.join(known, "id", "left").select(F.explode(F.array_compact(F.array(*own, *more))).alias("r")).select("r.*")
+        return each.groupBy("what", "a", "b").agg(F.max("s").alias("s"), F.max("w").alias("w"))
+
+    def _different(self, new: DataFrame, state: FitState) -> tuple[list[int], dict[int, int]]:
+        """Of the new effects those that equal none of smaller number, and the active ones that these stand for; the others go to the table of effects to skip."""
+        own = ["nz", "one", "two"]
+        new = self.scratch.put(new)
+        if self.marks is None and state.active:
+            active = self.spark.createDataFrame([(e,) for e in state.active], "id long")
+            self.marks = self.scratch.put(dedupe.marks(solve.rows_of_effects(self.x, active, self.p)))
+        fresh = dedupe.marks(solve.rows_of_effects(self.x, new, self.p)).withColumn("old", F.lit(False))
+        both = fresh if self.marks is None else fresh.unionByName(self.marks.withColumn("old", F.lit(True)))
+        reps = both.groupBy(*own).agg(F.min("id").alias("rep"), F.min(F.when(F.col("old"), F.col("id"))).alias("was"))
+        told = self.scratch.put(fresh.join(reps, own))
+        found = told.filter("id = rep")
+        rows = found.select("id", "was").limit(MOST_FOUND + 1).collect()
         if len(rows) > MOST_FOUND:
-            raise ValueError(f"of {many} effects over the threshold at one step more than {MOST_FOUND} are new and differ")
-        if self.config.check_duplicates:
-            replaced = {r["was"]: r["id"] for r in rows if r["was"] is not None and r["was"] > r["id"]}
-            self.scratch.drop(told)
-        self.scratch.drop(new)
-        return sorted(r["id"] for r in rows), replaced
-
-    def _largest(self, below: list[DataFrame]) -> list[tuple[float, float]]:
-        """Size and largest sum of the effects that stayed below the limit, a pair for each doubling of the size's root."""
-        rows = below[0].select("w", "s")
-        for more in below[1:]:
-            rows = rows.unionAll(more.select("w", "s"))
-        got = rows.filter("w > 0").groupBy(F.floor(2 * F.log2("w"))).agg(F.max("w"), F.max("s")).collect()
-        return [(float(r[1]), float(r[2])) for r in got]
+            raise ValueError(f"more than {MOST_FOUND} effects over the threshold at one step are new and differ")
+        shadows = told.filter("id <> rep").select("id").unionAll(found.filter("was > id").select(F.col("was").alias("id")))
+        before = [self.skip, self.marks]
+        self.skip = self.scratch.put(shadows if self.skip is None else shadows.unionAll(self.skip))
+        kept = found.select("id", *own)
+        if self.marks is not None:
+            kept = kept.unionByName(self.marks.join(found.select(F.coalesce("was", "id").alias("id")), "id", "left_anti"))
+        self.marks = self.scratch.put(kept)
+        self.scratch.drop(new, told)
+        self.stale += before
+        return sorted(r["id"] for r in rows), {r["was"]: r["id"] for r in rows if r["was"] is not None and r["was"] > r["id"]}
 
     def still(self, state: FitState, limit: float, m: solve.Gram | None) -> bool:
         """Whether no effect that isn't active can exceed the limit, by what the last screen left and the change since."""
@@ -219,15 +246,19 @@ class Search:
         rows = solve.effect_rows(self.x, effects, self.p).join(now, "row_id").groupBy("id").agg(F.sum(F.col("val") * F.col("r0")).alias("s"))
         return {r["id"]: r["s"] for r in rows.collect()}
 
-    def _alphas(self, told: DataFrame, earlier: int) -> list[float]:
+    def _alphas(self, told: DataFrame, fits: list[tuple[dict[int, float], float]], inner: solve.Gram | solve.BlockGram | None) -> list[float]:
         """How much of the residuals of each earlier step is in the present ones."""
+        earlier = len(fits) - 1
         if not earlier:
             return []
+        known = solve.residual_products(inner, fits, self.totals)
+        if known is not None:
+            return [float(known[0, k] / known[k, k]) if known[k, k] > 0 else 0.0 for k in range(1, earlier + 1)]
         got = told.agg(*(F.sum(F.col("r0") * F.col(f"r{k}")) for k in range(1, earlier + 1)), *(F.sum(F.col(f"r{k}") ** 2) for k in range(1, earlier + 1))).first()
         return [float(got[k] or 0.0) / float(got[earlier + k]) if got[earlier + k] else 0.0 for k in range(earlier)]
 
-    def _below_mains(self, state: FitState, told: DataFrame, limit: float) -> tuple[DataFrame, float]:
-        """``id`` of the products over the limit whose later columns, or all of them, are among the non-zero mains; others are never made. And the largest sum."""
+    def _below_mains(self, state: FitState, told: DataFrame) -> DataFrame:
+        """``id, s`` of the products whose later columns, or all of them, are among the non-zero mains; others are never made."""
         c, binary = self.config, not self.config.continuous
         mains = [(e,) for e, b in state.beta.items() if e < self.p and b]
         later = self.x.join(F.broadcast(self.spark.createDataFrame(mains, "col_id int")), "col_id", "left_semi")
@@ -236,16 +267,13 @@ class Search:
         screened = screen.pair_screen_by_join(first, now, c.max_interaction_distance, binary=binary, later=later).select("i", "j", none.alias("k"), "s")
         if c.depth > 2:
             screened = screened.unionAll(screen.triple_screen_by_join(first, now, c.max_interaction_distance, binary=binary, later=later).select("i", "j", "k", "s"))
-        screened = self.scratch.put(screened)
-        top = screened.agg(F.max(F.abs("s"))).first()[0] or 0.0
-        return self.scratch.put(screen.over_threshold(screened, limit).select(_number(F.col("i"), F.col("j"), F.col("k"), self.p).alias("id"))), float(top)
+        return screened.select(_number(F.col("i"), F.col("j"), F.col("k"), self.p).alias("id"), "s", F.lit(0.0).alias("w"))
 
-    def _multiply(self, state: FitState, columns: DataFrame, told: DataFrame, limit: float, steps: list[int], alphas: list[float], closed: float, active: DataFrame) -> tuple[DataFrame, float]:
-        """The products of the columns that may have one over the limit; brings what is remembered up to date.
+    def _multiply(self, columns: DataFrame, told: DataFrame, limit: float, steps: list[int], alphas: list[float], known: DataFrame, held: list[DataFrame]) -> DataFrame:
+        """What ``_tagged`` tells of the products of the columns that may have one over the limit, with the largest sum of each column (1) and pair that is open (2).
 
-        Over-limit effects, the largest sum of each column, and the largest sums
-        below the limit come out of one query, whose aggregate by effect is
-        shuffled once and read several times.
+        Each effect's sum is shuffled once and told on as a few rows, of which
+        only the largest by key are shuffled again.
         """
         c, binary = self.config, not self.config.continuous
         live = prune.updateable(columns, limit)
@@ -254,55 +282,48 @@ class Search:
         carried = [f"r{k}" for k in range(len(steps) + 1)]
         rows = screen.packed(narrow, binary).join(told, "row_id")
         made = screen.products(rows, 2, c.max_interaction_distance, binary, carried, self.grid)
-        none = F.lit(None).cast("int")
-        pairs, open_pairs = made.groupBy("i", "j").agg(F.sum(weight).alias("s"), size.alias("w"), *(prune.rests(alphas, "v", self.reach) if c.depth > 2 else [])), None
-        effects = pairs.select("i", "j", none.alias("k"), "s", "w")
-        if c.depth > 2:
-            pairs = self.scratch.put(prune.bounds(pairs, self.pairs, ["i", "j"], steps, alphas))
-            open_pairs = prune.updateable(pairs, limit, "i", "j")
-            near = screen.pairs_by_join(narrow, c.max_interaction_distance).join(open_pairs, ["i", "j"], "left_semi")
-            three = screen.triples_of_pairs(near, open_pairs, c.max_interaction_distance).join(told.select("row_id", "r0"), "row_id")
-            effects = pairs.select("i", "j", none.alias("k"), "s", "w").unionAll(three.groupBy("i", "j", "k").agg(F.sum(weight).alias("s"), size.alias("w")))
-        over = screen.over_threshold(effects, limit).select(F.lit(0).alias("what"), "i", "j", "k", "s", "w")
-        each = effects.select(F.explode(F.array("i", "j", "k")).alias("col_id"), F.abs("s").alias("s")).filter("col_id IS NOT NULL")
-        parts = [over, each.groupBy("col_id").agg(F.max("s").alias("s")).select(F.lit(1), "col_id", none, none, "s", F.lit(0.0))]
-        low = effects.filter(F.abs("s") <= limit).select(_number(F.col("i"), F.col("j"), F.col("k"), self.p).alias("id"), "w", F.abs("s").alias("s"))
-        low = self._unknown(low, active).groupBy(F.floor(2 * F.log2("w"))).agg(F.max("w").alias("w"), F.max("s").alias("s"))
-        parts.append(low.select(F.lit(3), none, none, none, "s", "w"))
-        if open_pairs is not None:
-            inner = effects.filter("k IS NOT NULL").select(F.explode(F.array(F.struct("i", "j"), F.struct("i", F.col("k").alias("j")), F.struct(F.col("j").alias("i"), F.col("k").alias("j")))).alias("p"), F.abs("s").alias("s"))
-            parts.append(inner.groupBy("p").agg(F.max("s").alias("s")).select(F.lit(2), "p.i", "p.j", none, "s", F.lit(0.0)))
-            # triples with a closed pair stay below its bound
-            shut = pairs.filter(F.col("bound") <= limit).groupBy(F.floor(2 * F.log2("w"))).agg(F.max("w").alias("w"), F.max("bound").alias("s"))
-            parts.append(shut.select(F.lit(3), none, none, none, "s", F.col("w") * F.lit(1.0 if self.reach is None else max(1.0, self.reach**2))))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionAll(part)
-        seen = self.scratch.put(out)
-        top = float(seen.filter("what IN (1, 2)").agg(F.max("s")).first()[0] or 0.0)
-
-        # products with what was left out are known to stay below the limit
-        floor, step = F.lit(closed if c.depth == 2 else limit), F.lit(state.step).alias("step")
-        largest = F.greatest(F.coalesce("s", F.lit(0.0)), floor).alias("last_max")
-        now = live.join(seen.filter("what = 1").select(F.col("i").alias("col_id"), "s"), "col_id", "left").select("col_id", step, largest)
-        before = [self.columns]
+        sums, s = [F.sum(weight).alias("s"), size.alias("w")], F.abs("s")
+        of = lambda *names: [_row(1, F.col(n), None, s, F.lit(0.0)) for n in names]
+        if c.depth == 2:
+            pairs = made.groupBy("i", "j").agg(*sums).withColumn("id", pair_id(F.col("i"), F.col("j"), self.p))
+            return self._hold(self._tagged(pairs, known, limit, *of("i", "j")), held)
+        pairs = made.groupBy("i", "j").agg(*sums, *prune.rests(alphas, "v", self.reach))
+        pairs = self._hold(prune.bounds(pairs, self.pairs, ["i", "j"], steps, alphas), held)
+        open_pairs = prune.updateable(pairs, limit, "i", "j")
+        near = screen.pairs_by_join(narrow, c.max_interaction_distance).join(open_pairs, ["i", "j"], "left_semi")
+        three = screen.triples_of_pairs(near, open_pairs, c.max_interaction_distance).join(told.select("row_id", "r0"), "row_id")
+        # triples with a closed pair stay below its bound
+        grown = F.col("w") * (1.0 if self.reach is None else max(1.0, self.reach**2))
+        shut = _row(3, _size(grown), None, F.col("bound"), grown, (F.col("bound") <= limit) & (F.col("w") > 0))
+        tried = _row(2, F.col("i"), F.col("j"), F.lit(0.0), F.lit(0.0), F.col("bound") > limit)
+        two = self._tagged(pairs.withColumn("id", pair_id(F.col("i"), F.col("j"), self.p)), known, limit, *of("i", "j"), shut, tried)
+        triples = three.groupBy("i", "j", "k").agg(*sums).withColumn("id", triple_id(F.col("i"), F.col("j"), F.col("k"), self.p))
+        inner = [_row(2, F.col(a), F.col(b), s, F.lit(0.0)) for a, b in (("i", "j"), ("i", "k"), ("j", "k"))]
+        return self._hold(two.unionAll(self._tagged(triples, known, limit, *of("i", "j", "k"), *inner)), held)
+
+    def _remember(self, state: FitState, every: DataFrame, limit: float, closed: float, users: dict[int | None, int]) -> None:
+        """Brings what is known of columns and pairs up to date; ``users`` counts the columns that weren't multiplied by the step that they go back to.
+
+        Products with what was left out are known to stay below the limit. The
+        residuals of a step are kept as long as a column or pair goes back to
+        it; of too many steps those that most do.
+        """
+        floor, step = F.lit(closed if self.config.depth == 2 else limit), F.lit(state.step).alias("step")
+        largest = F.greatest(F.max("s"), floor).alias("last_max")
+        key = lambda name: F.col("a" if name in ("col_id", "i") else "b").cast("int").alias(name)
+        before = [self.columns, self.pairs]
+        now = every.filter("what = 1").groupBy(key("col_id")).agg(largest).select("col_id", step, "last_max")
         self.columns = self.scratch.put(prune.remembered(self.columns, now))
-        if open_pairs is not None:
-            now = open_pairs.join(seen.filter("what = 2").select("i", "j", "s"), ["i", "j"], "left").select("i", "j", step, largest)
-            before.append(self.pairs)
+        if self.config.depth > 2:
+            now = every.filter("what = 2").groupBy(key("i"), key("j")).agg(largest).select("i", "j", step, "last_max")
             self.pairs = self.scratch.put(prune.remembered(self.pairs, now, "i", "j"))
-            self.scratch.drop(pairs)
-        if not self.shared:
-            self.scratch.drop(*before)
+            users = dict(users)
+            for r in self.pairs.groupBy("step").agg(F.count("*").alias("n")).collect():
+                users[r["step"]] = users.get(r["step"], 0) + r["n"]
+        self.stale += [b for b, t in zip(before, (self.columns, self.pairs), strict=True) if b is not t]
         self.history = [*self.history, (state.step, dict(state.beta), state.intercept)]
-        self._forget(state.step)
-        return seen, top
-
-    def _forget(self, newest: int) -> None:
-        """Keeps the residuals of those steps that a column or pair goes back to; of too many, those that most do."""
-        users = self.columns.select("step") if self.pairs is None else self.columns.select("step").unionAll(self.pairs.select("step"))
-        many = {r["step"]: r["n"] for r in users.groupBy("step").agg(F.count("*").alias("n")).collect()}
-        kept = sorted((t for t, _, _ in self.history if many.get(t)), key=lambda t: (t != newest, -many[t], -t))[: self.config.snapshots]
+        users[state.step] = users.get(state.step, 0) + 1
+        kept = sorted((t for t, _, _ in self.history if users.get(t)), key=lambda t: (t != state.step, -users[t], -t))[: self.config.snapshots]
         self.history = [h for h in self.history if h[0] in kept]
 
     def allowed(self, e: int, state: FitState) -> bool:

@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.ids import decode, flat_index, flat_pair, ordered, pair_id, triple_id
-from weft.functions.scalar import candidates, default_lambda_min, soft_threshold
+from weft.functions.scalar import default_lambda_min, soft_threshold
 from weft.operators import dedupe, encode, prune, report, screen, solve
+from weft.plans import cli
 from weft.plans.calibration import distances
 from weft.plans.path import FitConfig, fit, lambda_grid
 from weft.sources import tables, text
-from weft.sources.checkpoint import latest
+from weft.sources.checkpoint import Checkpoints, latest, read_log
 from weft.sources.scratch import Scratch
 
 BRANDS = 25
 EVENT_COLUMNS = 20
 HOUR_COLUMNS = 120
 BAND = 5
+#: Columns of the rows by hour that are cut into blocks, and columns of a block.
+CUT = (16, 8)
 
 _BASKET = """
 x AS (SELECT DISTINCT l_orderkey r, cast(substr(p_brand, 7) AS int) - 1 c FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -35,6 +38,13 @@ _HOURS = """
 k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 kind FROM (SELECT DISTINCT event_type FROM events)),
 x AS (SELECT DISTINCT user_id r, cast(kind * 24 + hour(ts) AS int) c FROM events JOIN k USING (event_type))"""
 
+_HOURS_Y = "y AS (SELECT user_id r, sum(cast(round(value * 100) AS bigint))::bigint y FROM events GROUP BY 1)"
+_MAKERS = f"""{_BASKET.replace("x AS (", "bx AS (")},
+x AS (SELECT DISTINCT r, unnest([c // 5, c % 5 + 5])::int c FROM bx)"""
+MAKERS = 10
+#: Where nearly nothing is active in the fits over makers.
+MAKER_LAMBDA = 1.4
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -120,6 +130,29 @@ def columns_match(spark, sf_dir):
     return encode.columns_match(x, pairs)
 
 
+@query(f"WITH {_BASKET} SELECT row_number() OVER (ORDER BY r) - 1 row_id, y::double y FROM y")
+def csv_roundtrip_y(spark, sf_dir):
+    path = Scratch(spark).path()
+    text.write_y_csv(tables.basket(spark, sf_dir)[1], path)
+    return text.read_y_csv(spark, path)
+
+
+@query(f"WITH {_BASKET} SELECT r row_id, c col_id, (y % 1000)::double val FROM x JOIN y USING (r)")
+def matrix_market_roundtrip(spark, sf_dir):
+    """Cells with a value as a MatrixMarket file, and read back."""
+    (x, y), path = tables.basket(spark, sf_dir), Scratch(spark).path()
+    cells = x.join(y, "row_id").select("row_id", "col_id", (F.col("y") % 1000).alias("val"))
+    text.write_matrix_market(cells, path, y.count(), BRANDS)
+    return text.read_matrix_market(spark, path)
+
+
+@query("SELECT p_partkey row_id, c col_id, n AS name, v val FROM (SELECT p_partkey, unnest([0, 1, 2]) c, unnest(['p_size', 'p_retailprice', 'p_partkey']) n, unnest([p_size::double, p_retailprice::double, p_partkey::double]) v FROM part) WHERE v <> 0")
+def wide_cells(spark, sf_dir):
+    """A table's number columns as cells, with their names."""
+    x, names = tables.from_wide(tables._table(spark, sf_dir, "part"), "p_partkey", ["p_size", "p_retailprice", "p_partkey"])
+    return x.join(F.broadcast(names), "col_id").select("row_id", "col_id", "name", "val")
+
+
 @query(f"WITH {_BASKET} SELECT r row_id, round(y - sum(y) OVER () / count(*) OVER (), 2) y FROM y")
 def center_y(spark, sf_dir):
     return text.center_y(tables.basket(spark, sf_dir)[1]).withColumn("y", F.round("y", 2))
@@ -184,18 +217,20 @@ def flat_index_lookup(spark, sf_dir):
     return pairs.select(flat_index(F.col("i"), F.col("j"), BRANDS).alias("flat"), "i", "j")
 
 
-@query(f"WITH {_PART}, n AS (SELECT count(*) p FROM b) SELECT row_number() OVER (ORDER BY a.c, b.c) - 1 flat, a.c::bigint i, b.c::bigint j FROM b a JOIN b ON a.c <= b.c")
+@query(f"WITH {_PART} SELECT row_number() OVER (ORDER BY a.c, b.c) - 1 flat, a.c::bigint i, b.c::bigint j FROM b a JOIN b ON a.c <= b.c")
 def flat_index_decode(spark, sf_dir):
-    i, j = flat_pair(F.col("id"), BRANDS)
-    return spark.range(BRANDS * (BRANDS + 1) // 2).select(F.col("id").alias("flat"), i.alias("i"), j.alias("j"))
+    """Places of the table's pairs among all pairs, and the pairs again from these."""
+    i, j = flat_pair(F.col("flat"), BRANDS)
+    return flat_index_lookup(spark, sf_dir).select("flat", i.alias("i"), j.alias("j"))
 
 
 @query(f"""WITH {_PART}, pr AS (SELECT a.c i, b.c j FROM b a JOIN b ON a.c < b.c), tr AS (SELECT pr.i, pr.j, d.c k FROM pr JOIN b d ON d.c > pr.j)
 SELECT depth, dist, ((SELECT count(*) FROM b) + CASE WHEN depth > 1 THEN (SELECT count(*) FROM pr WHERE dist = 0 OR j - i <= dist) ELSE 0 END + CASE WHEN depth > 2 THEN (SELECT count(*) FROM tr WHERE dist = 0 OR k - i <= dist) ELSE 0 END)::bigint n
 FROM (SELECT unnest([1, 2, 3]) depth), (SELECT unnest([0, 1, 5, 24]) dist)""")
 def candidate_counts(spark, sf_dir):
-    """How many effects a search looks at, by depth and distance; 0 is no limit."""
-    rows = [(depth, d, candidates(BRANDS, depth, d or None)) for depth in (1, 2, 3) for d in (0, 1, 5, 24)]
+    """How many effects of the table's columns a search looks at, by depth and distance; 0 is no limit."""
+    columns = _brands(spark, sf_dir)
+    rows = [(depth, d, *screen.candidate_count(columns, depth, d or None).first()) for depth in (1, 2, 3) for d in (0, 1, 5, 24)]
     return spark.createDataFrame(rows, "depth int, dist int, n long")
 
 
@@ -247,6 +282,17 @@ def triple_screen_join(spark, sf_dir):
     return screen.triple_screen_by_join(*tables.basket(spark, sf_dir))
 
 
+@query(f"WITH {_HOURS}, {_HOURS_Y} {_PAIRS.format('')}")
+def pair_screen_blocks(spark, sf_dir):
+    """Pairs of users' long rows, which many tasks share by blocks of columns."""
+    return screen.pair_screen(*tables.events_by_hour(spark, sf_dir), grid=CUT)
+
+
+@query(f"WITH {_HOURS}, {_HOURS_Y} {_TRIPLES}")
+def triple_screen_blocks(spark, sf_dir):
+    return screen.triple_screen(*tables.events_by_hour(spark, sf_dir), grid=CUT)
+
+
 _TOP_MAINS = "m AS (SELECT c FROM (SELECT c, row_number() OVER (ORDER BY sum(y) DESC, c) k FROM x JOIN y USING (r) GROUP BY c) WHERE k <= 8)"
 
 
@@ -380,7 +426,7 @@ def fold_duplicates(spark, sf_dir):
 
 
 def _hour_classes(spark, sf_dir):
-    return dedupe.classes(dedupe.prints(tables.events_by_hour(spark, sf_dir)[0], HOUR_COLUMNS, 3))
+    return dedupe.classes(dedupe.prints(tables.events_by_hour(spark, sf_dir)[0], HOUR_COLUMNS, 3, CUT))
 
 
 @query(f"WITH {_HOURS}, {_HOUR_PRINTS} {_CLASSES}")
@@ -500,21 +546,34 @@ def refit_unbiased(spark, sf_dir):
     return _beta_frame(spark, ids, beta)
 
 
-def _path_sql(depth: int, most_nz: str = "1e18", most_lambdas: int = 200) -> str:
+_LAST = """SELECT CASE WHEN id < {p} THEN 1 WHEN id < {p2} THEN 2 ELSE 3 END ord, id, (CASE WHEN id < {p} THEN id WHEN id < {p2} THEN id // {p} - 1 ELSE id // {p2} - 1 END)::int i,
+  (CASE WHEN id < {p} THEN NULL WHEN id < {p2} THEN id % {p} ELSE id % {p2} // {p} END)::int j, (CASE WHEN id >= {p2} THEN id % {p} END)::int k, round(b[ids.k] / 1e4, 4) strength
+FROM (SELECT b FROM s ORDER BY it DESC LIMIT 1), ids WHERE b[ids.k] <> 0"""
+
+
+def _path_sql(depth: int, most_nz: str = "1e18", most_lambdas: int = 200, model: str = _BASKET, p: int = BRANDS, tail: str = _LAST, different: bool = False, first_lambda: float | None = None) -> str:
     """The whole path in one recursive query: a row for each sweep over all effects in the active list.
 
     ``fresh`` rows begin a penalty: those whose sweep before changed the norm by less than the factor 1.01.
+    With ``different``, of effects that have the same rows only the first is there.
     """
-    pairs = f"UNION ALL SELECT (a.c + 1::bigint) * {BRANDS} + b.c, a.r FROM x a JOIN x b ON a.r = b.r AND a.c < b.c" if depth > 1 else ""
-    return f"""WITH RECURSIVE {_BASKET}, e AS (SELECT c::bigint id, r FROM x {pairs}),
+    every = "SELECT c::bigint id, r FROM x"
+    if depth > 1:
+        every += f" UNION ALL SELECT (a.c + 1::bigint) * {p} + b.c, a.r FROM x a JOIN x b ON a.r = b.r AND a.c < b.c"
+    if depth > 2:
+        every += f" UNION ALL SELECT (a.c + 1::bigint) * {p**2} + b.c * {p} + d.c, a.r FROM x a JOIN x b ON a.r = b.r AND a.c < b.c JOIN x d ON d.r = a.r AND b.c < d.c"
+    first = "SELECT id, r FROM al JOIN (SELECT min(id) id FROM (SELECT id, sha256(string_agg(r::varchar, ',' ORDER BY r)) f FROM al GROUP BY id) GROUP BY f) USING (id)" if different else "SELECT id, r FROM al"
+    number = p * (p + 1) * (p - 1) // 6
+    highest = "(SELECT max(abs(s))::double FROM (SELECT sum(y) s FROM x JOIN y USING (r) GROUP BY c))" if first_lambda is None else f"{first_lambda}::double"
+    return f"""WITH RECURSIVE {model}, al AS ({every}), e AS MATERIALIZED ({first}),
 ids AS (SELECT id, row_number() OVER (ORDER BY id) k FROM (SELECT DISTINCT id FROM e)),
 ek AS (SELECT k, r FROM e JOIN ids USING (id)),
 gs AS (SELECT a.k p, b.k q, count(*)::double g FROM ek a JOIN ek b ON a.r = b.r GROUP BY 1, 2),
 gr AS (SELECT a.k p, list(coalesce(gs.g, 0) ORDER BY b.k) w FROM ids a CROSS JOIN ids b LEFT JOIN gs ON gs.p = a.k AND gs.q = b.k GROUP BY 1),
 m AS MATERIALIZED (SELECT list(w ORDER BY p) g FROM gr),
 v AS MATERIALIZED (SELECT list(c ORDER BY k) c, list(s ORDER BY k) s FROM (SELECT k, sum(y)::double c, count(*)::double s FROM ek JOIN y USING (r) GROUP BY 1)),
-t AS MATERIALIZED (SELECT count(*)::double n, sum(y)::double ys, sum(y::double * y) yy, (SELECT max(abs(s))::double FROM (SELECT sum(y) s FROM x JOIN y USING (r) GROUP BY c)) l0,
-  1.1 * sqrt(1.0 / count(*)) * sqrt(abs(2 * ln(sqrt(2 * pi()) * 0.95 / (2.0 * 2600)))) lowest FROM y),
+t AS MATERIALIZED (SELECT count(*)::double n, sum(y)::double ys, sum(y::double * y) yy, {highest} l0,
+  1.1 * sqrt(1.0 / count(*)) * sqrt(abs(2 * ln(sqrt(2 * pi()) * 0.95 / (2.0 * {number})))) lowest FROM y),
 s(it, lam, lim, sig, cnt, sweep, before, after, b, a, act) AS (
   SELECT 0, l0, 0.0::double, 0.0::double, 0, 0, 0.0::double, sqrt(yy), list_transform(v.c, lambda z: 0.0::double), 0.0::double, list_transform(v.c, lambda z: false) FROM t, v
   UNION ALL
@@ -530,8 +589,7 @@ s(it, lam, lim, sig, cnt, sweep, before, after, b, a, act) AS (
                     FROM (SELECT it, fresh, after, b, a, act, sig, lim, sweep, CASE WHEN fresh AND it > 0 THEN lam * 0.95 ELSE lam END lam, CASE WHEN fresh AND list_contains(act, true) THEN cnt + 1 ELSE cnt END cnt
                           FROM (SELECT *, it = 0 OR sweep >= 100 OR after <= 1e-12 OR before / after < 1.01 fresh FROM s)), m, v, t
                     WHERE NOT (fresh AND (lam <= t.lowest OR cnt >= {most_lambdas} OR len(list_filter(b, lambda z: z <> 0)) >= {most_nz} OR after <= 1e-9 * sqrt(t.yy)))))))
-SELECT CASE WHEN id < {BRANDS} THEN 1 ELSE 2 END ord, id, (CASE WHEN id < {BRANDS} THEN id ELSE id // {BRANDS} - 1 END)::int i, (CASE WHEN id >= {BRANDS} THEN id % {BRANDS} END)::int j, NULL::int k, round(b[ids.k] / 1e4, 4) strength
-FROM (SELECT b FROM s ORDER BY it DESC LIMIT 1), ids WHERE b[ids.k] <> 0"""
+""" + tail.replace("{p}", str(p)).replace("{p2}", str(p**2))
 
 
 def _fit(spark, sf_dir, **options):
@@ -560,6 +618,103 @@ def lasso_threeway(spark, sf_dir):
     return _fit(spark, sf_dir, depth=3, max_nz_beta=100, ahead=4000)
 
 
+def _makers_fit(spark, sf_dir, resume=None, save=None, **options):
+    return fit(*tables.makers(spark, sf_dir), MAKERS, FitConfig(**options), resume=resume, save=save)
+
+
+def _told(effects):
+    return effects.withColumn("strength", F.round(F.col("strength") / 1e4, 4))
+
+
+@query(_path_sql(3, most_lambdas=10, model=_MAKERS, p=MAKERS, first_lambda=MAKER_LAMBDA))
+def lasso_threeway_pruned(spark, sf_dir):
+    """Ten penalties of the three-way fit by screens, where bounds leave out columns and pairs."""
+    return _told(_makers_fit(spark, sf_dir, depth=3, lambda_max=MAKER_LAMBDA, max_lambdas=10, ahead=0).effects)
+
+
+@query(_path_sql(2, most_lambdas=15, model=_MAKERS, p=MAKERS, first_lambda=MAKER_LAMBDA))
+def lasso_pairwise_long(spark, sf_dir):
+    """Fifteen penalties of the pairwise fit by screens."""
+    return _told(_makers_fit(spark, sf_dir, depth=2, lambda_max=MAKER_LAMBDA, max_lambdas=15, ahead=0).effects)
+
+
+class _Interrupted(Exception):
+    pass
+
+
+@query(_path_sql(2, most_lambdas=4, model=_MAKERS, p=MAKERS, first_lambda=MAKER_LAMBDA))
+def lasso_resumed(spark, sf_dir):
+    """A fit that ends by an error after two penalties; another one goes on from what it saved, bounds and all."""
+    options = {"depth": 2, "lambda_max": MAKER_LAMBDA, "max_lambdas": 4, "ahead": 0}
+    log = Checkpoints(spark, Scratch(spark).path(), FitConfig(**options))
+
+    def save(state):
+        log.save(state)
+        if state.counted == 2:
+            raise _Interrupted
+
+    try:
+        _makers_fit(spark, sf_dir, save=save, **options)
+    except _Interrupted:
+        return _told(_makers_fit(spark, sf_dir, resume=log.restore(), save=log.save, **options).effects)
+    raise RuntimeError("the fit ended before its second penalty")
+
+
+@query(_path_sql(2, most_lambdas=4, model=_MAKERS, p=MAKERS, tail="""SELECT CASE WHEN id < {p} THEN 'c' || id ELSE 'c' || (id // {p} - 1) || ',c' || (id % {p}) END effect, round(b[ids.k] / 1e4, 4) strength
+FROM (SELECT b FROM s ORDER BY it DESC LIMIT 1), ids WHERE b[ids.k] <> 0"""))
+def saved_effects(spark, sf_dir):
+    """The effects of a fit's newest saved state, by their names."""
+    options = {"depth": 2, "max_lambdas": 4}
+    path = Scratch(spark).path()
+    _makers_fit(spark, sf_dir, save=Checkpoints(spark, path, FitConfig(**options)).save, **options)
+    names = spark.range(MAKERS).select(F.col("id").cast("int").alias("col_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"))
+    told = read_log(spark, path, names, MAKERS)
+    return _told(told["main"].unionAll(told["pairwise"]).unionAll(told["triple"]).select("effect", "strength"))
+
+
+@query(_path_sql(1, most_lambdas=5, model=_MAKERS, p=MAKERS))
+def command_line_fit(spark, sf_dir):
+    """The fit of two text files by the command line, and what it writes."""
+    (x, y), scratch = tables.makers(spark, sf_dir), Scratch(spark)
+    files = [scratch.path() for _ in range(3)]
+    text.write_x_csv(x, files[0], MAKERS, y.select("row_id", F.col("row_id").alias("name")))
+    text.write_y_csv(y, files[1])
+    cli.main([*files[:2], "--depth", "1", "--max-lambdas", "5", "--out", files[2]])
+    return _told(spark.read.parquet(files[2]))
+
+
+#: Where nearly nothing is active in the fit over events.
+EVENT_LAMBDA = 1.05
+
+
+@query(_path_sql(2, most_lambdas=8, model=_EVENTS, p=EVENT_COLUMNS, different=True, first_lambda=EVENT_LAMBDA, tail="""
+, f AS (SELECT id, sha256(string_agg(r::varchar, ',' ORDER BY r)) f FROM al GROUP BY id)
+SELECT ids.id, round(b[ids.k], 4) strength, (SELECT string_agg(g.id::varchar, ',' ORDER BY g.id) FROM f JOIN f g USING (f) WHERE f.id = ids.id) equivalent
+FROM (SELECT b FROM s ORDER BY it DESC LIMIT 1), ids WHERE b[ids.k] <> 0"""))
+def lasso_with_duplicates(spark, sf_dir):
+    """The fit over users' events, where many products have the same rows: the first of each class, and the whole class."""
+    result = fit(*tables.events(spark, sf_dir), EVENT_COLUMNS, FitConfig(depth=2, lambda_max=EVENT_LAMBDA, max_lambdas=8, ahead=0, check_duplicates=True))
+    kept = result.effects.select("id", F.round("strength", 4).alias("strength"))
+    if result.equivalent is None:
+        return kept.withColumn("equivalent", F.lit(None).cast("string"))
+    return kept.join(result.equivalent, F.col("rep") == F.col("id")).select("id", "strength", F.concat_ws(",", F.col("equivalent").cast("array<string>")).alias("equivalent"))
+
+
+#: How far solutions may differ, in cents for a unit of both penalties.
+DIFFER = 60_000.0
+
+
+@query(_path_sql(2, most_lambdas=20, model=_MAKERS, p=MAKERS, tail=f"""
+, d AS (SELECT row_number() OVER (ORDER BY it) n, lam, b FROM s WHERE it > 0 AND (sweep >= 100 OR after <= 1e-12 OR before / after < 1.01)),
+r AS (SELECT d.n, max(list_max(list_transform(range(1, len(d.b) + 1), lambda q: abs(d.b[q] - g.b[q]))) / (d.lam + g.lam)) worst FROM d JOIN d g ON g.n < d.n GROUP BY d.n),
+last AS (SELECT coalesce((SELECT min(n) FROM r WHERE worst > {DIFFER}), (SELECT max(n) FROM d)) n)
+SELECT id, round(b[ids.k] / 1e4, 4) strength, round(lam, 4) lam FROM d JOIN last USING (n), ids WHERE b[ids.k] <> 0"""))
+def lasso_calibrated(spark, sf_dir):
+    """The fit that ends at the first solution too far from an earlier one."""
+    result = _makers_fit(spark, sf_dir, depth=2, max_lambdas=20, calibrate=DIFFER)
+    return _told(result.effects).select("id", "strength", F.round(F.lit(result.fitted_lambda), 4).alias("lam"))
+
+
 @query(f"""WITH {_BASKET}, t AS (SELECT y.y::double y, (x.r IS NOT NULL)::int::double a FROM y LEFT JOIN (SELECT r FROM x WHERE c = 0) x ON x.r = y.r)
 SELECT round(regr_slope(y, a), 2) slope, round(regr_intercept(y, a), 2) intercept FROM t""")
 def ols_refit(spark, sf_dir):

@@ -37,6 +37,13 @@ def basket(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return x, y
 
 
+def makers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders by the makers of their parts, five columns, and the kinds of these, five more; the response as in ``basket``."""
+    x, y = basket(spark, sf_dir)
+    either = F.explode(F.array(F.floor(F.col("col_id") / 5).cast("int"), F.col("col_id") % 5 + 5))
+    return x.select("row_id", either.alias("col_id")).distinct().withColumn("val", F.lit(1.0)), y
+
+
 def embed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors by their components; the response is the label."""
     e = _table(spark, sf_dir, "embeddings")

@@ -70,11 +70,24 @@ def center_y(y: DataFrame) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """``row_id, col_id, val`` of a real coordinate file; indices start at 1 there and at 0 here."""
-    parts = spark.read.text(path).filter("value NOT LIKE '\\%%' AND trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("c"), F.monotonically_increasing_id().alias("at"))
+    """``row_id, col_id, val`` of a real coordinate file, or of a folder of its parts in the order of their names; indices start at 1 there and at 0 here."""
+    parts = _lines(spark, path).filter("value NOT LIKE '\\%%'").select(F.split(F.trim("value"), r"\s+").alias("c"), "row_id")
     # the first line that is no comment holds the sizes
-    first = parts.agg(F.min("at")).first()[0]
-    return parts.filter(F.col("at") != first).select((F.col("c")[0].cast("long") - 1).alias("row_id"), (F.col("c")[1].cast("int") - 1).alias("col_id"), F.col("c")[2].cast("double").alias("val"))
+    first = parts.agg(F.min("row_id")).first()[0]
+    return parts.filter(F.col("row_id") != first).select((F.col("c")[0].cast("long") - 1).alias("row_id"), (F.col("c")[1].cast("int") - 1).alias("col_id"), F.col("c")[2].cast("double").alias("val"))
+
+
+def write_matrix_market(x: DataFrame, path: str, rows: int, columns: int) -> None:
+    """``x(row_id, col_id, val)`` as a real coordinate file of ``rows`` and ``columns``, over as many parts as there are partitions."""
+    entry = F.concat_ws(" ", (F.col("row_id") + 1).cast("string"), (F.col("col_id") + 1).cast("string"), F.col("val").cast("double").cast("string"))
+    head = x.sparkSession.createDataFrame([(-2, "%%MatrixMarket matrix coordinate real general"), (-1, f"{rows} {columns} {x.count()}")], "row_id long, value string")
+    body = x.select(F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("int").alias("col_id"), entry.alias("value"))
+    head.select("row_id", F.lit(0).alias("col_id"), "value").unionAll(body).orderBy("row_id", "col_id").select("value").write.mode("overwrite").text(path)
+
+
+def write_y_csv(y: DataFrame, path: str) -> None:
+    """Lines ``"name",number`` in the order of ``row_id``; a row is named by its number."""
+    y.orderBy("row_id").select(F.concat(F.lit('"'), F.col("row_id").cast("string"), F.lit('",'), F.col("y").cast("double").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_x_csv(x: DataFrame, path: str, columns: int, names: DataFrame | None = None) -> None:
