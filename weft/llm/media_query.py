@@ -87,7 +87,8 @@ def media_digests(docs: DataFrame) -> DataFrame:
     none. The file is written, read page by page and digested within one pass
     over a partition, without a shuffle. A worker holds a text, its file and one
     page at a time, so that memory grows with the length of a text, not with
-    the number of its pages.
+    the number of its pages. Columns besides doc_id and text aren't read, and
+    a null doc_id stays null.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -99,7 +99,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Dat
     empty ones. Slots of a shard count from 0 without gaps, in an order that is
     a hash of the row, so that copies and lengths are spread within a shard.
     Repeated rows each have a slot. With fewer groups than shards the last
-    shards stay empty; an empty table gives an empty result.
+    shards stay empty; an empty table gives an empty result. Columns
+    besides doc_id and text aren't read; a null doc_id stays null.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
