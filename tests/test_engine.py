@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import SF
 from weft.functions import ids, scalar
 from weft.operators import dedupe, encode, prune, report, screen, solve
 from weft.plans import calibration, cli
@@ -363,3 +364,18 @@ def test_running_sums_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM sums").collect())) == [(0, 2, 5.0), (1, 1, 6.0)]
+
+
+def test_many_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    """No task's share of the basket grows with its tables, and the responses aren't copied to each task."""
+    usual = tables.basket(spark, SF)[0].rdd.getNumPartitions()
+    expected = sorted(map(tuple, screen.main_screen(*tables.basket(spark, SF)).collect()))
+    monkeypatch.setattr(tables, "SHARE", 100)
+    x, y = tables.basket(spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert x.rdd.getNumPartitions() == -(-lines // 100) > usual
+    met = x.join(y, "row_id")
+    met.count()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and met.rdd.getNumPartitions() == -(-lines // 100)
+    assert sorted(map(tuple, screen.main_screen(x, y).collect())) == expected
