@@ -236,3 +236,22 @@ def test_many_pairs_are_told_from_few_rows(spark, monkeypatch):
     assert search.whole is None and not asked
     search.close()
     assert path_module._Search is Search
+
+
+def test_rows_with_equal_columns_are_one_row(spark):
+    """A search holds each set of columns once, whatever the number of rows, and its inner products are those of all rows."""
+    rows = [[c for c in range(4) if (r % 7) >> c & 1] for r in range(60)]
+    x = spark.createDataFrame([(r, c, 1.0) for r, own in enumerate(rows) for c in own], "row_id long, col_id int, val double")
+    y = spark.createDataFrame([(r, float(r * r % 17)) for r in range(5, 70)], "row_id long, y double")
+    for depth, distance in ((2, None), (3, None), (3, 2)):
+        search = Search(x, y, 4, FitConfig(depth=depth, max_interaction_distance=distance))
+        ids = search.whole.ids
+        plain = solve.gram(solve.effect_rows(x, ids, 4), y, ids, solve.response_sums(y))
+        for name in ("g", "c", "sums"):
+            assert np.allclose(getattr(search.whole, name), getattr(plain, name)), name
+        assert (search.whole.n, search.whole.yy) == (plain.n, plain.yy)
+        assert search.full.count() == len({(c, tuple(own)) for own in rows for c in own})
+        fits = [({ids[0]: 0.5, ids[-1]: -2.0}, 1.5)]
+        every = solve.residuals(x, y, fits, 4).agg({"r0": "sum"}).first()[0]
+        assert np.isclose(solve.residuals(search.x, search.y, fits, 4).agg({"r0": "sum"}).first()[0], every)
+        search.close()
