@@ -255,3 +255,18 @@ def test_rows_with_equal_columns_are_one_row(spark):
         every = solve.residuals(x, y, fits, 4).agg({"r0": "sum"}).first()[0]
         assert np.isclose(solve.residuals(search.x, search.y, fits, 4).agg({"r0": "sum"}).first()[0], every)
         search.close()
+
+
+def test_prints_by_words_of_bits_make_the_same_classes(spark, monkeypatch):
+    """Long rows are printed 64 at a time: fewer products, and the classes that single rows give."""
+    bits = np.random.default_rng(5).random((200, 6)) < 0.85
+    bits[:, 5] = bits[:, 1] & bits[:, 2]
+    x = cells(spark, bits).withColumn("row_id", F.col("row_id") - 70)
+    assert dedupe._dense(x, 3)
+    told = []
+    for dense in (True, False):
+        monkeypatch.setattr(dedupe, "_dense", lambda *_, dense=dense: dense)
+        marked = dedupe.prints(x, 6, 3)
+        told.append((sorted(map(tuple, dedupe.classes(marked).collect())), sorted((r["id"], r["nz"], r["i"], r["j"] or 0, r["k"] or 0) for r in marked.collect())))
+    assert told[0] == told[1]
+    assert dedupe._word_products(dedupe.words(x), 3).count() * 2 < screen.products(screen.packed(x, True), 3, None, True, []).count()
