@@ -379,3 +379,39 @@ def test_many_rows_are_dealt_over_more_tasks(spark, monkeypatch):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and met.rdd.getNumPartitions() == -(-lines // 100)
     assert sorted(map(tuple, screen.main_screen(x, y).collect())) == expected
+
+
+def rows_sent(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_columns_are_compared_without_a_copy_for_each_pair(spark):
+    """Each line is dealt out by its part and by its order, not once more for each column that its own is compared with."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    was, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), rows_sent(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sum(r["same"] for r in QUERIES["columns_match"](spark, SF).collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    sent = sum(n for stage, n in rows_sent(spark).items() if stage not in before)
+    assert lines < sent < 4 * lines
+
+
+@pytest.mark.parametrize("hashed", [True, False])
+def test_columns_that_match(spark, monkeypatch, hashed):
+    """Equal columns, some with a row or a value of their own, and numbers that no column has; the same where hashes tell nothing."""
+    if not hashed:
+        monkeypatch.setattr(encode, "_cell_hash", lambda: F.lit(0).cast("long"))
+    cols = {0: {0: 1.0, 2: 2.0}, 1: {0: 1.0, 2: 2.0}, 2: {0: 1.0, 2: 3.0}, 3: {0: 1.0, 3: 2.0}, 4: {0: 1.0, 2: 2.0, 3: 1.0}, 5: {0: 1.0, 2: 3.0}, 6: {0: 1.0, 2: 2.0}}
+    x = spark.createDataFrame([(r, c, v) for c, rows in cols.items() for r, v in rows.items()], "row_id long, col_id int, val double")
+    told = lambda *given: {(r["a"], r["b"]): r["same"] for r in encode.columns_match(x, *given).collect()}
+    assert told() == {(a, b): cols[a] == cols[b] for a, b in itertools.combinations(cols, 2)}
+    pairs = [(1, 0), (6, 6), (2, 5), (5, 3), (8, 9), (0, 8), (1, 0)]
+    assert told(spark.createDataFrame(pairs, "a int, b int")) == {(a, b): cols.get(a) == cols.get(b) for a, b in pairs}
+    # a null value equals none
+    gaps = x.unionAll(spark.createDataFrame([(5, c, None) for c in (0, 1)], x.schema))
+    assert [p for p, same in sorted((tuple(r)[:2], r["same"]) for r in encode.columns_match(gaps).collect()) if same] == [(2, 5)]
